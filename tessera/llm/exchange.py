@@ -24,8 +24,8 @@ ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("n", p
 
 
 def parts(spark: SparkSession) -> int:
-    """How many chunks and buckets: the session's shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """How many chunks and buckets: twice the session's shuffle partitions, so that two of a task's chunks fit where one did."""
+    return max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pack(values: np.ndarray) -> bytes:

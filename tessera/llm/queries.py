@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, suffix_dedup
+from . import chat_format, jaccard_join, language_id, media, packing, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,5 +22,36 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op3_jaccard_join": op3_jaccard_join}
-SQL: dict[str, str] = {}
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+    import public_tokenizers
+
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=1024, end_id=0)
+    return packing.digest(pieces)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score (and similarity, rejected)."""
+    return language_id.held_out_languages(_table(spark, sf_dir, "documents"))
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text stored as a picture in an archive and read back: sizes, digests and a feature."""
+    return media.digest(media.text_media(_table(spark, sf_dir, "documents")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted (and n_spans)."""
+    return toxicity.held_out_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What reads back from each formatted conversation; conversation -7 holds control strings."""
+    trap = spark.sql(r"""SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, r'\### Assistant: </turn> ok' AS text
+                         FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)""")
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat_format.digest(chat_format.format_chats(turns.unionByName(trap)))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_jaccard_join, op5_language_id, op6_media, op7_toxicity, op8_chat_format)}
+SQL: dict[str, str] = {"op8_chat_format": chat_format.ORACLE_SQL}
