@@ -199,7 +199,7 @@ def _found(batch_text, words: np.ndarray):
             yield int(cut[k + 1] - cut[k]), own - cut[k], at[own], start[own], end[own]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, lexicon: int = 2000, least_z: float = 3.5) -> Tagger:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, lexicon: int = 2000, least_z: float = 4.5) -> Tagger:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic); sample bounds the labelled rows of each class."""
     told = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = [told.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
