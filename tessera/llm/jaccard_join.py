@@ -37,7 +37,8 @@ from . import textbytes as B
 from .components import components
 from .storage import durable
 
-SETS = "doc_id long, n_shingles long, class binary, grp binary, posts array<struct<token:long,pos:int>>, tokens binary"
+SETS = "doc_id long, n_shingles long, class binary, grp binary, posts array<struct<token:long,pos:int>>"
+BROADCAST_IDS = 2_000_000
 _ODD = np.array([pow(0xD6E8FEB86659FD93, i + 1, 1 << 64) for i in range(64)], np.uint64)
 
 
@@ -62,8 +63,13 @@ def shingle_sets(table: pa.Table, words: int) -> list[np.ndarray]:
     return out
 
 
-def _distinct(sets: list[np.ndarray]):
-    return np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]), return_inverse=True, return_counts=True)
+def _distinct(sets: list[np.ndarray], parts: int):
+    """What a chunk asks about: its shingles' leading bits, enough of them that a bucket tells its shingles apart.
+
+    Two shingles of equal leading bits are counted as one, which changes the order of prefixes alike everywhere.
+    """
+    bits = min(64, 33 + max(1, parts).bit_length())
+    return np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) & ~np.uint64((1 << (64 - bits)) - 1), return_inverse=True, return_counts=True)
 
 
 def _count(table: pa.Table) -> pa.Table:
@@ -81,17 +87,17 @@ def _fingerprint(tokens: np.ndarray, n: int) -> bytes:
 
 
 def prefix_sets(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int | None = None) -> DataFrame:
-    """SETS of every row: class and group fingerprints, prefix postings and, where there are any, the set."""
+    """SETS of every row: class and group fingerprints and the prefix postings that other documents may share."""
     n_parts = chunks or X.parts(docs.sparkSession)
     placed = X.by_hash(docs.select("doc_id", "text"), n_parts)
 
     def ask(key, table):
-        keys, _, counts = _distinct(shingle_sets(table, words))
+        keys, _, counts = _distinct(shingle_sets(table, words), n_parts)
         return X.asked(key[0].as_py(), keys, n_parts, counts.astype(np.uint32))
 
     def post(key, table, said):
         sets = shingle_sets(table, words)
-        _, back, _ = _distinct(sets)
+        _, back, _ = _distinct(sets, n_parts)
         held = X.answered(said, np.uint32)
         rows, at = [], 0
         for doc, tokens in zip(table["doc_id"].to_pylist(), sets, strict=True):
@@ -101,10 +107,10 @@ def prefix_sets(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int
             rarest = np.argsort(held_here, kind="stable")[: n - (percent * n + 99) // 100 + 1]
             shared = np.flatnonzero(held_here[rarest] > 1)
             posts = [{"token": t, "pos": p} for t, p in zip(tokens[rarest[shared]].view(np.int64).tolist(), shared.tolist(), strict=True)]
-            rows.append((doc, n, _fingerprint(tokens, n), _fingerprint(tokens[rarest], n), posts, tokens.tobytes() if posts else None))
-        columns = list(zip(*rows, strict=True)) or [[]] * 6
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())])), pa.binary()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_shingles", "class", "grp", "posts", "tokens"])
+            rows.append((doc, n, _fingerprint(tokens, n), _fingerprint(tokens[rarest], n), posts))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))]
+        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_shingles", "class", "grp", "posts"])
 
     told = placed.groupBy("chunk").applyInArrow(ask, X.ASKED).groupBy("bucket").applyInArrow(_count, X.ANSWER)
     return placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(post, SETS)
@@ -117,13 +123,28 @@ def _may_link(percent: int):
     return (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")) & (most >= need)
 
 
+def _sets_of(docs: DataFrame, least: DataFrame, words: int) -> DataFrame:
+    """(class, tokens) of the classes in least (class, doc_id): their sets, computed again from the texts of these documents."""
+    ids = least.select("doc_id").distinct()
+    few = ids.count() <= BROADCAST_IDS  # 16 bytes each; beyond that the texts are shuffled
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
+
+    def tokens(batches):
+        for batch in batches:
+            sets = shingle_sets(batch, words)
+            yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x, len(x)) for x in sets], pa.binary()), pa.array([X.pack_sorted(x) if len(x) else None for x in sets], pa.binary())], ["class", "tokens"])
+
+    made = texts.select("text").mapInArrow(tokens, "class binary, tokens binary")
+    return made.join(least.select("class"), "class", "left_semi").dropDuplicates(["class"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes that link."""
 
     @F.pandas_udf("boolean")
     def linked(a, b):
         def one(x, y):
-            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            x, y = X.unpack_sorted(x), X.unpack_sorted(y)
             both = len(np.intersect1d(x, y, assume_unique=True))
             return 100 * both >= percent * (len(x) + len(y) - both)
 
@@ -137,13 +158,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and class (fingerprint of the set) of every row."""
     rows = durable(prefix_sets(docs, words, percent, chunks))
     held = rows.where(F.size("posts") > 0)
-    sets = held.groupBy("class", "grp", F.col("n_shingles").alias("n")).agg(F.first("posts").alias("posts"), F.first("tokens").alias("tokens"))
-    sets = durable(sets)
-    members = sets.select("grp", "class", "n")
-    # one posting per group, token and size class; groups of one prefix and size hold equal postings
-    posts = sets.groupBy("grp", "n").agg(F.min("class").alias("least"), F.first("posts").alias("posts"))
-    posts = posts.select("grp", "n", "least", F.explode("posts").alias("p")).select("grp", "n", "least", "p.token", "p.pos")
-    posts = posts.withColumn("tier", F.floor(F.log(F.col("n")) / F.lit(0.1)))
+    members = durable(held.groupBy("class", "grp", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id")))
+    sets = durable(_sets_of(docs, members, words))
+    # one posting per group, token and size tier; groups of one prefix and size hold equal postings
+    heads_of = members.groupBy("grp").agg(F.min("class").alias("least"))
+    posts = held.select("grp", F.col("n_shingles").alias("n"), F.explode("posts").alias("p")).select("grp", "n", "p.token", "p.pos").distinct()
+    shared = posts.groupBy("token").agg(F.count("*").alias("c")).where("c > 1").select("token")
+    posts = posts.join(shared, "token").join(heads_of, "grp").withColumn("tier", F.floor(F.log(F.col("n")) / F.lit(0.1)))
+    posts = durable(posts)
 
     # 1. stars: least and greatest group of each posting list and size tier against the others
     mark = F.struct("least", F.col("n").alias("m"), F.col("pos").alias("mpos"))

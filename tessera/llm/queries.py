@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, jaccard_join, language_id, media, packing, suffix_dedup, toxicity
+from . import chat_format, code_search, jaccard_join, language_id, lm_scoring, media, mixing, packing, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +31,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(pieces)
 
 
+def op4_code_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, neighbour_id, distance, rank: the 10 nearest sign codes of every vec_id divisible by 20, against all rows."""
+    codes = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), code_search.sign_code("embedding").alias("code"))
+    return code_search.top_k(codes, F.col("id") % 20 == 0, k=10)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, held_out, lang_pred, score (and similarity, rejected)."""
     return language_id.held_out_languages(_table(spark, sf_dir, "documents"))
@@ -53,5 +60,20 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_chats(turns.unionByName(trap)))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_packing, op3_jaccard_join, op5_language_id, op6_media, op7_toxicity, op8_chat_format)}
-SQL: dict[str, str] = {"op8_chat_format": chat_format.ORACLE_SQL}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    return lm_scoring.held_out_scores(_table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, p_good, p_poor, p_toxic, rate: rates that bring expected tokens to the target weights."""
+    labels = mixing.labelled_domains(_table(spark, sf_dir, "labels"))
+    mixed, mix = mixing.mix_documents(_table(spark, sf_dir, "documents").select("doc_id", "text"), labels, {"good": 0.85, "poor": 0.11, "toxic": 0.04})
+    return mixed.select("doc_id", "n_tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(mix.domains)), "rate")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_suffix_dedup, op2_packing, op3_jaccard_join, op4_code_search, op5_language_id, op6_media, op7_toxicity, op8_chat_format, op9_lm_scoring, op10_mixing)
+}
+SQL: dict[str, str] = {"op4_code_search": code_search.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}

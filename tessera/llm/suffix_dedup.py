@@ -24,7 +24,7 @@ is by 64-bit fingerprints.
 
 Defined cases: null text is empty; null doc_id sorts first; rows of one doc_id
 are ordered by text; repeated rows count as repeated documents; other columns
-are ignored; an empty table gives no rows.
+are ignored but for those named in carry; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import exchange as X
 from . import textbytes as B
@@ -93,7 +94,6 @@ class Chunk:
 
     def __init__(self, table: pa.Table, length: int, gram: int) -> None:
         order = [("doc_id", "ascending"), ("text", "ascending")] if table.num_rows > 1 else []
-        table = table.select(["doc_id", "text"])
         self.table = table.sort_by(order) if order else table
         if self.table["doc_id"].null_count:
             null = pa.compute.is_null(self.table["doc_id"])
@@ -149,12 +149,13 @@ class Chunk:
         return np.concatenate(starts), np.concatenate(hashes)
 
 
-def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int | None = None) -> DataFrame:
-    """doc_id, text, spans (array of start and end of each removed run of bytes) and kept (the other bytes) of every row."""
+def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int | None = None, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, text, spans (array of start and end of each removed run of bytes), kept (the other bytes) and the columns carry of every row."""
     if gram >= length:
         raise ValueError("gram must be below length")
     n = chunks or X.parts(docs.sparkSession)
-    placed = X.by_range(docs.select("doc_id", "text"), n)
+    own = docs.select("doc_id", "text", *(carry or []))
+    placed = X.by_range(own, n)
 
     def ask_suffixes(key, table):
         keys, around, *_ = Chunk(table, length, gram).suffixes()
@@ -191,13 +192,16 @@ def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int
             edges = np.flatnonzero(np.diff(here.astype(np.int8), prepend=0, append=0))
             spans.append(edges.reshape(-1, 2).tolist())
             kept.append(chunk.data[i:j][~here].tobytes())
-        return pa.table({"doc_id": chunk.table["doc_id"].cast(pa.int64()), "text": chunk.table["text"].cast(pa.string()), "spans": pa.array(spans, pa.list_(pa.list_(pa.int32()))), "kept": pa.array(kept, pa.binary())})
+        out = chunk.table.select(columns)
+        return out.append_column("spans", pa.array(spans, pa.list_(pa.list_(pa.int32())))).append_column("kept", pa.array(kept, pa.binary()))
 
+    columns = own.columns
+    schema = T.StructType([*own.schema.fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.BinaryType())])
     bucket = lambda asked: asked.groupBy("bucket").applyInArrow(_bucket, X.ANSWER)
     first = bucket(placed.groupBy("chunk").applyInArrow(ask_suffixes, X.ASKED))
     again = placed.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_strings, X.ASKED)
     both = first.withColumn("round", F.lit(1)).unionByName(bucket(again).withColumn("round", F.lit(2)))
-    return placed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(settle, "doc_id long, text string, spans array<array<int>>, kept binary")
+    return placed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(settle, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
