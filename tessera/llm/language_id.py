@@ -3,7 +3,7 @@
 A text is a vector of hashed byte n-grams (1 to 3 bytes, A-Z lower-cased), log
 term frequency times inverse document frequency, of unit length. Document
 frequencies cover every training document. Per language, spherical k-means on
-at most ``sample`` training documents (those of the lowest text hash; a
+at most ``sample`` training documents (drawn by a hash of id and text; a
 documented bound) gives ``clusters`` centroids. A text gets the language of the
 centroid of highest cosine. It is rejected if that cosine is below the
 centroid's limit: ``slack`` times the lowest cosine of the centroid's sample.
@@ -84,7 +84,8 @@ def _cluster(x: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
 
 def fit(train: DataFrame, clusters: int = 3, sample: int = 600, bins: int = 4096, slack: float = 0.3) -> Model:
     """Learns from the columns text and lang of train; sample bounds the documents per language that k-means sees."""
-    train = train.select("text", "lang").where("text is not null and lang is not null")
+    key = F.xxhash64(*[c for c in ("doc_id", "text") if c in train.columns])
+    train = train.where("text is not null and lang is not null").select("text", "lang", key.alias("draw"))
 
     def frequencies(batches):
         total, n = np.zeros(bins, np.int64), 0
@@ -109,7 +110,13 @@ def fit(train: DataFrame, clusters: int = 3, sample: int = 600, bins: int = 4096
         floor = [float(best[nearest == k, k].min()) if (nearest == k).any() else 1.0 for k in range(len(centre))]
         return pa.table({"lang": pa.array([key[0].as_py()] * len(centre), pa.string()), "centre": pa.array([c.astype("<f4").tobytes() for c in centre], pa.binary()), "floor": pa.array(floor, pa.float64())})
 
-    ranked = train.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))).where(F.col("r") <= sample)
+    # about twice the sample by hash, however many rows and partitions there are, then exactly the sample
+    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}  # one row a language
+    share = F.lit(0.0)
+    for lang, n in sizes.items():
+        share = F.when(F.col("lang") == lang, min(1.0, (2 * sample + 100) / n)).otherwise(share)
+    drawn = F.pmod(F.col("draw"), F.lit(1 << 30)) <= share * float(1 << 30)
+    ranked = train.where(drawn).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))).where(F.col("r") <= sample)
     found = sorted(ranked.select("lang", "text").groupBy("lang").applyInArrow(centroids, "lang string, centre binary, floor double").collect())  # clusters rows a language
     if found:
         model.langs = [r["lang"] for r in found]

@@ -154,7 +154,8 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float
     return posteriors(docs, mix).withColumn("rate", mix.rates(F.col("posterior"))), mix
 
 
-def keep_by_rate(mixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows that stay in a corpus where none is repeated: those of rate 1 or more, and of the others their rate's share by hash."""
+def keep_by_rate(mixed: DataFrame, whole: Column | float = 1.0, key: str = "doc_id") -> DataFrame:
+    """Rows that stay in a corpus where none is repeated: those of a rate of whole or more, and of the others rate / whole by hash."""
+    whole = F.lit(whole) if isinstance(whole, float) else whole
     draw = F.pmod(F.xxhash64(key, "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return mixed.where(F.col("rate") + draw >= 1)
+    return mixed.where(F.col("rate") / F.greatest(whole, F.lit(1e-9)) + draw >= 1)
