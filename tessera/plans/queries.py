@@ -36,12 +36,13 @@ def _pairs(spark: SparkSession, sf_dir: str, include_low: bool = True, threshold
     return O.score_pairs(O.find_pairs(projects(spark, sf_dir), OWNER_A, OWNER_B, threshold, include_low))
 
 
-_MILES = F.round("distance_miles", 4).alias("distance_miles")
+def _miles():
+    return F.round("distance_miles", 4).alias("distance_miles")
 
 
 @query(f"WITH {pairs_sql()} SELECT overlap_id, round(distance_miles, 4) AS distance_miles, days_apart FROM pairs")
 def overlap_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("overlap_id", _MILES, "days_apart")
+    return _pairs(spark, sf_dir).select("overlap_id", _miles(), "days_apart")
 
 
 @query(SQL["overlap_pairs"])
@@ -50,7 +51,7 @@ def overlap_grid_join(spark, sf_dir):
     pairs = O.pairs_by_grid(a, b, 25.0)
     gap = F.abs(F.datediff(T.iso_date(F.col("in_service_date_a")), T.iso_date(F.col("in_service_date_b")))).cast("long")
     name = F.concat_ws("", F.col("utility_a"), F.lit(":"), F.col("project_id_a"), F.lit(" | "), F.col("utility_b"), F.lit(":"), F.col("project_id_b"))
-    return pairs.select(name.alias("overlap_id"), _MILES, gap.alias("days_apart"))
+    return pairs.select(name.alias("overlap_id"), _miles(), gap.alias("days_apart"))
 
 
 _SCORES = "distance_score, timeline_overlap_score, days_apart_score, power_voltage_score, project_type_score, total_score"
@@ -78,7 +79,7 @@ _FIRM = "a.confidence IN ('High', 'Medium') AND b.confidence IN ('High', 'Medium
 
 @query(f"WITH {pairs_sql(where=_FIRM)} SELECT overlap_id, round(distance_miles, 4) AS distance_miles, total_score FROM pairs")
 def overlap_exclude_low(spark, sf_dir):
-    return _pairs(spark, sf_dir, include_low=False).select("overlap_id", _MILES, "total_score")
+    return _pairs(spark, sf_dir, include_low=False).select("overlap_id", _miles(), "total_score")
 
 
 @query(f"WITH {ELIGIBLE_SQL} SELECT utility, project_id, confidence, project_type FROM eligible")
