@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from .geo import finite
 
 # Words and patterns that results depend on.
-DASHES = "‐‑–—"
+DASHES = "\u2012\u2013\u2014\u2212"
 GENERIC_NAME_WORDS = ["sub", "substation", "transmission", "station", "switching", "distribution", "tap", "line"]
 SEARCH_DROP_WORDS = ["primary"]
-VOLTAGE_GROUP = r"(?i)(\d+(?:\.\d+)?(?:\s*[/-]\s*\d+(?:\.\d+)?)*)\s*kV"
-MILES = r"(?i)(\d+(?:\.\d+)?)\s*-?\s*miles?\b"
+VOLTAGE_GROUP = r"(?i)(\d{1,3}(?:\.\d+)?(?:\s*[/-]\s*\d{1,3}(?:\.\d+)?)*)\s*kV\b"
+MILES = r"(?i)(\d+(?:\.\d+)?)\s*-?\s*(?:miles?|mi)\b"
 
 
 def blank(value: Column) -> Column:

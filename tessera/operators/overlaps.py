@@ -30,8 +30,8 @@ def eligible_projects(projects: DataFrame, include_low: bool = True) -> DataFram
 
 
 def _sides(projects: DataFrame, owner_a: str, owner_b: str) -> tuple[DataFrame, DataFrame]:
-    fields = [f for f in PAIR_FIELDS if f in projects.columns]
-    return tuple(projects.where(F.col("utility") == owner).select([F.col(f).alias(f"{f}_{side}") for f in fields]) for owner, side in ((owner_a, "a"), (owner_b, "b")))
+    field = lambda f: F.col(f) if f in projects.columns else F.lit(None).cast("string")
+    return tuple(projects.where(F.col("utility") == owner).select([field(f).alias(f"{f}_{side}") for f in PAIR_FIELDS]) for owner, side in ((owner_a, "a"), (owner_b, "b")))
 
 
 def _distance() -> Column:
