@@ -2,9 +2,9 @@
 
 Learning, on at most ``sample`` labelled rows of each class (lowest hash of the
 id; a documented bound):
-1. Words (runs of letters, A-Z lower-cased) whose share of toxic documents
-   exceeds their share of the others by ``least_z`` standard errors become the
-   lexicon; its occurrences in toxic documents are the tokens labelled toxic.
+1. Words (runs of letters, A-Z lower-cased) whose share of toxic documents is
+   ``least_ratio`` times their share of the others and exceeds it by ``least_z``
+   standard errors become the lexicon; its occurrences in toxic documents are the tokens labelled toxic.
 2. A chain of two states (plain, toxic) with a weight per lexicon word, one for
    all other words, and four transitions is fitted by gradient ascent on the
    conditional likelihood of segments around lexicon words.
@@ -69,15 +69,22 @@ class Tagger:
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     scale: float = 1.0
     shift: float = -40.0
+    _jumps: tuple | None = None
+
+    def _plain_steps(self):
+        """The matrix of a step to a plain word as right * diag(1, ratio) * left, up to a factor; found once."""
+        if self._jumps is None:
+            move = np.exp(self.step - self.step.max()) * np.array([1.0, np.exp(self.plain)])
+            values, right = np.linalg.eig(move)
+            left = np.linalg.inv(right)
+            order = np.argsort(-values.real)
+            values, right, left = values.real[order], right.real[:, order], left.real[order]
+            self._jumps = right, left, values[1] / values[0]
+        return self._jumps
 
     def marginals(self, n: int, at: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Of being toxic, for the lexicon words at the positions at of a text of n words."""
-        move = np.exp(self.step - self.step.max()) * np.array([1.0, np.exp(self.plain)])  # to a plain word
-        values, right = np.linalg.eig(move)
-        left = np.linalg.inv(right)
-        order = np.argsort(-values.real)
-        values, right, left = values.real[order], right.real[:, order], left.real[order]
-        ratio = values[1] / values[0]
+        right, left, ratio = self._plain_steps()
 
         def jump(k: int) -> np.ndarray:
             return (right * np.array([1.0, ratio**k])) @ left
@@ -199,7 +206,7 @@ def _found(batch_text, words: np.ndarray):
             yield int(cut[k + 1] - cut[k]), own - cut[k], at[own], start[own], end[own]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, lexicon: int = 2000, least_z: float = 4.5) -> Tagger:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, lexicon: int = 2000, least_z: float = 4.5, least_ratio: float = 5.0) -> Tagger:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic); sample bounds the labelled rows of each class."""
     told = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = [told.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
@@ -231,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, lexicon: int =
         both = (F.col("n") + 1.0) / (plain + toxic + 2)
         gap = F.col("ones") / float(toxic) - (F.col("n") - F.col("ones")) / float(plain)
         z = gap / F.sqrt(both * (1 - both) * (1 / toxic + 1 / plain))
-        top = sums.where("kind = 0").select("word", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(lexicon).collect()
+        top = sums.where("kind = 0").where(F.col("ones") * plain >= least_ratio * toxic * (F.col("n") - F.col("ones"))).select("word", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "word").limit(lexicon).collect()
     finally:
         sums.unpersist()
     words = np.sort(np.array([r["word"] for r in top], np.int64).view(np.uint64))
