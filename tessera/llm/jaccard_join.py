@@ -14,9 +14,9 @@ How it runs on Spark
   Group pairs that share a prefix shingle are filtered by size and by the
   positions of that shingle, then expanded to members and verified.
 * Big families of near copies are not expanded into all pairs: first each
-  posting list is verified against its least and greatest member of like size,
-  links are contracted to components, and only pairs of different components
-  are verified after that. No link between two components is lost.
+  posting list is verified against two heads of like size, links are contracted
+  to components, and only pairs of different components are verified after
+  that. No link between two components is lost.
 
 Defined cases: null or empty text, or text without words: empty set, linked
 with nothing, its own component. Rows of one doc_id count as documents of
@@ -116,13 +116,33 @@ def prefix_sets(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int
     return placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(post, SETS)
 
 
-def _may_link(percent: int):
-    """Of two postings (n, pos; m, mpos): may their sets be similar enough, by sizes and positions?"""
+def _may_link(percent: int, first: bool):
+    """Of two postings (n, pos; m, mpos): may their sets be similar enough, by sizes and positions?
+
+    first: if no rarer shingle is common to both. That holds at the first common
+    one of a pair that links, so a pair that fails it at all of its postings does not.
+    """
     need = F.ceil(F.lit(percent) * (F.col("n") + F.col("m")) / F.lit(100.0 + percent) - 1e-9)
-    most = F.least("pos", "mpos") + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("mpos") - 1)
+    before = F.lit(0) if first else F.least("pos", "mpos")
+    most = before + 1 + F.least(F.col("n") - F.col("pos") - 1, F.col("m") - F.col("mpos") - 1)
     return (F.lit(100) * F.least("n", "m") >= F.lit(percent) * F.greatest("n", "m")) & (most >= need)
 
 
+def _stars(posts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of two heads of each posting list and size tier with the others.
+
+    One head is the set in which the shingle comes earliest: it has the fewest
+    rarer shingles of its own, so it is nearest to the middle of its family.
+    """
+    early = F.struct("pos", "least", F.col("n").alias("m"))
+    late = F.struct("least", "pos", F.col("n").alias("m"))
+    heads = posts.groupBy("token", "tier").agg(F.min(early).alias("lo"), F.max(late).alias("hi")).where("lo.least <> hi.least")
+    told = [F.struct(F.col(f"{h}.least").alias("head"), F.col(f"{h}.m").alias("m"), F.col(f"{h}.pos").alias("mpos")) for h in ("lo", "hi")]
+    heads = heads.select("token", "tier", F.explode(F.array_distinct(F.array(*told))).alias("h")).select("token", "tier", "h.*")
+    found = posts.join(heads, ["token", "tier"]).where(_may_link(percent, False) & (F.col("head") != F.col("least")))
+    return found.select(F.least("head", "least").alias("u"), F.greatest("head", "least").alias("v"))
+
+
 def _sets_of(docs: DataFrame, least: DataFrame, words: int) -> DataFrame:
     """(class, tokens) of the classes in least (class, doc_id): their sets, computed again from the texts of these documents."""
     ids = least.select("doc_id").distinct()
@@ -167,23 +187,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     posts = posts.join(shared, "token").join(heads_of, "grp").withColumn("tier", F.floor(F.log(F.col("n")) / F.lit(0.1)))
     posts = durable(posts)
 
-    # 1. stars: least and greatest group of each posting list and size tier against the others
-    mark = F.struct("least", F.col("n").alias("m"), F.col("pos").alias("mpos"))
-    heads = posts.groupBy("token", "tier").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo.least <> hi.least")
-    heads = heads.select("token", "tier", F.explode(F.array("lo", "hi")).alias("h")).select("token", "tier", F.col("h.least").alias("head"), "h.m", "h.mpos")
-    stars = posts.join(heads, ["token", "tier"]).where(_may_link(percent) & (F.col("head") != F.col("least")))
-    stars = stars.select(F.least("head", "least").alias("u"), F.greatest("head", "least").alias("v"))
-    within = members.join(members.groupBy("grp").agg(F.min("class").alias("u")), "grp").select("u", F.col("class").alias("v")).where("u <> v")
-    links = durable(_verified(stars.unionByName(within).distinct(), sets, percent))
+    def ties(tied: DataFrame, key: str) -> DataFrame:
+        return tied.select(F.col("node").alias(key), F.col("component").alias("tie"))
+
+    # 1. stars: heads of each posting list against the others
+    within = members.join(heads_of.withColumnRenamed("least", "u"), "grp").select("u", F.col("class").alias("v")).where("u <> v")
+    links = durable(_verified(_stars(posts, percent).unionByName(within).distinct(), sets, percent))
     tied = components(links)
 
     # 2. what still spans two components: all such pairs of members
-    named = members.join(tied.withColumnRenamed("node", "class"), "class", "left").withColumn("tie", F.coalesce("component", "class"))
+    named = members.join(ties(tied, "class"), "class", "left").withColumn("tie", F.coalesce("tie", "class"))
     spread = named.groupBy("grp").agg(F.min("tie").alias("a"), F.max("tie").alias("b"))
     wide = posts.join(spread, "grp").groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("token")
     open_posts = durable(posts.join(wide, "token").join(named.select("grp", "class", "tie"), "grp").select("token", "n", "pos", "class", "tie"))
     other = open_posts.select("token", F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("class").alias("v"), F.col("tie").alias("other"))
-    across = open_posts.withColumnRenamed("class", "u").join(other, "token").where((F.col("u") < F.col("v")) & (F.col("tie") != F.col("other")) & _may_link(percent))
+    across = open_posts.withColumnRenamed("class", "u").join(other, "token").where((F.col("u") < F.col("v")) & (F.col("tie") != F.col("other")) & _may_link(percent, True))
     inside = named.select("grp", F.col("class").alias("u"), "tie").join(named.select("grp", F.col("class").alias("v"), F.col("tie").alias("other")), "grp").where("u < v and tie <> other")
     more = durable(_verified(across.select("u", "v").unionByName(inside.select("u", "v")).distinct(), sets, percent))
     if not more.isEmpty():
