@@ -9,8 +9,8 @@ DataFrame, written as Parquet and read again as the next one's docs.
 3. repeated_passages: bytes in 100-byte strings that also start earlier go from
    the texts; n_chars follows; a document of which nothing is left goes.
 4. mixing: rates bring the expected tokens of good, poor and toxic text to
-   TARGETS. A document stays whole if its rate is that of a CLEAN one or more;
-   of those with lower rates a share stays, by hash.
+   TARGETS. A document stays if it is good with a posterior of CLEAN or more, or
+   if its rate is 1 or more; of the others the share of their rate stays, by hash.
 5. packing: token windows of lexical neighbours.
 """
 
@@ -23,8 +23,8 @@ from tessera.llm import jaccard_join, language_id, mixing, packing, suffix_dedup
 from tessera.llm.storage import fresh_path
 
 TARGETS = {"good": 0.85, "poor": 0.11, "toxic": 0.04}
-#: Posterior of a document that counts as clean; mixing never drops it.
-CLEAN = {"good": 0.6, "poor": 0.2, "toxic": 0.2}
+#: Posterior of good from which a document counts as clean; mixing never drops it.
+CLEAN = 0.5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -53,9 +53,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = mixing.labelled_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     mixed, fitted = mixing.mix_documents(docs.select(COLUMNS), labels, TARGETS)
-    clean = fitted.rates(F.array(*[F.lit(CLEAN.get(d, 1.0)) for d in fitted.domains]))
-    lowest = F.least(clean, fitted.rates(F.array(*[F.lit(float(d == "good")) for d in fitted.domains])))
-    return mixing.keep_by_rate(mixed, lowest).select(COLUMNS)
+    clean = F.col("posterior")[fitted.domains.index("good")] >= CLEAN if "good" in fitted.domains else None
+    return mixing.keep_by_rate(mixed, clean=clean).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,11 @@ from .storage import durable
 BINS = 1024
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with value computed once even where Catalyst pushes a filter on it below the projection that made it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 @dataclass
 class Mix:
     """What was fitted: log weights by domain and bin, log priors, the gradient steps, totals before and after."""
@@ -48,10 +53,10 @@ class Mix:
     def rates(self, posterior: Column) -> Column:
         """The documents' rates after all steps, as an expression of the posterior."""
 
-        def step(r: Column, pulls: list[float]) -> Column:
-            return F.greatest(F.lit(0.0), r - sum((posterior[k] * g for k, g in enumerate(pulls)), F.lit(0.0)))
+        def step(r: Column, p: Column, pulls: list[float]) -> Column:
+            return F.greatest(F.lit(0.0), r - sum((p[k] * g for k, g in enumerate(pulls)), F.lit(0.0)))
 
-        return reduce(step, self.steps, F.lit(1.0))
+        return let(posterior, lambda p: reduce(lambda r, pulls: step(r, p, pulls), self.steps, F.lit(1.0)))
 
 
 def solve(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -101,16 +106,19 @@ def posteriors(docs: DataFrame, mix: Mix) -> DataFrame:
     zero = F.array(*[F.lit(0.0)] * len(mix.domains))
     rows_of_bins = json.dumps([[mix.weights[k][b] for k in range(len(mix.domains))] for b in range(BINS)])
     tables = F.from_json(F.lit(rows_of_bins), "array<array<double>>")  # folded to one literal
-    rows = docs.withColumn("_bins", F.transform(words_of("text"), _bin))
-    rows = rows.withColumn("n_tokens", F.size("_bins").cast("long"))
-    sums = F.aggregate("_bins", zero, lambda a, b: F.zip_with(a, F.get(tables, b), lambda x, y: x + y))
-    rows = rows.withColumn("_sums", sums).drop("_bins")
-    logs = [F.lit(p) + F.get("_sums", F.lit(k)) / F.sqrt(F.greatest(F.col("n_tokens"), F.lit(1)).cast("double")) for k, p in enumerate(mix.priors)]
-    rows = rows.withColumn("_logs", F.array(*logs))
-    top = F.array_max("_logs")
-    rows = rows.withColumn("_odds", F.transform("_logs", lambda x: F.exp(x - top)))
-    total = F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x)
-    return rows.withColumn("posterior", F.transform("_odds", lambda x: x / total)).drop("_sums", "_logs", "_odds")
+
+    def logs(bins: Column) -> Column:
+        sums = F.aggregate(bins, zero, lambda a, b: F.zip_with(a, F.get(tables, b), lambda x, y: x + y))
+        soft = F.sqrt(F.greatest(F.size(bins), F.lit(1)).cast("double"))
+        return let(sums, lambda s: F.array(*[F.lit(p) + F.get(s, F.lit(k)) / soft for k, p in enumerate(mix.priors)]))
+
+    def shares(x: Column) -> Column:
+        odds = let(F.array_max(x), lambda top: F.transform(x, lambda y: F.exp(y - top)))
+        return let(odds, lambda o: let(F.aggregate(o, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(o, lambda y: y / total)))
+
+    found = let(F.transform(words_of("text"), _bin), lambda b: F.struct(F.size(b).cast("long").alias("n_tokens"), let(logs(b), shares).alias("posterior")))
+    rows = docs.withColumn("_found", found)
+    return rows.withColumns({"n_tokens": F.col("_found.n_tokens"), "posterior": F.col("_found.posterior")}).drop("_found")
 
 
 def fit_rates(known: DataFrame, mix: Mix, weights: dict[str, float], steps: int = 12, within: float = 1e-6) -> Mix:
@@ -154,8 +162,9 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float
     return posteriors(docs, mix).withColumn("rate", mix.rates(F.col("posterior"))), mix
 
 
-def keep_by_rate(mixed: DataFrame, whole: Column | float = 1.0, key: str = "doc_id") -> DataFrame:
-    """Rows that stay in a corpus where none is repeated: those of a rate of whole or more, and of the others rate / whole by hash."""
+def keep_by_rate(mixed: DataFrame, whole: Column | float = 1.0, key: str = "doc_id", clean: Column | None = None) -> DataFrame:
+    """Rows that stay in a corpus where none is repeated: the clean, those of a rate of whole or more, and of the others rate / whole by hash."""
     whole = F.lit(whole) if isinstance(whole, float) else whole
     draw = F.pmod(F.xxhash64(key, "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    return mixed.where(F.col("rate") / F.greatest(whole, F.lit(1e-9)) + draw >= 1)
+    stays = F.col("rate") / F.greatest(whole, F.lit(1e-9)) + draw >= 1
+    return mixed.where(stays if clean is None else clean | stays)
