@@ -130,6 +130,19 @@ def test_packing_keeps_every_id_once_and_pads_nothing(docs, rows, shards):
         assert at <= 256 and at & (at - 1) == 0
 
 
+def test_both_encoders_give_the_same_ids(rows):
+    import public_tokenizers
+
+    encode, r = packing.encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(4)
+    assert encode.fast is not None
+    letters = "abcdefgh THE'sré日本\u00a0\u2028\u0085\t\n  \r0123!?.,<|>\\\U0001f600\u0301\0\x1c"
+    texts = [t or "" for _, t, *_ in rows] + ["".join(r.choices(letters, k=r.randrange(200))) for _ in range(3000)]
+    texts += ["".join(chr(r.choice([r.randrange(32, 0xD800), r.randrange(0xE000, 0x11000)])) for _ in range(60)) for _ in range(500)]
+    texts += ["a" * 5000, " " * 5000, "x" + "\n" * 3000 + "y", "é" * 1999, "<|endoftext|> in a text"]
+    for text in texts:
+        assert encode(text).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_puts_lexical_neighbours_together():
     tails = [np.array([1, 2, 3, 4] * 10), np.array([9, 8, 7] * 10), np.array([1, 2, 3, 5] * 6), np.array([9, 8, 6] * 11)]
     first = next(packing.fill_windows(tails, 64, 8))
