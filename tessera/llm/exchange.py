@@ -17,6 +17,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import short_batches
+
 ASKED = "bucket int, chunk int, n long, keys binary, vals binary"
 ASKED_ARROW = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("vals", pa.binary())])
 ANSWER = "chunk int, bucket int, n long, vals binary"
@@ -25,6 +27,7 @@ ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("n", p
 
 def parts(spark: SparkSession) -> int:
     """How many chunks and buckets: twice the session's shuffle partitions, so that two of a task's chunks fit where one did."""
+    short_batches(spark)
     return max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as B
+from .storage import short_batches
 
 _LETTER = re.compile(r"[^\W\d_]")
 _ROWS = 128
@@ -84,6 +85,7 @@ def _cluster(x: np.ndarray, clusters: int, rounds: int = 12) -> np.ndarray:
 
 def fit(train: DataFrame, clusters: int = 3, sample: int = 600, bins: int = 4096, slack: float = 0.3) -> Model:
     """Learns from the columns text and lang of train; sample bounds the documents per language that k-means sees."""
+    short_batches(train.sparkSession)
     key = F.xxhash64(*[c for c in ("doc_id", "text") if c in train.columns])
     train = train.where("text is not null and lang is not null").select("text", "lang", key.alias("draw"))
 

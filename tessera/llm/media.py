@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .storage import fresh_path
+from .storage import fresh_path, short_batches
 
 BLOCK, WIDTH = 512, 64
 MEMBERS = "id long, n_bytes long, archive string, offset long, media binary, payload binary, tries int, error string"
@@ -237,6 +237,7 @@ def features(members: DataFrame) -> DataFrame:
 def text_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """The texts of docs stored as archives and read back: MEMBERS and feature. Writes when called."""
     spark = docs.sparkSession
+    short_batches(spark)
     folder = folder or fresh_path(spark, "media")
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     said = write_archives(rows, folder).agg(F.sum("members").alias("n")).first()

@@ -28,3 +28,10 @@ def durable(df: DataFrame) -> DataFrame:
     """df, computed once, read from the shared folder from then on, whichever executors are lost."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1,000 rows unless the session says otherwise: a row here is a whole text, and 10,000 of them are too much for a small executor."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, "1000")

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as B
+from .storage import short_batches
 
 _LETTERS = np.zeros(256, bool)
 _LETTERS[list(range(97, 123)) + list(range(128, 256))] = True
@@ -208,6 +209,7 @@ def _found(batch_text, words: np.ndarray):
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, lexicon: int = 2000, least_z: float = 4.5, least_ratio: float = 5.0) -> Tagger:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic); sample bounds the labelled rows of each class."""
+    short_batches(docs.sparkSession)
     told = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     few = [told.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for k in (0, 1)]
     rows = docs.select("doc_id", "text").join(F.broadcast(few[0].unionByName(few[1])), "doc_id")  # 2 * sample ids
