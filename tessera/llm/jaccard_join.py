@@ -46,7 +46,7 @@ def shingle_sets(table: pa.Table, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     data, offsets = B.buffer_of(table["text"])
     out: list[np.ndarray] = []
-    for i, j in B.slices(offsets, 1 << 20):
+    for i, j in B.slices(offsets):
         piece = B.lowered(data[offsets[i] : offsets[j]])
         word, row = B.words_of(piece, offsets[i : j + 1] - offsets[i])
         n = len(word) - words + 1

@@ -38,7 +38,7 @@ UNKNOWN = "und"
 def gram_counts(texts, bins: int):
     """Batches of (first row, rows x bins counts) of hashed 1- to 3-byte grams."""
     data, offsets = B.buffer_of(texts)
-    for i, j in B.slices(offsets, 1 << 20):
+    for i, j in B.slices(offsets):
         cut = offsets[i : j + 1] - offsets[i]
         d = B.lowered(data[offsets[i] : offsets[j]]).astype(np.uint32)
         two = d[:-1] * np.uint32(256) + d[1:]

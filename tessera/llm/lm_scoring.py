@@ -47,7 +47,7 @@ class Grams:
     def __init__(self, table: pa.Table, order: int) -> None:
         data, offsets = B.buffer_of(table["text"])
         words, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        for i, j in B.slices(offsets, 1 << 20):
+        for i, j in B.slices(offsets):
             w, r = B.words_of(B.lowered(data[offsets[i] : offsets[j]]), offsets[i : j + 1] - offsets[i])
             words.append(w)
             rows.append(r + i)

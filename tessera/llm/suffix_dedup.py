@@ -41,7 +41,6 @@ from . import exchange as X
 from . import textbytes as B
 
 KEPT, EARLIER, MIXED = 0, 1, 2
-SLICE = 1 << 20
 
 
 class SuffixLevels:
@@ -103,7 +102,7 @@ class Chunk:
 
     def slices(self):
         """Of each slice: where it begins, its hash sums, the lowest gram of each string, and the sampled suffixes."""
-        for i, j in B.slices(self.offsets, SLICE):
+        for i, j in B.slices(self.offsets):
             begin, offsets = self.offsets[i], self.offsets[i : j + 1] - self.offsets[i]
             if offsets[-1] < self.length:
                 continue
@@ -185,7 +184,7 @@ def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int
             gone |= at[back] != np.arange(len(back))
             np.add.at(change, starts[gone], 1)
             np.add.at(change, starts[gone] + length, -1)
-        covered = np.cumsum(change[:-1]) > 0
+        covered = np.cumsum(change[:-1], dtype=np.int32, out=change[:-1]) > 0
         spans, kept = [], []
         for i, j in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True):
             here = covered[i:j]

@@ -10,7 +10,8 @@ import numpy as np
 import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15 | 5
-_MASK = (1 << 64) - 1
+#: Bytes of text that are hashed at once; the arrays of a slice hold some eighty times as many.
+SLICE = 1 << 18
 _tables = {"pow": np.ones(1, np.uint64), "inv": np.ones(1, np.uint64)}
 
 
@@ -51,7 +52,7 @@ def buffer_of(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int):
+def slices(offsets: np.ndarray, most: int = SLICE):
     """Ranges of rows with at most so many bytes, one row at least."""
     n, i = len(offsets) - 1, 0
     while i < n:

@@ -42,7 +42,7 @@ SPANS = "array<struct<start:int,end:int,marginal:double>>"
 def letter_words(column):
     """Per slice of rows: first row, rows, and each word's hash, row in the slice and byte span in its text."""
     data, offsets = B.buffer_of(column)
-    for i, j in B.slices(offsets, 1 << 20):
+    for i, j in B.slices(offsets):
         cut = offsets[i : j + 1] - offsets[i]
         d = B.lowered(data[offsets[i] : offsets[j]])
         inside = np.zeros(len(d) + 1, bool)
