@@ -16,6 +16,7 @@ DataFrame, written as Parquet and read again as the next one's docs.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +41,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    @F.pandas_udf("string")
-    def text_of(kept):
-        return kept.map(lambda raw: raw.decode("utf-8", "ignore"))  # a cut inside a character drops what is left of it
+    @F.arrow_udf("string")
+    def text_of(kept: pa.Array) -> pa.Array:
+        return pa.array([raw.decode("utf-8", "ignore") for raw in kept.to_pylist()], pa.string())  # a cut inside a character drops what is left of it
 
     found = suffix_dedup.find_repeats(docs.select(COLUMNS), carry=["lang", "source"])
     left = found.withColumn("n_left", F.octet_length("kept")).where("n_left > 0 or size(spans) = 0")

@@ -26,9 +26,9 @@ ANSWER_ARROW = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("n", p
 
 
 def parts(spark: SparkSession) -> int:
-    """How many chunks and buckets: twice the session's shuffle partitions, so that two of a task's chunks fit where one did."""
+    """How many chunks and buckets: three times the session's shuffle partitions, so that a chunk's arrays fit beside a small executor's heap."""
     short_batches(spark)
-    return max(1, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return max(1, 3 * int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -86,8 +86,9 @@ def by_range(docs: DataFrame, chunks: int, key: str = "doc_id") -> DataFrame:
     found = docs.select(F.percentile_approx(key, shares, max(10_000, 20 * chunks)).alias("q")).first() if shares else None
     edges = np.array(sorted(set(found["q"] or [])) if found else [], np.int64)
 
-    @F.pandas_udf("int")
-    def place(ids):
-        return ids.map(lambda x: int(np.searchsorted(edges, x)), na_action="ignore").fillna(0).astype("int32")
+    @F.arrow_udf("int")
+    def place(ids: pa.Array) -> pa.Array:
+        at = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int32))
 
     return docs.withColumn("chunk", place(F.col(key)))

@@ -161,14 +161,14 @@ def _sets_of(docs: DataFrame, least: DataFrame, words: int) -> DataFrame:
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) of classes that link."""
 
-    @F.pandas_udf("boolean")
-    def linked(a, b):
+    @F.arrow_udf("boolean")
+    def linked(a: pa.Array, b: pa.Array) -> pa.Array:
         def one(x, y):
             x, y = X.unpack_sorted(x), X.unpack_sorted(y)
             both = len(np.intersect1d(x, y, assume_unique=True))
             return 100 * both >= percent * (len(x) + len(y) - both)
 
-        return a.combine(b, one).astype(bool)
+        return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
     left, right = sets.select(F.col("class").alias("u"), F.col("tokens").alias("a")), sets.select(F.col("class").alias("v"), F.col("tokens").alias("b"))
     return pairs.join(left, "u").join(right, "v").where(linked("a", "b")).select("u", "v")

@@ -227,9 +227,9 @@ def look_of(payload: bytes) -> str:
 def features(members: DataFrame) -> DataFrame:
     """Adds the column feature, computed from the payload read back."""
 
-    @F.pandas_udf("string")
-    def look(payload):
-        return payload.map(look_of, na_action="ignore")
+    @F.arrow_udf("string")
+    def look(payload: pa.Array) -> pa.Array:
+        return pa.array([None if p is None else look_of(p) for p in payload.to_pylist()], pa.string())
 
     return members.withColumn("feature", look("payload"))
 
