@@ -6,8 +6,8 @@ stays at a task's size while the corpus grows. In a shard
 * a document is its token ids and an end id; each full window of a long
   document is a sequence of its own, the rest is a tail;
 * tails get a BM25 index over their ids. The longest unused tail is the seed of
-  a sequence: the index returns its unused neighbours by score, which fill the
-  window greedily; a neighbour that does not fit is cut and its rest stays
+  a sequence: the index scores all unused tails that share an id with it, over
+  all ids of the seed; the best fill the window greedily; a neighbour that does not fit is cut and its rest stays
   unused; with no neighbour left the next longest tail follows;
 * what remains at the end (less than a window) is cut into powers of two, so
   no sequence needs padding.
@@ -103,29 +103,37 @@ class LexicalIndex:
         sizes = np.array([len(t) for t in tails], np.int64)
         pair, tf = np.unique(np.concatenate([np.zeros(0, np.int64), *tails]).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
         term, self.doc = pair // max(n, 1), pair % max(n, 1)
-        self.terms, self.cut, df = np.unique(term, return_index=True, return_counts=True)
-        self.cut = np.append(self.cut, len(term))
-        self.idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        self.df = df
+        self.n, self.term = n, term
+        self._cut()
+        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
         mean = max(1.0, sizes.mean() if n else 1.0)
-        self.weight = (np.repeat(self.idf, df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[self.doc] / mean))).astype(np.float32)
-
-    def neighbours(self, tail: np.ndarray, unused: np.ndarray, query_terms: int) -> np.ndarray:
-        """Unused tails that share the seed's rarest shared terms, best first."""
-        at = np.searchsorted(self.terms, np.unique(tail))
-        at = at[self.df[at] > 1]
-        at = at[np.argsort(self.df[at], kind="stable")[:query_terms]]
+        self.weight = np.repeat(idf, self.df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[self.doc] / mean))
+
+    def _cut(self) -> None:
+        self.terms, start, self.df = np.unique(self.term, return_index=True, return_counts=True)
+        self.cut = np.append(start, len(self.term))
+
+    def forget(self, unused: np.ndarray) -> None:
+        """Drops the postings of used tails; the weights of the others stay as they are."""
+        keep = unused[self.doc]
+        self.term, self.doc, self.weight = self.term[keep], self.doc[keep], self.weight[keep]
+        self._cut()
+
+    def neighbours(self, tail: np.ndarray, unused: np.ndarray, query_terms: int | None = None) -> np.ndarray:
+        """Unused tails that share an id with the seed, best first by BM25 over all ids of the seed (or its rarest query_terms)."""
+        at = np.flatnonzero(np.isin(self.terms, np.unique(tail), assume_unique=True))
+        if query_terms is not None:
+            at = at[self.df[at] > 1]
+            at = at[np.argsort(self.df[at], kind="stable")[:query_terms]]
         if not len(at):
             return at
-        spans = [slice(self.cut[t], self.cut[t + 1]) for t in at]
-        doc = np.concatenate([self.doc[s] for s in spans])
-        weight = np.concatenate([self.weight[s] for s in spans])
-        keep = unused[doc]
-        found, back = np.unique(doc[keep], return_inverse=True)
-        return found[np.argsort(-np.bincount(back, weight[keep], len(found)), kind="stable")]
+        spans = [slice(i, j) for i, j in zip(self.cut[at].tolist(), self.cut[at + 1].tolist(), strict=True)]
+        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.n)
+        found = np.flatnonzero((score > 0) & unused)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
-def fill_windows(tails: list[np.ndarray], window: int, query_terms: int):
+def fill_windows(tails: list[np.ndarray], window: int, query_terms: int | None = None):
     """Lists of (tail, from, to), each list one sequence: all of window ids, but powers of two at the end."""
     index = LexicalIndex(tails)
     size = np.array([len(t) for t in tails], np.int64)
@@ -134,6 +142,7 @@ def fill_windows(tails: list[np.ndarray], window: int, query_terms: int):
     order, at = np.argsort(-size, kind="stable"), 0
     last: list[tuple[int, int, int]] = []
     total = int(size.sum())
+    indexed = int(unused.sum())
     for _ in range(total // window):
         row: list[tuple[int, int, int]] = []
         room = window
@@ -151,6 +160,9 @@ def fill_windows(tails: list[np.ndarray], window: int, query_terms: int):
         seed = order[at]
         take(seed)
         if room:
+            if 4 * (left := int(unused.sum())) < 3 * indexed:
+                index.forget(unused)
+                indexed = left
             near = index.neighbours(tails[seed], unused, query_terms)
             whole = near[size[near] - begin[near] <= room]
             for i in whole:
@@ -185,7 +197,7 @@ def fill_windows(tails: list[np.ndarray], window: int, query_terms: int):
         yield row
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, query_terms: int = 12, shards: int | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, query_terms: int | None = None, shards: int | None = None) -> DataFrame:
     """PIECES: each row a run of one document's ids (little-endian unsigned 32 bits) and its place in a sequence."""
     n = shards or X.parts(docs.sparkSession)
     placed = docs.select("doc_id", "text").withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))

@@ -149,6 +149,37 @@ def test_packing_puts_lexical_neighbours_together():
     assert [i for i, _, _ in first] == [0, 2]
 
 
+def _bm25(tails, seed, k1=1.2, b=0.75):
+    """BM25 of every tail for all distinct ids of the seed, read literally."""
+    mean, n = sum(map(len, tails)) / len(tails), len(tails)
+    held = [set(t.tolist()) for t in tails]
+    score = np.zeros(n)
+    for term in held[seed]:
+        df = sum(term in h for h in held)
+        for i, t in enumerate(tails):
+            if tf := int((t == term).sum()):
+                score[i] += np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(t) / mean))
+    return score
+
+
+def test_packing_neighbours_equal_full_bm25():
+    r = np.random.default_rng(5)
+    tails = [np.clip(r.zipf(1.3, r.integers(60, 200)), 1, 400) for _ in range(40)]
+    index, unused = packing.LexicalIndex(tails), np.ones(len(tails), bool)
+    for part in (unused, r.random(len(tails)) < 0.5):
+        index.forget(part)
+        for seed in range(len(tails)):
+            assert len(set(tails[seed].tolist())) > 12
+            score = _bm25(tails, seed)
+            got = index.neighbours(tails[seed], part)
+            assert set(got) == set(np.flatnonzero(part & (score > 0)))
+            assert (np.diff(score[got]) <= 1e-9).all()
+    # tail 1 holds the seed's 12 rarest ids, tail 2 the 30 others and so scores higher
+    few = [np.arange(42), np.append(np.arange(12), np.full(18, 300)), np.arange(12, 42)] + [np.array([i, 100 + i]) for i in range(12, 42)]
+    assert [i for i, _, _ in next(packing.fill_windows(few, 72, 12))] == [0, 1]
+    assert [i for i, _, _ in next(packing.fill_windows(few, 72))] == [0, 2]
+
+
 def test_packing_of_no_rows(none):
     import public_tokenizers
 
