@@ -1,8 +1,12 @@
 """Packs documents into fixed windows of tokens, lexical neighbours together.
 
-Documents are dealt into shards by hash; a shard is one task's inverted index
-and as many shards as spark.sql.shuffle.partitions hold the corpus, so a shard
-stays at a task's size while the corpus grows. In a shard
+Texts are encoded once into the shared folder. Document frequencies and the mean
+length of BM25 are counted once over all documents. Documents are dealt into
+shards by content: a tree of splits, learned from a sample of their BM25 vectors,
+sends lexical neighbours the same way. A shard is one task's inverted index of
+about SHARD_IDS ids, so their number grows with the corpus and no setting of the
+session changes them; a leaf that holds more (copies of one text) is several
+shards, by hash. Neighbours are those of a document's shard. In a shard
 * a document is its token ids and an end id; each full window of a long
   document is a sequence of its own, the rest is a tail;
 * tails get a BM25 index over their ids. The longest unused tail is the seed of
@@ -23,16 +27,21 @@ from __future__ import annotations
 import json
 import os
 import re
-from functools import cached_property
+from functools import cached_property, lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import exchange as X
+from .storage import fresh_path, short_batches
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+#: Ids of tails that a shard holds, about; what one task's index takes.
+SHARD_IDS = 3 << 18
+#: Of the tree that deals documents: numbers of a vector, leaves at most (beyond them a leaf is several shards), sampled documents a leaf.
+DIMS, LEAVES, SAMPLE = 48, 1024, 64
 #: The word pattern of byte-level BPE without prefix space, a fixed value of that pre-tokenizer.
 _WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Runs that the faster library's pattern or merging may choke on.
@@ -95,19 +104,34 @@ def encoder(path: str) -> Encoder:
     return _encoders.setdefault(path, Encoder(path)) if path not in _encoders else _encoders[path]
 
 
+class Corpus(NamedTuple):
+    """Counts over the tails of all documents: how many, their mean length, and in how many each token id occurs."""
+
+    n: int
+    mean: float
+    df: np.ndarray
+
+    @classmethod
+    def of(cls, tails) -> Corpus:
+        ids = np.concatenate([np.zeros(0, np.int64), *(np.unique(t) for t in tails)]).astype(np.int64)
+        return cls(len(tails), sum(map(len, tails)) / max(1, len(tails)), np.bincount(ids))
+
+    def weights(self, term: np.ndarray, tf: np.ndarray, size: np.ndarray | int, k1: float = 1.2, b: float = 0.75) -> np.ndarray:
+        """BM25 of ids that occur tf times in tails of the given sizes."""
+        df = self.df[term]
+        return np.log1p((self.n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / max(1.0, self.mean)))
+
+
 class LexicalIndex:
     """BM25 over the tails of a shard: postings by token id, weights computed once."""
 
-    def __init__(self, tails: list[np.ndarray], k1: float = 1.2, b: float = 0.75) -> None:
+    def __init__(self, tails: list[np.ndarray], corpus: Corpus | None = None) -> None:
         n = len(tails)
         sizes = np.array([len(t) for t in tails], np.int64)
         pair, tf = np.unique(np.concatenate([np.zeros(0, np.int64), *tails]).astype(np.int64) * n + np.repeat(np.arange(n), sizes), return_counts=True)
-        term, self.doc = pair // max(n, 1), pair % max(n, 1)
-        self.n, self.term = n, term
+        self.n, self.term, self.doc = n, pair // max(n, 1), pair % max(n, 1)
+        self.weight = (corpus or Corpus.of(tails)).weights(self.term, tf, sizes[self.doc])
         self._cut()
-        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
-        mean = max(1.0, sizes.mean() if n else 1.0)
-        self.weight = np.repeat(idf, self.df) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[self.doc] / mean))
 
     def _cut(self) -> None:
         self.terms, start, self.df = np.unique(self.term, return_index=True, return_counts=True)
@@ -133,9 +157,9 @@ class LexicalIndex:
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def fill_windows(tails: list[np.ndarray], window: int, query_terms: int | None = None):
+def fill_windows(tails: list[np.ndarray], window: int, query_terms: int | None = None, corpus: Corpus | None = None):
     """Lists of (tail, from, to), each list one sequence: all of window ids, but powers of two at the end."""
-    index = LexicalIndex(tails)
+    index = LexicalIndex(tails, corpus)
     size = np.array([len(t) for t in tails], np.int64)
     begin = np.zeros(len(tails), np.int64)
     unused = size > 0
@@ -197,15 +221,132 @@ def fill_windows(tails: list[np.ndarray], window: int, query_terms: int | None =
         yield row
 
 
+@lru_cache(1)
+def _axes(terms: int) -> np.ndarray:
+    """Random directions, the same everywhere, one row per token id."""
+    return np.random.default_rng(1).standard_normal((terms, DIMS), np.float32)
+
+
+def vectors(tails: list[np.ndarray], corpus: Corpus) -> np.ndarray:
+    """BM25 vectors of tails, projected to DIMS numbers and of length 1 (0 for an empty tail)."""
+    axes, out = _axes(len(corpus.df)), np.zeros((len(tails), DIMS), np.float32)
+    for i, tail in enumerate(tails):
+        term, tf = np.unique(tail, return_counts=True)
+        out[i] = corpus.weights(term, tf, len(tail)).astype(np.float32) @ axes[term]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+
+
+class Deal:
+    """A tree of splits of a weighted sample of vectors into leaves of about equal weight; a heavy leaf that can't be split is several shards."""
+
+    def __init__(self, sample: np.ndarray, weight: np.ndarray, shards: int) -> None:
+        self.axis, self.edge, self.child, self.leaf, self.shards = [], [], [], [], []
+        order = np.lexsort(sample.T)
+        self._grow(sample[order], weight[order], min(shards, LEAVES), shards / max(1.0, float(weight.sum())))
+        self.axis, self.edge, self.child, self.leaf = np.array(self.axis), np.array(self.edge), np.array(self.child), np.array(self.leaf)
+        self.first = np.cumsum([0, *self.shards])
+
+    def _grow(self, x: np.ndarray, w: np.ndarray, leaves: int, per_weight: float) -> int:
+        at = len(self.child)
+        self.axis.append(np.zeros(DIMS, np.float32)), self.edge.append(0.0), self.child.append((at, at)), self.leaf.append(-1)
+        if leaves > 1 and len(x) > 1:
+            y = x - np.average(x, axis=0, weights=w)
+            axis = np.linalg.eigh((y * w[:, None]).T @ y)[1][:, -1].astype(np.float32)
+            order = np.argsort(x @ axis, kind="stable")
+            on, held = (x @ axis)[order], np.cumsum(w[order])
+            cuts = np.flatnonzero(np.diff(on) > 1e-5)
+            if len(cuts):
+                cut = cuts[np.argmin(np.abs(held[cuts] - held[-1] * (leaves // 2) / leaves))]
+                left = int(np.clip(round(leaves * held[cut] / held[-1]), 1, leaves - 1))
+                self.axis[at], self.edge[at] = axis, float(on[cut] + on[cut + 1]) / 2
+                here = order[: cut + 1], order[cut + 1 :]
+                self.child[at] = tuple(self._grow(x[i], w[i], n, per_weight) for i, n in zip(here, (left, leaves - left), strict=True))
+                return at
+        self.leaf[at] = len(self.shards)
+        self.shards.append(max(1, round(float(w.sum()) * per_weight)))
+        return at
+
+    def __call__(self, x: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        """The shard of each vector; salt tells the shards of one leaf apart."""
+        at = np.zeros(len(x), np.int64)
+        while len(x) and (self.leaf[at] < 0).any():
+            right = np.einsum("ij,ij->i", x, self.axis[at]) > self.edge[at]
+            at = self.child[at, right.astype(np.int64)]  # a leaf is its own child
+        leaf = self.leaf[at]
+        return (self.first[leaf] + salt % np.array(self.shards)[leaf]).astype(np.int32)
+
+
+def _tail(raw: bytes, dtype, window: int) -> np.ndarray:
+    ids = np.frombuffer(raw, dtype)
+    return ids[len(ids) // window * window :]
+
+
+def count_corpus(encoded: DataFrame, dtype, window: int) -> Corpus:
+    """Corpus of a table of ids, by one aggregate."""
+
+    def count(batches):
+        n, total, df = 0, 0, np.zeros(0, np.int64)
+        for batch in batches:
+            tails = [_tail(x, dtype, window) for x in batch["ids"].to_pylist()]
+            n, total, more = n + len(tails), total + sum(map(len, tails)), Corpus.of(tails).df
+            df = np.pad(df, (0, max(0, len(more) - len(df))))
+            df[: len(more)] += more
+        term = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], term)), pa.array(np.append([n, total], df[term]).astype(np.int64))], ["term", "n"])
+
+    told = encoded.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = dict(zip(told["term"].to_pylist(), told["n"].to_pylist(), strict=True))
+    n, total = found.pop(-2, 0), found.pop(-1, 0)
+    df = np.zeros(max(found, default=-1) + 1, np.int64)
+    df[list(found)] = list(found.values())
+    return Corpus(n, total / max(1, n), df)
+
+
+def deal(encoded: DataFrame, corpus: Corpus, dtype, window: int, shards: int) -> DataFrame:
+    """Adds the column shard."""
+    salt, wanted = F.xxhash64("doc_id", "ids"), SAMPLE * min(shards, LEAVES)
+    share = min(1.0, wanted / max(1, corpus.n))
+
+    def project(batches):
+        for batch in batches:
+            tails = [_tail(x, dtype, window) for x in batch["ids"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors(tails, corpus)], pa.binary()), pa.array([max(1, len(t)) for t in tails], pa.int64())], ["v", "size"])
+
+    if shards > 1:
+        told = encoded.where(F.pmod(salt, F.lit(1 << 30)) < int(share * (1 << 30))).select("ids").mapInArrow(project, "v binary, size long").toArrow()
+        sample = np.frombuffer(b"".join(told["v"].to_pylist()), np.float32).reshape(-1, DIMS)
+        tree = Deal(sample, told["size"].to_numpy().astype(np.float64), shards)
+    else:
+        tree = Deal(np.zeros((0, DIMS), np.float32), np.zeros(0), 1)
+
+    @F.arrow_udf("int")
+    def place(ids: pa.Array, salt: pa.Array) -> pa.Array:
+        # other bits than those that chose the sample
+        return pa.array(tree(vectors([_tail(x, dtype, window) for x in ids.to_pylist()], corpus), (salt.to_numpy(zero_copy_only=False) >> 31) & 0x7FFFFFFF))
+
+    return encoded.withColumn("shard", place("ids", salt))
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, query_terms: int | None = None, shards: int | None = None) -> DataFrame:
-    """PIECES: each row a run of one document's ids (little-endian unsigned 32 bits) and its place in a sequence."""
-    n = shards or X.parts(docs.sparkSession)
-    placed = docs.select("doc_id", "text").withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    """PIECES: each row a run of one document's ids (little-endian unsigned 32 bits) and its place in a sequence. Encodes when called."""
+    spark, dtype = docs.sparkSession, np.dtype(encoder(tokenizer).dtype)
+    short_batches(spark)
 
-    def pack_shard(key, table):
+    def encode_texts(batches):
         encode = encoder(tokenizer)
-        table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        ids = [np.append(encode(t or ""), encode.dtype(end_id)) for t in table["text"].to_pylist()]
+        for batch in batches:
+            ids = [np.append(encode(t or ""), encode.dtype(end_id)).tobytes() for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+
+    path = fresh_path(spark, "token-ids")
+    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode_texts, "doc_id long, ids binary").write.parquet(path)
+    encoded = spark.read.parquet(path)
+    corpus = count_corpus(encoded, dtype, window)
+    placed = deal(encoded, corpus, dtype, window, shards or max(1, round(corpus.n * corpus.mean / SHARD_IDS)))
+
+    def pack_shard(key, table):
+        table = table.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+        ids = [np.frombuffer(x, dtype) for x in table["ids"].to_pylist()]
         docs_here = table["doc_id"].to_pylist()
         base, sequence, rows = key[0].as_py() << 40, 0, []
         for d, x in enumerate(ids):
@@ -213,7 +354,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, q
                 rows.append((d, start, start + window, base + sequence, 0))
                 sequence += 1
         whole = [len(x) // window * window for x in ids]
-        for filled in fill_windows([x[w:] for x, w in zip(ids, whole, strict=True)], window, query_terms):
+        for filled in fill_windows([x[w:] for x, w in zip(ids, whole, strict=True)], window, query_terms, corpus):
             offset = 0
             for d, a, b in filled:
                 rows.append((d, int(whole[d]) + a, int(whole[d]) + b, base + sequence, offset))

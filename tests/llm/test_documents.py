@@ -180,6 +180,50 @@ def test_packing_neighbours_equal_full_bm25():
     assert [i for i, _, _ in next(packing.fill_windows(few, 72))] == [0, 2]
 
 
+def _topics(n):
+    """n texts of each of three vocabularies, no word in common."""
+    r = random.Random(8)
+    return [(3 * i + k, " ".join(f"{w}{r.randrange(40)}" for _ in range(60))) for i in range(n) for k, w in enumerate(("apple", "bridge", "cloud"))]
+
+
+def test_packing_counts_over_all_documents(spark):
+    tails = [np.array([1, 2, 2]), np.array([2, 3]), np.array([2]), np.array([4] * 6)]
+    corpus = packing.Corpus.of(tails)
+    assert (corpus.n, corpus.mean, corpus.df.tolist()) == (4, 3.0, [0, 1, 3, 1, 1])
+    table = spark.createDataFrame([(bytearray(t.astype(np.uint16).tobytes()),) for t in tails], "ids binary").repartition(3)
+    told = packing.count_corpus(table, np.dtype(np.uint16), 1024)
+    assert (told.n, told.mean, told.df.tolist()) == (4, 3.0, [0, 1, 3, 1, 1])
+    # within two tails id 2 would be in all; its weight is that of three in four
+    one = packing.LexicalIndex(tails[:2], corpus)
+    assert np.allclose(one.weight[one.term == 2][1], np.log1p(1.5 / 3.5) * 2.2 / (1 + 1.2 * (0.25 + 0.75 * 2 / 3)))
+
+
+def test_packing_deals_neighbours_together_under_any_setting(spark):
+    import public_tokenizers
+
+    frame = spark.createDataFrame(_topics(60), "doc_id long, text string")
+    seen = []
+    for n in ("3", "40"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        try:
+            pieces = packing.pack(frame, public_tokenizers.path("byte_bpe_50k.json"), window=512, shards=3).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "3")
+        seen.append(sorted((p["doc_id"], p["start"], p["length"], p["sequence_id"], p["offset"]) for p in pieces))
+    assert seen[0] == seen[1]
+    topics = {}
+    for doc, _, _, sequence, _ in seen[0]:
+        topics.setdefault(sequence >> 40, []).append(doc % 3)
+    assert sum(max(map(x.count, set(x))) for x in topics.values()) >= 0.9 * len(seen[0])
+
+
+def test_copies_fill_several_shards():
+    sample = np.concatenate([np.tile(np.eye(1, packing.DIMS, dtype=np.float32), (90, 1)), -np.eye(1, packing.DIMS, dtype=np.float32)])
+    tree = packing.Deal(sample, np.ones(91), 10)
+    counts = np.bincount(tree(sample, np.arange(91)))
+    assert len(counts) >= 10 and counts.max() <= 12
+
+
 def test_packing_of_no_rows(none):
     import public_tokenizers
 
