@@ -80,6 +80,16 @@ def same_text(a: Column, b: Column) -> Column:
     return (canon(a) == canon(b)) | (squash(a) == squash(b))
 
 
+def holds_words(text: Column, quote: Column) -> Column:
+    """Does a text hold a quote as whole words ("Lee" is not in "Leesville")? Case, dashes and white space don't count."""
+    wanted = squash(quote)
+    letter = r"[\p{L}\p{N}]"
+    before = F.when(wanted.rlike(rf"^{letter}"), rf"(?<!{letter})").otherwise("")
+    after = F.when(wanted.rlike(rf"{letter}$"), rf"(?!{letter})").otherwise("")
+    pattern = F.concat(before, F.regexp_replace(wanted, "(?s)(.)", r"\\Q$1\\E ?"), after)
+    return F.when(wanted == "", False).when(F.contains(squash(text), wanted), F.regexp_like(canon(text), pattern)).otherwise(False)
+
+
 def tidy_id(value: Column) -> Column:
     """Spaces around hyphens go; spaces after commas stay."""
     return F.regexp_replace(blank(value), r"\s*-\s*", "-")

@@ -391,6 +391,23 @@ def quote_on_page(spark, sf_dir):
     return quotes.select("item_id").join(per, "item_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)))
 
 
+_PLAIN_SQL = "trim(lower(regexp_replace(translate(text, '\u2012\u2013\u2014\u2212', '----'), '\\s+', ' ', 'g')))"
+
+
+@query(f"""WITH clean AS (SELECT doc_id, {_PLAIN_SQL} AS t FROM documents), quotes AS (SELECT item_id, replace({_PLAIN_SQL}, ' ', '') AS q FROM benchmark),
+patterns AS (SELECT item_id, q, CASE WHEN regexp_matches(q, '^[\\pL\\pN]') THEN '(^|[^\\pL\\pN])' ELSE '' END || regexp_replace(q, '(.)', '\\\\Q\\1\\\\E ?', 'gs')
+    || CASE WHEN regexp_matches(q, '[\\pL\\pN]$') THEN '($|[^\\pL\\pN])' ELSE '' END AS p FROM quotes)
+SELECT item_id, count(doc_id) AS n_documents, min(doc_id) AS first_document FROM patterns LEFT JOIN clean ON q <> '' AND contains(replace(t, ' ', ''), q) AND regexp_matches(t, p) GROUP BY 1""")
+def quote_whole_words(spark, sf_dir):
+    """As quote_on_page, but a quote counts only as whole words, as the reference has it."""
+    quotes = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"), T.squash(F.col("text")).alias("squashed"))
+    pages = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"), T.squash(F.col("text")).alias("page"))
+    few = quotes.count() <= 10_000
+    hits = pages.join(F.broadcast(quotes) if few else quotes, F.contains("page", "squashed") & (F.col("squashed") != "")).where(T.holds_words(F.col("t"), F.col("q")))
+    per = hits.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
+    return quotes.select("item_id").join(per, "item_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)))
+
+
 @query("SELECT DISTINCT unnest(range(o_custkey, o_custkey + 3)) AS page FROM orders")
 def page_ranges(spark, sf_dir):
     spec = F.concat_ws("", F.col("o_custkey"), F.lit("-"), F.col("o_custkey") + 1, F.lit(", "), F.col("o_custkey") + 2)

@@ -171,6 +171,35 @@ def test_quotes(spark):
     assert sorted(got) == sorted([(True, [1, 3, 4]), (False, [1, 2, 3]), (False, []), (False, [])])
 
 
+def test_quotes_are_whole_words(spark):
+    cases = [("Lee", "Leesville line", False), ("Lee", "the lee-side", True), ("115", "1150 kV", False), ("115 kV", "a 115kV line", True), ("oakhill", "Oak\nHill", True), ("a.b", "axb", False), (".b", "a.b", True),
+             ("Lee", "Leesville and Lee", True), (r"\\E(x", r"y \\E(x z", True), ("line 1", "baseline 1", False), ("a\u2013b", "a-b", True), ("", "x", False), (" ", "x", False), ("é", "né", False)]
+    pages = spark.createDataFrame([(str(i), 1, t) for i, (_, t, _) in enumerate(cases)], "document string, page int, text string")
+    quotes = spark.createDataFrame([(str(i), 1, q) for i, (q, _, _) in enumerate(cases)], "document string, page int, quote string")
+    got = {int(r["document"]): r["found"] for r in evaluation.check_quotes(quotes, pages).collect()}
+    assert got == {i: want for i, (_, _, want) in enumerate(cases)}
+
+
+def test_dates_of_quotes(spark):
+    rows = [("2025-12-31", "by December 31, 2025 or 6/1/27, not 2/30/2025"), ("2025-01-01", "on 2025-01-02"), (None, "summer"), ("soon", "1/2/2025"), ("2025-01-01", "none")]
+    frame = spark.createDataFrame(rows, "iso string, quote string").select(evaluation.dates_in(F.col("quote")).alias("d"), evaluation.check_date(F.col("iso"), F.col("quote")).alias("c"))
+    got = frame.collect()
+    assert got[0]["d"] == [dt.date(2025, 12, 31), dt.date(2027, 6, 1)]
+    assert [r["c"]["date"] for r in got] == [dt.date(2025, 12, 31), None, None, None, None]
+    assert [r["c"]["reason"] for r in got][1:4] == ["2025-01-01 isn't a date in 'on 2025-01-02'", "'summer' gives no day, so it isn't turned into a date", "'soon' isn't a YYYY-MM-DD date"]
+
+
+def test_descriptions_and_page_problems(spark):
+    rows = [("d", "1", 1, 0, 0, "Build a", True), ("d", "1", 1, 0, 1, "line.", True), ("d", "1", 2, 0, 0, "build  A LINE. Long", True), ("d", "1", 3, 0, 0, "a line", True), ("d", "1", 4, 0, 0, "Other", True),
+            ("d", "1", 5, 0, 0, "x", True), ("d", "1", 5, 0, 1, "y", False), ("d", "2", 1, 0, 0, "z", False)]
+    got = evaluation.merge_descriptions(spark.createDataFrame(rows, "document string, project_id string, page int, place int, piece int, value string, accepted boolean")).collect()
+    assert [tuple(r) for r in got] == [("d", "1", "build  A LINE. Long", 2, ["Other"])]
+    pages = spark.createDataFrame([("d", i) for i in range(1, 5)], "document string, page int")
+    labels = spark.createDataFrame([("d", 1, "project_list"), ("d", 2, "project_list"), ("d", 2, "other"), ("d", 3, "other")], "document string, page int, kind string")
+    cited = spark.createDataFrame([("d", 1)], "document string, page int")
+    assert sorted((r["page"], r["problem"]) for r in evaluation.page_problems(pages, labels, cited).collect()) == [(2, "labelled other and project_list, but no project was read from it"), (4, "the model didn't label this page")]
+
+
 def test_merging_fragments(spark):
     rows = [("d", "1", 3, 0, "name", "Late", True), ("d", "1", 2, 1, "name", "Oak Hill", True), ("d", "1", 2, 0, "name", "bad", False), ("d", "1", 4, 0, "name", "OAKHILL", True)]
     got = evaluation.merge_fragments(spark.createDataFrame(rows, "document string, project_id string, page int, place int, field string, value string, accepted boolean")).first()
