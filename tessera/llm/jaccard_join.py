@@ -145,9 +145,9 @@ def _stars(posts: DataFrame, percent: int) -> DataFrame:
 
 def _sets_of(docs: DataFrame, least: DataFrame, words: int) -> DataFrame:
     """(class, tokens) of the classes in least (class, doc_id): their sets, computed again from the texts of these documents."""
-    ids = least.select("doc_id").distinct()
+    ids = least.select(F.col("doc_id").alias("_id")).distinct()  # null is an id here: a class may have no other
     few = ids.count() <= BROADCAST_IDS  # 16 bytes each; beyond that the texts are shuffled
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
 
     def tokens(batches):
         for batch in batches:

@@ -86,6 +86,19 @@ def test_near_duplicates_of_a_large_family_and_a_chain(spark):
     assert {c for d, _, c in want if d >= 100} == {100}
 
 
+def test_near_duplicates_with_null_ids_bridge_others(spark):
+    words = [f"w{i}" for i in range(200)]
+    middle = [*words[:192], *(f"x{i}" for i in range(8))]
+    steps = [words, middle, [*(f"y{i}" for i in range(8)), *middle[8:]]]
+    texts = [(1, " ".join(steps[0])), (None, " ".join(steps[1])), (3, " ".join(steps[2])), (None, " ".join(steps[1])), (None, prose(70, 60)), (9, prose(71, 60))]
+    # numbers from 100 on stand for null ids, which no component is named after if it has another
+    plain = jaccard_join.brute_force([(100 + i if d is None else d, t) for i, (d, t) in enumerate(texts)], percent=90)
+    want = [(None if d >= 100 else d, n, None if c >= 100 else c) for d, n, c in plain]
+    got = [tuple(r)[:3] for r in jaccard_join.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), percent=90).collect()]
+    assert sorted(got, key=key) == sorted(want, key=key)
+    assert (3, plain[2][1], 1) in got and (None, plain[1][1], 1) in got
+
+
 def test_near_duplicates_of_no_rows(none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
