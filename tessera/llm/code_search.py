@@ -31,9 +31,10 @@ SEGMENT = 16
 
 
 def sign_code(embedding: str) -> Column:
-    """Bit i is set if component i is not negative; null for a null or empty embedding. 64 components at most count."""
-    bits = F.transform(F.slice(embedding, 1, 64), lambda x, i: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
-    return F.when(F.size(embedding) > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
+    """Bit i is set if component i is not negative; null for a null or empty embedding; more than 64 components are an error."""
+    bits = F.transform(embedding, lambda x, i: F.when(x >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    too_wide = F.raise_error(F.concat(F.lit("an embedding has more than 64 components: "), F.size(embedding).cast("string"))).cast("long")
+    return F.when(F.size(embedding) > 64, too_wide).when(F.size(embedding) > 0, F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b)))
 
 
 def _masks(radius: int) -> np.ndarray:

@@ -114,6 +114,12 @@ def test_sign_codes(spark):
     assert dict(map(tuple, frame.select("id", code_search.sign_code("e")).collect())) == {1: 5, 2: None, 3: None, 4: -(1 << 63)}
 
 
+def test_wide_embeddings_are_an_error(spark):
+    wide = spark.createDataFrame([([1.0] * 64,), ([1.0] * 65,)], "e array<double>").select(code_search.sign_code("e").alias("c"))
+    with pytest.raises(Exception, match="more than 64 components: 65"):
+        wide.collect()
+
+
 def test_mixing_meets_its_targets(spark):
     r = random.Random(2)
     kinds = {"good": "alpha beta gamma delta", "poor": "spam spam click now", "toxic": "vile grim foul dire"}
