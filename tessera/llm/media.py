@@ -171,16 +171,19 @@ class ArchiveReader(DataSourceReader):
         rows, held = [], 0
         with fs.open_input_file(partition.archive) as f:
             at = -(-partition.begin // BLOCK) * BLOCK
-            inside = at == 0
+            inside, lost = at == 0, False
             while at < partition.end:
                 f.seek(at)
-                member = read_header(f.read(BLOCK))
+                member = read_header(block := f.read(BLOCK))
                 if not member:
-                    if inside and at:  # behind the last member
-                        break
+                    if inside and not lost:
+                        if not any(block):  # behind the last member
+                            break
+                        lost = True  # a damaged header: one error row, then on to the next valid one
+                        rows.append((None, None, partition.archive, at, None, None, 1, "ValueError: not a valid header"))
                     at += BLOCK
                     continue
-                inside = True
+                inside, lost = True, False
                 row, size = self._member(fs, partition.archive, at, *member)
                 rows.append(row)
                 held += size + len(row[5] or b"")

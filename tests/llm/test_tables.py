@@ -61,6 +61,21 @@ def test_media_damage_costs_one_member(spark, tmp_path):
     assert len(found) == 5 and len(bad) == 1 and bad[0]["tries"] == 2 and bad[0]["payload"] is None
 
 
+@pytest.mark.parametrize("which", [0, 2])
+def test_media_damaged_header_costs_one_member(spark, tmp_path, which):
+    folder = f"file://{tmp_path}/h"
+    rows = spark.createDataFrame([(i, b"text %d" % i) for i in range(5)], "id long, raw binary").coalesce(1)
+    media.write_archives(rows, folder).collect()
+    offsets = sorted(r["offset"] for r in media.read_archives(spark, folder).collect())
+    archive = next((tmp_path / "h").glob("*.tar"))
+    whole = bytearray(archive.read_bytes())
+    whole[offsets[which] + 1] ^= 0x55
+    archive.write_bytes(bytes(whole))
+    found = media.read_archives(spark, folder, pauseseconds=0, tries=2).collect()
+    assert [r["offset"] for r in found if r["error"]] == [offsets[which]]
+    assert sorted(r["offset"] for r in found if not r["error"]) == offsets[:which] + offsets[which + 1 :]
+
+
 def test_media_of_no_rows(spark, tmp_path):
     assert media.text_media(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/d").count() == 0
 
