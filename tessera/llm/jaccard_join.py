@@ -15,8 +15,9 @@ How it runs on Spark
   positions of that shingle, then expanded to members and verified.
 * Big families of near copies are not expanded into all pairs: first each
   posting list is verified against two heads of like size, links are contracted
-  to components, and only pairs of different components are verified after
-  that. No link between two components is lost.
+  to components, and after that only groups of different components are paired,
+  filtered, expanded and verified. No link between two components is lost.
+* How the sets of classes are sent depends on BROADCAST_IDS, the result does not.
 
 Defined cases: null or empty text, or text without words: empty set, linked
 with nothing, its own component. Rows of one doc_id count as documents of
@@ -27,6 +28,8 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,13 +75,11 @@ def _distinct(sets: list[np.ndarray], parts: int):
     return np.unique(np.concatenate([*sets, np.zeros(0, np.uint64)]) & ~np.uint64((1 << (64 - bits)) - 1), return_inverse=True, return_counts=True)
 
 
-def _count(table: pa.Table) -> pa.Table:
+def _count(runs):
     """A bucket's answer: the sum of the chunks' counts of each key."""
-    runs = [(c, b, X.unpack_sorted(k), X.unpack(v, np.uint32)) for c, b, k, v in zip(*(table[x].to_pylist() for x in ("chunk", "bucket", "keys", "vals")), strict=True)]
-    _, back = np.unique(np.concatenate([r[2] for r in runs]), return_inverse=True)
-    total = np.bincount(back, np.concatenate([r[3] for r in runs])).astype(np.uint32)[back]
-    ends = np.cumsum([len(r[2]) for r in runs])
-    return X.answers([(c, b, total[e - len(k) : e]) for (c, b, k, _), e in zip(runs, ends, strict=True)])
+    _, back = np.unique(np.concatenate([r[1] for r in runs]), return_inverse=True)
+    total = np.bincount(back, np.concatenate([r[2] for r in runs])).astype(np.uint32)[back]
+    return np.split(total, np.cumsum([len(r[1]) for r in runs])[:-1]), None
 
 
 def _fingerprint(tokens: np.ndarray, n: int) -> bytes:
@@ -86,14 +87,14 @@ def _fingerprint(tokens: np.ndarray, n: int) -> bytes:
     return np.array(pair, np.uint64).tobytes()
 
 
-def prefix_sets(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int | None = None) -> DataFrame:
+def prefix_sets(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int | None = None, direct: int | None = None) -> DataFrame:
     """SETS of every row: class and group fingerprints and the prefix postings that other documents may share."""
-    n_parts = chunks or X.parts(docs.sparkSession)
-    placed = X.by_hash(docs.select("doc_id", "text"), n_parts)
+    exchange = X.Exchange.of(chunks or X.parts(docs), direct)
+    placed, n_parts = X.by_hash(docs.select("doc_id", "text"), exchange.chunks), exchange.chunks
 
     def ask(key, table):
         keys, _, counts = _distinct(shingle_sets(table, words), n_parts)
-        return X.asked(key[0].as_py(), keys, n_parts, counts.astype(np.uint32))
+        return exchange.asked(key[0].as_py(), keys, counts.astype(np.uint32))
 
     def post(key, table, said):
         sets = shingle_sets(table, words)
@@ -112,7 +113,7 @@ def prefix_sets(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_shingles", "class", "grp", "posts"])
 
-    told = placed.groupBy("chunk").applyInArrow(ask, X.ASKED).groupBy("bucket").applyInArrow(_count, X.ANSWER)
+    told, _ = exchange.ask(placed.groupBy("chunk").applyInArrow(ask, X.ASKED), _count, np.uint32)
     return placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(post, SETS)
 
 
@@ -143,6 +144,23 @@ def _stars(posts: DataFrame, percent: int) -> DataFrame:
     return found.select(F.least("head", "least").alias("u"), F.greatest("head", "least").alias("v"))
 
 
+def group_pairs(posts: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (g, h) of groups of posts (grp, n, token, pos; a, b: least and greatest component) that may hold a link between components.
+
+    A shingle of the smaller set counts only up to the place where sets of its own
+    size can still link (the larger one's are all in its prefix), and only sets of
+    a size in reach meet. So documents of one template that differ enough not to
+    link are no candidates, although they share its shingles.
+    """
+    step = F.floor(F.log(F.col("n")) / F.lit(math.log(100 / percent) * (1 + 1e-9) + 1e-12))
+    alike = F.ceil(F.lit(2.0 * percent) * F.col("n") / F.lit(100.0 + percent) - 1e-9)
+    large = posts.select("token", step.alias("step"), F.col("grp").alias("h"), F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("a").alias("c"), F.col("b").alias("d"))
+    small = posts.where(F.col("pos") <= F.col("n") - alike).select("token", F.explode(F.array(step, step + 1)).alias("step"), F.col("grp").alias("g"), "n", "pos", "a", "b")
+    ordered = (F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("g") < F.col("h")))
+    open_ = (F.least("a", "c") != F.greatest("b", "d")) & ordered
+    return small.join(large, ["token", "step"]).where(open_ & _may_link(percent, True)).select("g", "h").distinct()
+
+
 def _sets_of(docs: DataFrame, least: DataFrame, words: int) -> DataFrame:
     """(class, tokens) of the classes in least (class, doc_id): their sets, computed again from the texts of these documents."""
     ids = least.select(F.col("doc_id").alias("_id")).distinct()  # null is an id here: a class may have no other
@@ -174,9 +192,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").where(linked("a", "b")).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int | None = None, direct: int | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable by links) and class (fingerprint of the set) of every row."""
-    rows = durable(prefix_sets(docs, words, percent, chunks))
+    rows = durable(prefix_sets(docs, words, percent, chunks, direct))
     held = rows.where(F.size("posts") > 0)
     members = durable(held.groupBy("class", "grp", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("doc_id")))
     sets = durable(_sets_of(docs, members, words))
@@ -195,15 +213,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     links = durable(_verified(_stars(posts, percent).unionByName(within).distinct(), sets, percent))
     tied = components(links)
 
-    # 2. what still spans two components: all such pairs of members
+    # 2. what still spans two components: pairs of groups, filtered, then expanded to members
     named = members.join(ties(tied, "class"), "class", "left").withColumn("tie", F.coalesce("tie", "class"))
     spread = named.groupBy("grp").agg(F.min("tie").alias("a"), F.max("tie").alias("b"))
-    wide = posts.join(spread, "grp").groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("token")
-    open_posts = durable(posts.join(wide, "token").join(named.select("grp", "class", "tie"), "grp").select("token", "n", "pos", "class", "tie"))
-    other = open_posts.select("token", F.col("n").alias("m"), F.col("pos").alias("mpos"), F.col("class").alias("v"), F.col("tie").alias("other"))
-    across = open_posts.withColumnRenamed("class", "u").join(other, "token").where((F.col("u") < F.col("v")) & (F.col("tie") != F.col("other")) & _may_link(percent, True))
-    inside = named.select("grp", F.col("class").alias("u"), "tie").join(named.select("grp", F.col("class").alias("v"), F.col("tie").alias("other")), "grp").where("u < v and tie <> other")
-    more = durable(_verified(across.select("u", "v").unionByName(inside.select("u", "v")).distinct(), sets, percent))
+    tied_posts = posts.select("grp", "n", "token", "pos").join(spread, "grp")
+    wide = tied_posts.groupBy("token").agg(F.min("a").alias("a"), F.max("b").alias("b")).where("a <> b").select("token")
+    pairs = group_pairs(durable(tied_posts.join(wide, "token")), percent)
+    side = lambda grp, node, tie: named.select(F.col("grp").alias(grp), F.col("class").alias(node), F.col("tie").alias(tie))
+    within = spread.where("a <> b").select(F.col("grp").alias("g"), F.col("grp").alias("h"))
+    spanned = pairs.unionByName(within).join(side("g", "x", "tie"), "g").join(side("h", "y", "other"), "h").where("tie <> other")
+    more = durable(_verified(spanned.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), sets, percent))
     if not more.isEmpty():
         tied = components(links.unionByName(more))
 

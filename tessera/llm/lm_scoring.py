@@ -10,13 +10,14 @@ distinct tokens after it and h' the history without its first token,
 
 In the automaton a seen n-gram h w is an arc of weight P(w | h); a missing one
 is reached by the failure arc to h' of weight T(h) / (c(h) + T(h)). The state
-after a token is the longest seen suffix, so all positions of a text carry
-their state at once and walk their failure arcs in step, longest history first.
+after a token is the longest seen history. Texts are walked from left to right,
+the state carried from token to token, many of them side by side.
 
 How it runs on Spark: each chunk of documents asks for the counts of its
 n-grams over the whole corpus (`exchange`), and once more for T of its
-histories; that is the part of the automaton which its texts can reach. The
-whole model is in no single place, and what is exchanged grows with the corpus.
+histories; from these it builds the part of the automaton which its texts can
+reach (`Automaton`) and walks it. The whole model is in no single place, and what
+is exchanged grows with the corpus.
 
 Defined cases: null or empty text: the end token alone; a null in the training
 flag: not learned from; repeated rows count each; a null doc_id is kept; other
@@ -37,7 +38,6 @@ from .jaccard_join import _count as summed
 END = np.uint64(0xE9D1C7A5B3F18D27)
 _SEED = np.uint64(0x9FB21C651E98DF25)
 FIRST = np.uint32(1 << 31)
-TALLY = "chunk int, bucket int, n long, vals binary, tokens long, types long"
 SCORES = "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -68,98 +68,137 @@ class Grams:
             self.there.append(place >= k)
         self.distinct, self.at, back = np.unique(np.concatenate([k[t] for k, t in zip(self.keys, self.there, strict=True)]), return_index=True, return_inverse=True)
         self.back = np.split(back, np.cumsum([t.sum() for t in self.there])[:-1])
+        self.ends = np.concatenate([np.flatnonzero(t) for t in self.there])
 
     def counts(self) -> np.ndarray:
         return np.bincount(np.concatenate(self.back), np.concatenate([self.train[t] for t in self.there]), len(self.distinct)).astype(np.uint32)
 
     def histories(self, told: np.ndarray):
-        """Sorted distinct histories and how many n-grams that follow each are told to be this chunk's to report."""
-        before = np.concatenate([self.keys[k - 1][np.flatnonzero(self.there[k]) - 1] for k in range(1, len(self.keys))] or [np.zeros(0, np.uint64)])
-        history, back = np.unique(before, return_inverse=True)
+        """Sorted distinct histories, how many n-grams that follow each are told to be this chunk's to report, and a token that each ends at."""
+        ends = np.concatenate([np.zeros(0, np.int64), *(np.flatnonzero(t) - 1 for t in self.there[1:])])
+        before = np.concatenate([np.zeros(0, np.uint64), *(k[np.flatnonzero(t) - 1] for k, t in zip(self.keys, self.there[1:]))])
+        history, first, back = np.unique(before, return_index=True, return_inverse=True)
         skip = int(self.there[0].sum())
         own = np.flatnonzero((told & FIRST) > 0)
         own = own[self.at[own] >= skip]
-        return history, np.bincount(back[self.at[own] - skip], minlength=len(history)).astype(np.uint32)
-
-    def spread(self, values: np.ndarray, k: int) -> np.ndarray:
-        """Values by distinct n-gram, laid out by token for the n-grams of k + 1 tokens; 0 elsewhere."""
-        out = np.zeros(len(self.token))
-        out[self.there[k]] = values[self.back[k]]
-        return out
+        return history, np.bincount(back[self.at[own] - skip], minlength=len(history)).astype(np.uint32), ends[first]
 
 
-def _tally(table: pa.Table) -> pa.Table:
-    """A bucket's answer: each n-gram's training count, flagged for the first chunk that holds one; and N and V."""
-    runs = sorted(zip(*(table[x].to_pylist() for x in ("chunk", "bucket", "keys", "vals")), strict=True), key=lambda r: r[:2])
-    keys = [X.unpack_sorted(r[2]) for r in runs]
-    vals = [X.unpack(r[3], np.uint32) for r in runs]
+def _tally(runs):
+    """A bucket's answer: each n-gram's training count, flagged for the first chunk that holds one; and its share of N and V."""
+    keys = [r[1] for r in runs]
     known, back = np.unique(np.concatenate(keys), return_inverse=True)
-    own = np.concatenate(vals)
+    own = np.concatenate([r[2] for r in runs])
     total = np.bincount(back, own, len(known)).astype(np.uint32)
     chunk = np.repeat(np.arange(len(runs)), [len(k) for k in keys])
     first = np.full(len(known), -1)
     held = np.flatnonzero(own)[::-1]
     first[back[held]] = chunk[held]
     said = total[back] | np.where(first[back] == chunk, FIRST, np.uint32(0))
-    ends = np.cumsum([len(k) for k in keys])
-    out = X.answers([(r[0], r[1], said[e - len(k) : e]) for r, k, e in zip(runs, keys, ends, strict=True)])
     single = (known & np.uint64(3)) == 0
-    none = pa.nulls(out.num_rows, pa.int64())
-    out = out.append_column("tokens", none).append_column("types", none)
-    stat = pa.table([[-1], [runs[0][1]], [0], [None], [int(total[single].sum())], [int((total[single] > 0).sum())]], schema=out.schema)
-    return pa.concat_tables([out, stat])
-
-
-def walk(grams: Grams, told: np.ndarray, after: np.ndarray, tokens: float, types: float) -> tuple[np.ndarray, np.ndarray]:
-    """log10 of each token's probability, and its training count."""
-    count = (told & ~FIRST).astype(float)
-    order = len(grams.keys)
-    seen = [grams.spread(count, k) for k in range(order)]
-    history, _ = grams.histories(np.zeros(0, np.uint32))
-    arc, fail, open_ = [(seen[0] + 1) / (tokens + types + 1)], [np.ones(len(grams.token))], [np.ones(len(grams.token), bool)]
-    for k in range(1, order):
-        at = np.flatnonzero(grams.there[k])
-        c, t = np.zeros(len(grams.token)), np.zeros(len(grams.token))
-        c[at] = seen[k - 1][at - 1]
-        t[at] = after[np.searchsorted(history, grams.keys[k - 1][at - 1])]
-        both = np.maximum(c + t, 1)
-        arc.append((seen[k] + t * arc[-1]) / both)
-        fail.append(t / both)
-        open_.append(c > 0)
-    state = np.max([k * o for k, o in enumerate(open_)], axis=0)  # tokens of history that the state holds
-    out = np.zeros(len(grams.token))
-    for k in range(order - 1, -1, -1):
-        here = state == k
-        take = here & ((seen[k] > 0) | (k == 0))
-        out[take] += np.log10(arc[k][take])
-        drop = here & ~take
-        out[drop] += np.log10(fail[k][drop])
-        state[drop] = k - 1
-    return out, seen[0]
-
-
-def score_texts(docs: DataFrame, train: Column, order: int = 2, chunks: int | None = None) -> DataFrame:
+    return np.split(said, np.cumsum([len(k) for k in keys])[:-1]), [int(total[single].sum()), int((total[single] > 0).sum())]
+
+
+class Automaton:
+    """The states and arcs that one chunk's texts can reach.
+
+    A state is a seen history, state 0 the empty one; depth: its tokens; fail and
+    failed: the state of its failure arc and the log10 of that arc's weight. An
+    n-gram is an arc from its history by its last token: seen, weight (log10 of the
+    probability) and target, the longest seen history after it.
+    """
+
+    def __init__(self, grams: Grams, told: np.ndarray, after: np.ndarray, tokens: float, types: float) -> None:
+        order = len(grams.keys)
+        count = (told & ~FIRST).astype(float)
+        level, end = (grams.distinct & np.uint64(3)).astype(np.int64), grams.ends[grams.at]
+        known, _, last = grams.histories(np.zeros(0, np.uint32))
+        held = count[np.searchsorted(grams.distinct, known)]
+        states, last, held, after = known[held > 0], last[held > 0], held[held > 0], after[held > 0]
+
+        def state_of(keys: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(states, keys)
+            return np.where(np.append(states, np.uint64(0))[at] == keys, at + 1, 0)
+
+        self.depth = np.append(0, (states & np.uint64(3)).astype(np.int64) + 1)
+        self.failed = np.append(0.0, np.log10(after / (held + after)))
+        self.fail = np.zeros(len(states) + 1, np.int64)
+        total, followed = np.append(0.0, held), np.append(0.0, after)
+        chance = np.zeros(len(grams.distinct))
+        self.target = np.zeros(len(grams.distinct), np.int64)
+        for k in range(order):
+            own = np.flatnonzero(level == k)
+            at = end[own]
+            if k:
+                h = state_of(grams.keys[k - 1][at - 1])
+                less = np.searchsorted(grams.distinct, grams.keys[k - 1][at])
+                chance[own] = (count[own] + followed[h] * chance[less]) / np.maximum(total[h] + followed[h], 1)
+                deeper = np.flatnonzero(self.depth == k + 1)
+                self.fail[deeper] = state_of(grams.keys[k - 1][last[deeper - 1]])
+            else:
+                chance[own] = (count[own] + 1) / (tokens + types + 1)
+            for j in range(min(k, order - 2) + 1):  # the longest history that is a state counts
+                to = state_of(grams.keys[j][at])
+                self.target[own] = np.where(to > 0, to, self.target[own])
+        self.seen = (count > 0) | (level == 0)
+        self.weight = np.log10(np.where(self.seen, chance, 1.0))
+
+    def walk(self, grams: Grams, lane: int = 64) -> np.ndarray:
+        """log10 of each token's probability, from left to right with the state carried along.
+
+        Texts are walked side by side in lanes of so many tokens. A lane starts as
+        many tokens early as a state remembers, so that its state is that of the text.
+        """
+        back = len(grams.keys) - 1
+        text = np.repeat(np.arange(len(grams.size)), -(-grams.size // lane))
+        nth = np.arange(len(text)) - np.searchsorted(text, text)
+        begin = grams.cut[text] + lane * nth
+        stop = np.minimum(begin + lane, grams.cut[text + 1])
+        place, state = np.maximum(grams.cut[text], begin - back), np.zeros(len(text), np.int64)
+        arcs = np.full((back + 1, len(grams.token)), -1)
+        for k in range(back + 1):
+            arcs[k, grams.there[k]] = grams.back[k]
+        out = np.zeros(len(grams.token))
+        lanes = np.arange(len(text))
+        while len(lanes):
+            at, s = place[lanes], state[lanes]
+            gain = np.zeros(len(lanes))
+            arc = arcs[self.depth[s], at]
+            for _ in range(back):
+                lost = np.flatnonzero(~self.seen[arc])
+                gain[lost] += self.failed[s[lost]]
+                s[lost] = self.fail[s[lost]]
+                arc[lost] = arcs[self.depth[s[lost]], at[lost]]
+            own = at >= begin[lanes]
+            out[at[own]] = (gain + self.weight[arc])[own]
+            state[lanes], place[lanes] = self.target[arc], at + 1
+            lanes = lanes[place[lanes] < stop[lanes]]
+        return out
+
+
+def score_texts(docs: DataFrame, train: Column, order: int = 2, chunks: int | None = None, direct: int | None = None) -> DataFrame:
     """SCORES of every row; train says which rows the model learns from; order is the longest n-gram, 3 at most."""
     if not 1 <= order <= 3:
         raise ValueError("order is 1, 2 or 3")
-    n = chunks or X.parts(docs.sparkSession)
-    placed = X.by_hash(docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")), n)
+    exchange = X.Exchange.of(chunks or X.parts(docs), direct)
+    placed = X.by_hash(docs.select("doc_id", "text", F.coalesce(train, F.lit(False)).alias("train")), exchange.chunks)
 
     def ask_counts(key, table):
         grams = Grams(table, order)
-        return X.asked(key[0].as_py(), grams.distinct, n, grams.counts())
+        return exchange.asked(key[0].as_py(), grams.distinct, grams.counts())
 
     def ask_histories(key, table, said):
         grams = Grams(table, order)
-        history, own = grams.histories(X.answered(said, np.uint32))
-        return X.asked(key[0].as_py(), history, n, own)
+        history, own, _ = grams.histories(X.answered(said, np.uint32))
+        return exchange.asked(key[0].as_py(), history, own)
 
     def score(key, table, said):
         grams = Grams(table, order)
         which = np.array(said["round"].to_pylist())
         told, after = (X.answered(said.filter(pa.array(which == k)), np.uint32) for k in (1, 2))
         tokens, types = said["all_tokens"][0].as_py(), said["all_types"][0].as_py()
-        each, count = walk(grams, told, after.astype(float), tokens, types)
+        each = Automaton(grams, told, after.astype(float), tokens, types).walk(grams)
+        count = (told & ~FIRST)[grams.back[0]].astype(float)
         total = lambda x: np.add.reduceat(x, grams.cut[:-1])  # noqa: E731  every text has its end token
         return pa.table(
             {
@@ -173,11 +212,10 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, chunks: int | No
             }
         )
 
-    told = placed.groupBy("chunk").applyInArrow(ask_counts, X.ASKED).groupBy("bucket").applyInArrow(_tally, TALLY)
-    counts = told.where("chunk >= 0").drop("tokens", "types")
-    totals = told.where("chunk < 0").agg(F.sum("tokens").alias("all_tokens"), F.sum("types").alias("all_types"))  # one row
+    counts, figures = exchange.ask(placed.groupBy("chunk").applyInArrow(ask_counts, X.ASKED), _tally, np.uint32)
+    totals = figures.agg(F.sum(F.col("figures")[0]).alias("all_tokens"), F.sum(F.col("figures")[1]).alias("all_types"))  # one row
     asked = placed.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(ask_histories, X.ASKED)
-    after = asked.groupBy("bucket").applyInArrow(summed, X.ANSWER)
+    after, _ = exchange.ask(asked, summed, np.uint32)
     both = counts.withColumn("round", F.lit(1)).unionByName(after.withColumn("round", F.lit(2))).join(F.broadcast(totals))
     return placed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(score, SCORES)
 

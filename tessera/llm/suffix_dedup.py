@@ -5,16 +5,17 @@ Rule: in the UTF-8 bytes of all texts, each byte goes that lies in a string of
 and earlier start). Strings never cross documents and are judged on the input.
 
 How it runs on Spark
-* Documents are cut by doc_id range into chunks, the batches of the index.
+* Documents are cut by doc_id range into chunks of about equal bytes, the
+  batches of the index.
 * A batch's suffixes are sampled: of each ``length`` bytes the suffix whose
   first ``gram`` bytes hash lowest (a minimizer) is kept, so equal strings keep
   the same suffixes, at about 3 in 100 positions. The sorted sample is the
   batch's suffix array; suffixes compare by fingerprints, as only equality over
   ``length`` bytes counts.
-* Suffixes are dealt to buckets by fingerprint. In its bucket each batch's array
-  enters a logarithmic family of levels (`SuffixLevels`): two levels of equal
-  rank merge into one of the next, and a batch is merge-scanned against the
-  levels for suffixes met in an earlier batch.
+* Suffixes are dealt to buckets by fingerprint. A bucket keeps a logarithmic
+  family of levels (`SuffixLevels`): batch after batch, in order, the new array is
+  merge-scanned against the levels for suffixes met in an earlier batch and then
+  joins them, two levels of equal rank merging into one of the next.
 * A suffix whose whole neighbourhood is the same wherever it occurs is settled
   by that scan. Where neighbourhoods differ (the ends of a match), the strings
   at each start go through a second scan of the same kind.
@@ -44,13 +45,25 @@ KEPT, EARLIER, MIXED = 0, 1, 2
 
 
 class SuffixLevels:
-    """Sorted levels of (fingerprint, neighbourhood, first batch); equal ranks merge."""
+    """Sorted levels of (fingerprint, neighbourhood or 0 if mixed) of the batches so far; equal ranks merge."""
 
     def __init__(self) -> None:
-        self.levels: list[tuple[int, tuple[np.ndarray, np.ndarray, np.ndarray]]] = []
+        self.levels: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
 
-    def add(self, keys: np.ndarray, around: np.ndarray, batch: int) -> None:
-        rank, new = 0, (keys, around, np.full(len(keys), batch, np.int32))
+    def scan(self, keys: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each suffix of a new batch: KEPT, EARLIER or MIXED, as far as earlier batches tell; and its neighbourhood, 0 where it differs from theirs."""
+        around = around.copy()
+        out = np.where(around == 0, np.uint8(MIXED), np.uint8(KEPT))
+        for _, (have, theirs) in self.levels:
+            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+            hit = have[at] == keys
+            out[hit & (out == KEPT)] = EARLIER
+            differs = hit & (theirs[at] != around)
+            out[differs], around[differs] = MIXED, 0
+        return out, around
+
+    def add(self, keys: np.ndarray, around: np.ndarray) -> None:
+        rank, new = 0, (keys, around)
         while self.levels and self.levels[-1][0] == rank:
             new, rank = self.merged(self.levels.pop()[1], new), rank + 1
         self.levels.append((rank, new))
@@ -59,33 +72,29 @@ class SuffixLevels:
     def merged(a, b):
         keys = np.concatenate([a[0], b[0]])
         order = np.argsort(keys, kind="stable")  # two sorted runs: one linear merge
-        keys, around, first = keys[order], np.concatenate([a[1], b[1]])[order], np.concatenate([a[2], b[2]])[order]
+        keys, around = keys[order], np.concatenate([a[1], b[1]])[order]
         fresh = np.ones(len(keys), bool)
         fresh[1:] = keys[1:] != keys[:-1]
         twin = np.flatnonzero(~fresh)
         around[twin - 1] = np.where(around[twin] == around[twin - 1], around[twin], 0)
-        first[twin - 1] = np.minimum(first[twin], first[twin - 1])
-        return keys[fresh], around[fresh], first[fresh]
+        return keys[fresh], around[fresh]
 
-    def scan(self, keys: np.ndarray, around: np.ndarray, batch: int) -> np.ndarray:
-        """For each key of a batch: kept here first, met in an earlier batch, or of mixed neighbourhoods (0)."""
-        out = np.where(around == 0, np.uint8(MIXED), np.uint8(KEPT))
-        for _, (have, theirs, first) in self.levels:
-            at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
-            hit = have[at] == keys
-            out[hit & (first[at] < batch) & (out == KEPT)] = EARLIER
-            out[hit & (theirs[at] != around)] = MIXED
-        return out
+    def mixed(self) -> np.ndarray:
+        """Sorted fingerprints whose neighbourhoods differ somewhere."""
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(keys[around == 0] for _, (keys, around) in self.levels)]))
 
 
-def _bucket(table: pa.Table) -> pa.Table:
-    levels, runs = SuffixLevels(), []
-    for b, c, n, keys, vals in zip(*(table[x].to_pylist() for x in ("bucket", "chunk", "n", "keys", "vals")), strict=True):
-        keys = X.unpack_sorted(keys)
-        around = X.unpack(vals, np.uint64) if vals is not None else np.ones(n, np.uint64)
-        levels.add(keys, around, c)
-        runs.append((c, b, keys, around))
-    return X.answers([(c, b, levels.scan(keys, around, c)) for c, b, keys, around in runs])
+def _bucket(runs):
+    """Batches in their order: each is scanned against the levels of those before it, then joins them."""
+    levels, said = SuffixLevels(), []
+    for _, keys, around in runs:
+        verdict, around = levels.scan(keys, np.ones(len(keys), np.uint64) if around is None else around)
+        levels.add(keys, around)
+        said.append(verdict)
+    mixed = levels.mixed()
+    for (_, keys, _), verdict in zip(runs, said, strict=True) if len(mixed) else ():
+        verdict[mixed[np.minimum(np.searchsorted(mixed, keys), len(mixed) - 1)] == keys] = MIXED
+    return said, None
 
 
 class Chunk:
@@ -119,7 +128,8 @@ class Chunk:
             left = np.maximum(at - self.width + 1, offsets[row])
             right = np.minimum(at + self.length, offsets[row + 1])
             around = B.span_hash(sums, left, right) + ((at - left) * (2 * self.length) + right - at).astype(np.uint64)
-            yield begin, sums, lowest, grams[at], B.mix(around) | np.uint64(1), begin + left, begin + right
+            # mixed once more, as the lowest hashes would all fall into the first buckets
+            yield begin, sums, lowest, B.mix(grams[at]), B.mix(around) | np.uint64(1), begin + left, begin + right
 
     def suffixes(self):
         """The sampled suffixes: fingerprints, neighbourhoods and their spans; sorted distinct fingerprints (0: mixed)."""
@@ -139,8 +149,9 @@ class Chunk:
         for begin, sums, lowest, *_ in self.slices() if len(mixed) else ():
             turn = np.flatnonzero(np.diff(lowest, prepend=np.uint64(0), append=np.uint64(0)))
             value = lowest[turn[:-1]]
-            at = np.minimum(np.searchsorted(mixed, value), len(mixed) - 1)
-            hit = (mixed[at] == value) & (value > 0)
+            key = B.mix(value)
+            at = np.minimum(np.searchsorted(mixed, key), len(mixed) - 1)
+            hit = (mixed[at] == key) & (value > 0)
             n = np.diff(turn)[hit]
             start = np.repeat(turn[:-1][hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
             starts.append(begin + start)
@@ -148,23 +159,23 @@ class Chunk:
         return np.concatenate(starts), np.concatenate(hashes)
 
 
-def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int | None = None, carry: list[str] | None = None) -> DataFrame:
+def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int | None = None, carry: list[str] | None = None, direct: int | None = None) -> DataFrame:
     """doc_id, text, spans (array of start and end of each removed run of bytes), kept (the other bytes) and the columns carry of every row."""
     if gram >= length:
         raise ValueError("gram must be below length")
-    n = chunks or X.parts(docs.sparkSession)
     own = docs.select("doc_id", "text", *(carry or []))
-    placed = X.by_range(own, n)
+    exchange = X.Exchange.of(chunks or X.parts(own), direct)
+    placed = X.by_range(own, exchange.chunks)
 
     def ask_suffixes(key, table):
         keys, around, *_ = Chunk(table, length, gram).suffixes()
-        return X.asked(key[0].as_py(), keys, n, around)
+        return exchange.asked(key[0].as_py(), keys, around)
 
     def ask_strings(key, table, said):
         chunk = Chunk(table, length, gram)
         keys = chunk.suffixes()[0]
         _, hashes = chunk.strings(keys[X.answered(said, np.uint8) == MIXED])
-        return X.asked(key[0].as_py(), np.unique(hashes), n)
+        return exchange.asked(key[0].as_py(), np.unique(hashes))
 
     def settle(key, table, said):
         which = np.array(said["round"].to_pylist())
@@ -196,10 +207,9 @@ def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int
 
     columns = own.columns
     schema = T.StructType([*own.schema.fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.BinaryType())])
-    bucket = lambda asked: asked.groupBy("bucket").applyInArrow(_bucket, X.ANSWER)
-    first = bucket(placed.groupBy("chunk").applyInArrow(ask_suffixes, X.ASKED))
+    first, _ = exchange.ask(placed.groupBy("chunk").applyInArrow(ask_suffixes, X.ASKED), _bucket, np.uint64)
     again = placed.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_strings, X.ASKED)
-    both = first.withColumn("round", F.lit(1)).unionByName(bucket(again).withColumn("round", F.lit(2)))
+    both = first.withColumn("round", F.lit(1)).unionByName(exchange.ask(again, _bucket)[0].withColumn("round", F.lit(2)))
     return placed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(settle, schema)
 
 

@@ -70,11 +70,28 @@ def prefix_sums(data: np.ndarray) -> np.ndarray:
 
 
 def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end)."""
+    """64-bit hashes of the spans [start, end), for spans of some 200 bytes at most: a sum of powers modulo 2**64 can't tell some spans of 1,024 apart."""
     _, down = powers(len(sums))
     return mix((sums[end] - sums[start]) * down[start])
 
 
+#: Bytes of a span that one sum of powers covers in long_hash.
+_BLOCK = 32
+
+
+def long_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of any length: each block of a span is finalised together with its place before blocks are summed."""
+    size = end - start
+    blocks = np.maximum(1, -(-size // _BLOCK))
+    first = np.cumsum(blocks) - blocks
+    span = np.repeat(np.arange(len(start)), blocks)
+    place = np.arange(int(blocks.sum())) - first[span]
+    begin = start[span] + _BLOCK * place
+    each = span_hash(sums, begin, np.minimum(begin + _BLOCK, end[span]))
+    each = mix(each + (place + 1).astype(np.uint64) * np.uint64(_BASE))
+    return mix((np.add.reduceat(each, first) if len(first) else each) + size.astype(np.uint64))
+
+
 def gram_hash(sums: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k bytes from each position."""
     _, down = powers(len(sums))
@@ -119,7 +136,7 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     ends[last] = inside[last]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    return span_hash(prefix_sums(data), start, end), row
+    return long_hash(prefix_sums(data), start, end), row
 
 
 def runs_of(rows: np.ndarray, n: int) -> np.ndarray:

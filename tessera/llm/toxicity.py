@@ -57,7 +57,7 @@ def letter_words(column):
         stops = np.flatnonzero(stop)
         end = stops[np.searchsorted(stops, start, "right")]
         row = np.searchsorted(cut, start, "right") - 1
-        yield i, j - i, B.span_hash(B.prefix_sums(d), start, end), row, start - cut[row], end - cut[row]
+        yield i, j - i, B.long_hash(B.prefix_sums(d), start, end), row, start - cut[row], end - cut[row]
 
 
 @dataclass

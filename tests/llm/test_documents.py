@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import jaccard_join, language_id, lm_scoring, packing, suffix_dedup, toxicity
+from tessera.llm import exchange, jaccard_join, language_id, lm_scoring, packing, suffix_dedup, toxicity
 from tessera.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, chunk string, row string"
@@ -47,9 +47,9 @@ def key(row):
     return tuple((x is not None, x if x is not None else 0) for x in row)
 
 
-@pytest.mark.parametrize("chunks", [1, 4])
-def test_suffix_dedup_equals_the_rule_read_literally(docs, rows, chunks):
-    got = suffix_dedup.digest(suffix_dedup.find_repeats(docs, 100, chunks=chunks)).collect()
+@pytest.mark.parametrize(("chunks", "direct"), [(1, None), (4, None), (7, 2)])
+def test_suffix_dedup_equals_the_rule_read_literally(docs, rows, chunks, direct):
+    got = suffix_dedup.digest(suffix_dedup.find_repeats(docs, 100, chunks=chunks, direct=direct)).collect()
     assert sorted(map(tuple, got), key=key) == sorted(suffix_dedup.brute_force([r[:2] for r in rows], 100), key=key)
 
 
@@ -58,14 +58,68 @@ def test_suffix_dedup_carries_columns_and_takes_empty_tables(docs, none):
     assert suffix_dedup.find_repeats(none).count() == 0
 
 
-def test_levels_merge_geometrically():
-    levels = suffix_dedup.SuffixLevels()
-    for batch in range(7):
-        levels.add(np.arange(batch, batch + 3, dtype=np.uint64), np.full(3, 5, np.uint64), batch)
-    assert [rank for rank, _ in levels.levels] == [2, 1, 0]
-    same = np.full(3, 5, np.uint64)
-    assert levels.scan(np.arange(6, 9, dtype=np.uint64), same, 6).tolist() == [suffix_dedup.EARLIER, suffix_dedup.EARLIER, suffix_dedup.KEPT]
-    assert levels.scan(np.arange(0, 1, dtype=np.uint64), np.full(1, 9, np.uint64), 6).tolist() == [suffix_dedup.MIXED]
+def test_levels_are_scanned_by_each_batch_and_merge_geometrically():
+    levels, r = suffix_dedup.SuffixLevels(), np.random.default_rng(1)
+    seen: dict[int, int] = {}
+    for batch in range(1, 12):
+        keys = np.unique(r.integers(0, 200, 40)).astype(np.uint64)
+        around = np.where(keys % 7 == 0, r.integers(1, 3, len(keys)), keys + 5).astype(np.uint64)
+        verdict, told = levels.scan(keys, around)
+        want = [suffix_dedup.KEPT if k not in seen else suffix_dedup.EARLIER if seen[k] == a else suffix_dedup.MIXED for k, a in zip(keys.tolist(), around.tolist())]
+        assert verdict.tolist() == want
+        levels.add(keys, told)
+        seen.update((k, seen.get(k, a) if seen.get(k, a) == a else 0) for k, a in zip(keys.tolist(), around.tolist()))
+        assert sorted((rank for rank, _ in levels.levels), reverse=True) == [i for i in range(4, -1, -1) if batch >> i & 1]
+        assert levels.mixed().tolist() == sorted(k for k, a in seen.items() if a == 0)
+
+
+def test_suffixes_fall_into_all_buckets_alike():
+    import pyarrow as pa
+
+    table = pa.table({"doc_id": [1], "text": [prose(12, 9000)]})
+    keys = suffix_dedup.Chunk(table, 100, 32).suffixes()[0]
+    held = np.histogram(keys.astype(float), 8, (0, 2.0**64))[0]
+    assert held.min() > 0.8 * held.mean()
+
+
+def test_chunks_follow_bytes_in_the_order_of_ids(spark):
+    texts = [(i, "x" * (4000 if i < 100 else 100)) for i in range(1000)] + [(None, "y" * 50)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string")
+    assert exchange.parts(frame, chunk_bytes=100_000) == 5
+    got = exchange.by_range(frame, 5).selectExpr("doc_id", "chunk", "length(text) as n").collect()
+    assert [r["chunk"] for r in sorted(got, key=lambda r: r["doc_id"] or -1)] == sorted(r["chunk"] for r in got)
+    held = np.bincount([r["chunk"] for r in got], [r["n"] for r in got])
+    assert len(held) == 5 and held.max() < 1.5 * held.mean()
+
+
+def test_blocks_of_an_exchange_grow_less_than_the_square(spark):
+    def blocks(chunks, direct):
+        e = exchange.Exchange.of(chunks, direct)
+        keys = np.sort(np.random.default_rng(chunks).integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2))
+        return sum(e.asked(c, keys).num_rows for c in range(chunks))
+
+    assert blocks(64, 64) == 64 * 64
+    assert blocks(64, 8) == 64 * 8 and blocks(256, 8) == 256 * 16
+
+
+def alternating(n, a="a", b="b"):
+    """Two spans of n letters whose sums of powers modulo 2**64 are equal from n = 1,024 on, whatever the base."""
+    first = "".join(a if i.bit_count() % 2 == 0 else b for i in range(n))
+    return first, "".join(b if i.bit_count() % 2 == 0 else a for i in range(n))
+
+
+def test_words_of_equal_sums_are_told_apart(spark):
+    rows = []
+    for k, (n, a, b) in enumerate([(1024, "a", "b"), (4096, "c", "d"), (4096, "e" * 32, "f" * 32)]):
+        rows += [(10 * k + i, f"{word} w x y z{k}") for i, word in enumerate(alternating(n, a, b))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard_join.near_duplicates(frame).select("doc_id", "n_shingles", "component_id").collect()
+    assert sorted(map(tuple, got)) == sorted(jaccard_join.brute_force(rows)) and all(d == c for d, _, c in got)
+    removed = suffix_dedup.digest(suffix_dedup.find_repeats(frame, 100)).collect()
+    assert sorted(map(tuple, removed)) == sorted(suffix_dedup.brute_force(rows, 100))
+    known = {r["doc_id"]: r["n_known"] for r in lm_scoring.score_texts(frame, F.col("doc_id") % 10 == 0).collect()}
+    plain = lm_scoring.brute_force([(d, t, d % 10 == 0) for d, t in rows])
+    assert known == {r[0]: r[2] for r in plain}
 
 
 def test_near_duplicates_equal_all_pairs(docs, rows):
@@ -99,6 +153,28 @@ def test_near_duplicates_with_null_ids_bridge_others(spark):
     assert (3, plain[2][1], 1) in got and (None, plain[1][1], 1) in got
 
 
+def test_near_duplicates_of_small_vocabularies_in_a_wide_exchange(spark):
+    r, rows = random.Random(3), []
+    bases = [[f"w{r.randrange(60)}" for _ in range(r.randrange(5, 60))] for _ in range(8)]
+    for i in range(160):
+        words = list(r.choice(bases))
+        for _ in range(r.randrange(4)):
+            words[r.randrange(len(words))] = f"w{r.randrange(60)}"
+        rows.append((i, " ".join(words)))
+    got = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=70, chunks=9, direct=3)
+    assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == sorted(jaccard_join.brute_force(rows, percent=70))
+
+
+def test_documents_of_one_template_that_do_not_link_are_no_candidates(spark):
+    """20,000 sets of 100 shingles: 15 of their own, 85 of the template, of which the first six are in every prefix."""
+    n = 20_000
+    posts = spark.range(n).select(F.col("id").cast("string").cast("binary").alias("grp"), F.lit(100).alias("n"), F.explode(F.sequence(F.lit(15), F.lit(20))).alias("pos"), F.col("id").alias("a"), F.col("id").alias("b"))
+    posts = posts.withColumn("token", F.col("pos").cast("long"))
+    assert jaccard_join.group_pairs(posts, 80).count() == 0
+    twins = posts.where("a < 30").withColumn("pos", F.col("pos") - 10)
+    assert jaccard_join.group_pairs(twins, 80).count() == 30 * 29 // 2
+
+
 def test_near_duplicates_of_no_rows(none):
     assert jaccard_join.near_duplicates(none).count() == 0
 
@@ -259,10 +335,10 @@ def test_language_id_tells_languages_and_rejects(spark, docs, rows, none):
     assert {r["lang_pred"] for r in nothing.collect()} == {"und"}
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
-def test_lm_scores_equal_the_model_read_literally(docs, rows, order):
+@pytest.mark.parametrize(("order", "direct"), [(1, None), (2, 1), (3, None)])
+def test_lm_scores_equal_the_model_read_literally(docs, rows, order, direct):
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
-    got = lm_scoring.score_texts(docs, train, order).collect()
+    got = lm_scoring.score_texts(docs, train, order, chunks=5, direct=direct).collect()
     plain = lm_scoring.brute_force([(d, t, d is not None and zlib.crc32(str(d).encode()) % 7 != 2) for d, t, *_ in rows], order)
     mine = sorted(((r["doc_id"] or -1, r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), round(r["score"], 6)) for r in got))
     assert mine == sorted((d or -1, n, k, t, round(b, 6), round(s, 6)) for d, n, k, t, b, s in plain)
