@@ -109,8 +109,8 @@ def test_search_equals_brute_force(spark):
     codes = [r.getrandbits(64) for _ in range(120)]
     near = [c ^ (1 << r.randrange(64)) for c in codes[:40]]
     rows = [(i, c) for i, c in enumerate(codes + near + [codes[0]] * 60 + [codes[5] ^ 0xFFFF])] + [(5, codes[5]), (7000, codes[3]), (None, codes[1]), (8000, None)]
-    signed = [(i, None if c is None else int(np.uint64(c).view(np.int64)), "clash") for i, c in rows]
-    frame = spark.createDataFrame(signed, "id long, code long, distance string")
+    signed = [(i, None if c is None else [int(np.uint64(c).view(np.int64))], "clash") for i, c in rows]
+    frame = spark.createDataFrame(signed, "id long, code array<long>, distance string")
     got = code_search.top_k(frame, F.col("id") % 20 == 0, k=10, shard_rows=64, query_block=4).collect()
     known = sorted({(i, c) for i, c in rows if i is not None and c is not None})
     want = set()
@@ -125,14 +125,24 @@ def test_search_equals_brute_force(spark):
 
 
 def test_sign_codes(spark):
-    frame = spark.createDataFrame([(1, [1.0, -1.0, 0.0]), (2, []), (3, None), (4, [-1.0] * 63 + [1.0])], "id long, e array<float>")
-    assert dict(map(tuple, frame.select("id", code_search.sign_code("e")).collect())) == {1: 5, 2: None, 3: None, 4: -(1 << 63)}
-
-
-def test_wide_embeddings_are_an_error(spark):
-    wide = spark.createDataFrame([([1.0] * 64,), ([1.0] * 65,)], "e array<double>").select(code_search.sign_code("e").alias("c"))
-    with pytest.raises(Exception, match="more than 64 components: 65"):
-        wide.collect()
+    rows = [(1, [1.0, -1.0, 0.0]), (2, []), (3, None), (4, [-1.0] * 63 + [1.0]), (5, [1.0] * 65), (6, [None, float("nan"), -0.0])]
+    frame = spark.createDataFrame(rows, "id long, e array<float>")
+    assert dict(map(tuple, frame.select("id", code_search.sign_code("e")).collect())) == {1: [5], 2: None, 3: None, 4: [-(1 << 63)], 5: [-1, 1], 6: [6]}
+
+
+def test_search_in_wide_codes_equals_brute_force(spark):
+    r = np.random.default_rng(4)
+    rows = r.normal(size=(150, 150))
+    rows[75:] = rows[:75] + 0.4 * r.normal(size=(75, 150))
+    codes = [sum(1 << i for i, x in enumerate(row) if x >= 0) for row in rows]
+    codes[7] &= (1 << 60) - 1  # a shorter embedding: what it lacks counts as zeros
+    frame = spark.createDataFrame([(i, row.tolist()[: 60 if i == 7 else None]) for i, row in enumerate(rows)], "id long, e array<double>").select("id", code_search.sign_code("e").alias("code"))
+    got = {tuple(x) for x in code_search.top_k(frame, F.col("id") % 20 == 0, k=4, shard_rows=50).collect()}
+    want = set()
+    for i in range(0, 150, 20):
+        best = sorted(((codes[i] ^ d).bit_count(), j) for j, d in enumerate(codes) if j != i)[:4]
+        want |= {(i, j, distance, k) for k, (distance, j) in enumerate(best, 1)}
+    assert got == want
 
 
 def test_mixing_meets_its_targets(spark):
