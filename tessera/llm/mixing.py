@@ -1,7 +1,8 @@
 """Mixing documents to target weights of domains, with DataFrame expressions only.
 
 1. A naive Bayes classifier over hashed words is counted on at most ``sample``
-   rows of the labelled table (lowest hash of the id; a documented bound). Every
+   rows of the labelled table (lowest hash of the id; a documented bound),
+   smoothed by the words of all domains together. Every
    text gets a posterior p over the domains, its evidence tempered by the square
    root of its words, so that long texts keep a soft membership.
 2. Each document gets a rate r >= 0, from 1, so that the expected tokens
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -89,7 +91,13 @@ def classify(docs: DataFrame, labelled: DataFrame, sample: int = 10_000) -> Mix:
     held = words.groupBy("domain", _bin(F.col("word")).alias("bin")).agg(F.count("word").alias("n")).collect()  # domains * BINS rows
     rows = few.groupBy("domain").count().collect()
     domains = sorted(r["domain"] for r in rows)
-    counts = {d: [1.0] * BINS for d in domains}
+    every_word = [1.0] * BINS
+    for r in held:
+        if r["bin"] is not None:
+            every_word[r["bin"]] += r["n"]
+    # a domain of few words is taken to read like all of them: BINS words of the common distribution are added to each
+    common = [n * BINS / sum(every_word) for n in every_word]
+    counts = {d: list(common) for d in domains}
     for r in held:
         if r["domain"] in counts and r["bin"] is not None:
             counts[r["domain"]][r["bin"]] += r["n"]
@@ -117,15 +125,16 @@ def posteriors(docs: DataFrame, mix: Mix) -> DataFrame:
         return let(odds, lambda o: let(F.aggregate(o, F.lit(0.0), lambda a, y: a + y), lambda total: F.transform(o, lambda y: y / total)))
 
     found = let(F.transform(words_of("text"), _bin), lambda b: F.struct(F.size(b).cast("long").alias("n_tokens"), let(logs(b), shares).alias("posterior")))
-    rows = docs.withColumn("_found", found)
-    return rows.withColumns({"n_tokens": F.col("_found.n_tokens"), "posterior": F.col("_found.posterior")}).drop("_found")
+    name = "_found" + "_" * max([0, *(len(c) for c in docs.columns)])  # longer than any column of the input
+    return docs.withColumn(name, found).withColumns({"n_tokens": F.col(f"{name}.n_tokens"), "posterior": F.col(f"{name}.posterior")}).drop(name)
+
 
+def fit_rates(known: DataFrame, mix: Mix, weights: dict[str, float] | Callable, steps: int = 12, within: float = 1e-6) -> Mix:
+    """Adds to mix the gradient steps that bring the domains' expected tokens to weights of all tokens; known has n_tokens and posterior.
 
-def fit_rates(known: DataFrame, mix: Mix, weights: dict[str, float], steps: int = 12, within: float = 1e-6) -> Mix:
-    """Adds to mix the gradient steps that bring the domains' expected tokens to weights of all tokens; known has n_tokens and posterior."""
-    size = len(mix.domains)
-    rest = max(0.0, 1 - sum(weights.values())) / max(1, sum(d not in weights for d in mix.domains))
-    shares = [max(1e-9, weights.get(d, rest)) for d in mix.domains]
+    weights may be a function that makes them from the domains' present shares.
+    """
+    size, shares = len(mix.domains), []
     known = known.select("n_tokens", "posterior")
     p = [F.col("posterior")[k] for k in range(size)]
     for _ in range(steps + 1):
@@ -135,6 +144,10 @@ def fit_rates(known: DataFrame, mix: Mix, weights: dict[str, float], steps: int
         sums = rated.select(F.sum("n_tokens"), *totals, *gram).first()
         if not sums[0]:
             break
+        if not shares:
+            wanted = weights({d: t / sums[0] for d, t in zip(mix.domains, sums[1:], strict=False)}) if callable(weights) else weights
+            rest = max(0.0, 1 - sum(wanted.values())) / max(1, sum(d not in wanted for d in mix.domains))
+            shares = [max(1e-9, wanted.get(d, rest)) for d in mix.domains]
         mix.targets = [s * sums[0] / sum(shares) for s in shares]
         mix.totals = [float(x) for x in sums[1 : size + 1]]
         gaps = [m - t for m, t in zip(mix.totals, mix.targets, strict=True)]
@@ -151,7 +164,7 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
     return labels.select("doc_id", domain.alias("domain"))
 
 
-def mix_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], sample: int = 10_000) -> tuple[DataFrame, Mix]:
+def mix_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | Callable, sample: int = 10_000) -> tuple[DataFrame, Mix]:
     """docs with n_tokens, posterior and rate, and the fitted mix."""
     docs = docs.drop("n_tokens", "posterior", "rate")
     mix = classify(docs, labelled, sample)
@@ -162,9 +175,7 @@ def mix_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float
     return posteriors(docs, mix).withColumn("rate", mix.rates(F.col("posterior"))), mix
 
 
-def keep_by_rate(mixed: DataFrame, whole: Column | float = 1.0, key: str = "doc_id", clean: Column | None = None) -> DataFrame:
-    """Rows that stay in a corpus where none is repeated: the clean, those of a rate of whole or more, and of the others rate / whole by hash."""
-    whole = F.lit(whole) if isinstance(whole, float) else whole
+def keep_by_rate(mixed: DataFrame, whole: float = 1.0, key: str = "doc_id") -> DataFrame:
+    """Rows that stay in a corpus where none is repeated: those of a rate of whole or more, and of the others rate / whole by hash."""
     draw = F.pmod(F.xxhash64(key, "text"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    stays = F.col("rate") / F.greatest(whole, F.lit(1e-9)) + draw >= 1
-    return mixed.where(stays if clean is None else clean | stays)
+    return mixed.where(F.col("rate") / F.lit(max(whole, 1e-9)) + draw >= 1)

@@ -172,6 +172,75 @@ def test_mixing_meets_its_targets(spark):
     assert {tuple(x["posterior"]) for x in unlabelled.collect()} == {(1.0,)}
 
 
+def test_pipeline_mixing_keeps_shares_near_its_targets(spark):
+    import corpus_pipeline as cp
+
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), mixing.labelled_domains(spark.read.parquet(f"{sf}/labels.parquet"))
+    mixed, mix = mixing.mix_documents(docs, labels, cp.weights)
+    shares = [F.sum(F.col("n_tokens") * F.col("posterior")[k]) / F.sum("n_tokens") for k in range(3)]
+    before, kept = mixed.select(shares).first(), mixing.keep_by_rate(mixed)
+    after, wanted = kept.select(shares).first(), [{"good": 0.95, "poor": 0.035, "toxic": 0.015}[d] for d in mix.domains]
+    assert max(abs(a - w) for a, w in zip(after, wanted)) < 0.02 < max(abs(b - w) for b, w in zip(before, wanted))
+    assert cp.mix(spark, docs, sf).count() == kept.count() < docs.count()
+    assert not mixed.join(kept, "doc_id", "left_anti").join(labels, "doc_id").where("domain = 'good'").count()
+    assert cp.weights({"good": 0.98, "poor": 0.02}) == {"good": 0.98, "poor": 0.02}
+    assert np.isclose(cp.weights({"good": 0.5, "fair": 0.3, "poor": 0.2})["good"], 0.965 * 5 / 8)
+
+
+def plain_rates(n, p, target, steps=4000):
+    """Nonnegative rates from 1 on by small projected gradient steps on |M - T|^2 in the same metric, one document at a time."""
+    r = np.ones(len(n))
+    for _ in range(steps):
+        m = (r * n) @ p
+        used = r > 0
+        gram = (p[used] * n[used, None]).T @ p[used] + 1e-9 * n.sum() * np.eye(p.shape[1])
+        r = np.maximum(0, r - 0.05 * p @ np.linalg.solve(gram, m - target))
+    return r
+
+
+def test_rates_equal_a_plain_solver(spark):
+    g = np.random.default_rng(6)
+    p = g.dirichlet([0.4, 0.3, 0.2], 400)
+    n = g.integers(1, 300, 400)
+    frame = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p)], "n_tokens long, posterior array<double>")
+    for weights in ({"a": 0.5, "b": 0.3, "c": 0.2}, {"a": 0.9, "b": 0.08, "c": 0.02}):
+        mix = mixing.fit_rates(frame, mixing.Mix(["a", "b", "c"], [], []), weights)
+        got = np.array([x["r"] for x in frame.withColumn("r", mix.rates(F.col("posterior"))).collect()])
+        want = plain_rates(n, p, np.array(list(weights.values())) * n.sum())
+        assert np.allclose((got * n) @ p / n.sum(), list(weights.values()), atol=1e-4)
+        assert np.corrcoef(got, want)[0, 1] > 0.98
+
+
+def test_posteriors_equal_naive_bayes_read_literally(spark):
+    rows = [(1, "a b b", "x"), (2, "B c", "x"), (3, "d d d a", "y"), (4, None, "y")]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(5, "a d c " * 4000), (6, ""), (1, "a b b")], "doc_id long, text string").withColumn("_found", F.lit(7))
+    told = spark.createDataFrame([(r[0], r[2]) for r in rows] + [(1, "z")], "doc_id long, domain string")
+    mix = mixing.classify(docs.limit(4), told)
+    bins = {w: spark.range(1).select(mixing._bin(F.lit(w))).first()[0] for w in "abcd"}
+    counts = {"x": {}, "y": {}}
+    for _, text, domain in rows:
+        for w in (text or "").lower().split():
+            counts[domain][bins[w]] = counts[domain].get(bins[w], 0) + 1
+    every = {b: 1 + sum(c.get(b, 0) for c in counts.values()) for b in bins.values()}
+    most = sum(sum(c.values()) for c in counts.values()) + mixing.BINS
+    for r in mixing.posteriors(docs, mix).collect():
+        words = (r["text"] or "").lower().split()
+        log = {d: sum(np.log((c.get(bins[w], 0) + every[bins[w]] * mixing.BINS / most) / (sum(c.values()) + mixing.BINS)) for w in words) / np.sqrt(max(1, len(words))) + np.log(0.5) for d, c in counts.items()}
+        want = 1 / (1 + np.exp(log["y"] - log["x"]))
+        assert r["n_tokens"] == len(words) and r["_found"] == 7 and abs(r["posterior"][0] - want) < 1e-9
+
+
+def test_pipeline_of_no_rows_and_of_clashing_columns(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    source = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    clash = source.selectExpr("*", "'c' as chunk", "1 as rate", "'c' as component_id", "2 as n_tokens", "0 as shard", "null as posterior", "1 as spans")
+    for name, stage in cp.STAGES:
+        assert stage(spark, source.where("false"), SF).count() == 0
+        assert stage(spark, clash, SF).count() == stage(spark, source, SF).count()
+
+
 def test_solve():
     assert np.allclose(mixing.solve([[0.0, 2.0], [1.0, 1.0]], [4.0, 5.0]), [3.0, 2.0])
 
@@ -200,6 +269,8 @@ def test_pipeline_stages_agree_with_their_operators(spark, tmp_path):
     plain = {d: n - gone for d, n, gone, *_ in suffix_dedup.brute_force([tuple(r) for r in before.select("doc_id", "text").collect()])}
     assert {r["doc_id"]: len(r["text"].encode()) for r in after.collect()} == {d: n for d, n in plain.items() if n}
     before, after = seen["mixing"]
-    assert 0.8 * before.count() < after.count() <= before.count()
+    mixed, _ = mixing.mix_documents(before, mixing.labelled_domains(spark.read.parquet(f"{SF}/labels.parquet")), cp.weights)
+    assert sorted(r["doc_id"] for r in after.collect()) == sorted(r["doc_id"] for r in mixing.keep_by_rate(mixed).collect())
+    assert {r["doc_id"] for r in mixed.where("rate >= 1").collect()} <= {r["doc_id"] for r in after.collect()}
     before, after = seen["packing"]
     assert {r["doc_id"] for r in after.select("doc_id").distinct().collect()} == {r["doc_id"] for r in before.collect()}
