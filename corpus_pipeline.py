@@ -1,16 +1,21 @@
 """A corpus from raw documents to packed windows, in five stages over whole tables.
 
 STAGES: (name, function); a function takes (spark, docs, sf_dir) and returns a
-DataFrame, written as Parquet and read again as the next one's docs.
+DataFrame, written as Parquet and read again as the next one's docs. Stages take
+the columns of documents and ignore others. An empty table stays empty. Null and
+empty texts and null ids are treated as each operator states; a document of null
+or empty text has no language and goes in stage 1.
 
 1. language: documents that language identification rejects go.
 2. near_duplicates: of each group of linked documents the one of the smallest
    doc_id stays (a repeated row stays once).
 3. repeated_passages: bytes in 100-byte strings that also start earlier go from
    the texts; n_chars follows; a document of which nothing is left goes.
-4. mixing: rates bring the expected tokens of good, poor and toxic text to
-   TARGETS. A document stays if it is good with a posterior of CLEAN or more, or
-   if its rate is 1 or more; of the others the share of their rate stays, by hash.
+4. mixing: rates bring the expected tokens of poor and toxic text down to
+   TARGETS, or leave them where the corpus holds less; good text has the rest. A
+   stage can drop documents but not repeat them, so a document of rate 1 or more
+   stays, of the others the share of their rate, by hash. Good text has rates of 1
+   and above.
 5. packing: token windows of lexical neighbours.
 """
 
@@ -23,9 +28,8 @@ from pyspark.sql import functions as F
 from tessera.llm import jaccard_join, language_id, mixing, packing, suffix_dedup
 from tessera.llm.storage import fresh_path
 
-TARGETS = {"good": 0.85, "poor": 0.11, "toxic": 0.04}
-#: Posterior of good from which a document counts as clean; mixing never drops it.
-CLEAN = 0.5
+#: Shares of all tokens that poor and toxic text may have.
+TARGETS = {"poor": 0.035, "toxic": 0.015}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -51,11 +55,16 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return left.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+def weights(shares: dict[str, float]) -> dict[str, float]:
+    """The weights of the domains that a corpus of these shares can reach by dropping poor and toxic documents."""
+    less = {d: min(TARGETS[d], shares[d]) for d in shares if d in TARGETS}
+    return less | {d: s / (sum(shares.values()) - sum(shares[x] for x in less)) * (1 - sum(less.values())) for d, s in shares.items() if d not in less}
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = mixing.labelled_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    mixed, fitted = mixing.mix_documents(docs.select(COLUMNS), labels, TARGETS)
-    clean = F.col("posterior")[fitted.domains.index("good")] >= CLEAN if "good" in fitted.domains else None
-    return mixing.keep_by_rate(mixed, clean=clean).select(COLUMNS)
+    mixed, _ = mixing.mix_documents(docs.select(COLUMNS), labels, weights)
+    return mixing.keep_by_rate(mixed).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
