@@ -228,7 +228,15 @@ def test_both_encoders_give_the_same_ids(rows):
     texts = [t or "" for _, t, *_ in rows] + ["".join(r.choices(letters, k=r.randrange(200))) for _ in range(3000)]
     texts += ["".join(chr(r.choice([r.randrange(32, 0xD800), r.randrange(0xE000, 0x11000)])) for _ in range(60)) for _ in range(500)]
     texts += ["a" * 5000, " " * 5000, "x" + "\n" * 3000 + "y", "é" * 1999, "<|endoftext|> in a text"]
-    for text in texts:
+    latin = "".join(map(chr, range(0x180)))
+    texts += ["".join(r.choices(latin + "'  aé", k=r.randrange(80))) for _ in range(3000)] + [latin, latin[::-1], "I'll, we've 'd ''s  \n x", "a \x1c b", "ﬁ \u2028 x"]
+    texts += ["".join(r.choices("'stmdrevl aZé \n\tx", k=r.randrange(40))) for _ in range(4000)]
+    import pyarrow as pa
+
+    for text, ids in zip(texts, encode.batch(pa.array(texts))):
+        assert ids.tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
+    assert [x.tolist() for x in encode.batch(pa.array(["", None, "a b", None]))] == [[], [], encode("a b").tolist(), []]
+    for text in texts[:4000]:
         assert encode(text).tolist() == encode.tokenizer.encode(text, add_special_tokens=False).ids
 
 
