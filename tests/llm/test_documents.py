@@ -400,12 +400,10 @@ def test_toxicity_learns_words_and_their_places(spark, none):
     assert {x["score"] for x in toxicity.tag(docs, toxicity.fit(docs, frame.where("toxic = 0"))).collect()} == {0.0}
 
 
-def test_marginals_equal_a_full_chain():
-    r = np.random.default_rng(3)
-    tagger = toxicity.Tagger(np.arange(3, dtype=np.uint64), r.normal(size=3), -0.7, r.normal(size=(2, 2)))
-    n, at, word = 17, np.array([0, 4, 5, 16]), np.array([1, 0, 2, 1])
-    emit = np.full(n, np.exp(-0.7))
-    emit[at] = np.exp(tagger.weight[word])
+def full_marginals(tagger, n, at, score):
+    """Forward-backward over every word of one text, read literally; also the log of the sum over all paths."""
+    emit = np.full(n, np.exp(tagger.plain))
+    emit[at] = np.exp(score)
     step = np.exp(tagger.step)
     forward, backward = np.zeros((n, 2)), np.ones((n, 2))
     forward[0] = [1, emit[0]]
@@ -414,4 +412,76 @@ def test_marginals_equal_a_full_chain():
     for i in range(n - 2, -1, -1):
         backward[i] = step @ ([1, emit[i + 1]] * backward[i + 1])
     full = forward * backward
-    assert np.allclose(tagger.marginals(n, at, word), (full[:, 1] / full.sum(1))[at])
+    return full[:, 1] / full.sum(1), np.log(forward[-1].sum())
+
+
+def test_marginals_equal_a_full_chain():
+    r = np.random.default_rng(3)
+    tagger = toxicity.Tagger(np.arange(3, dtype=np.uint64), r.normal(size=3), -0.7, r.normal(size=(2, 2)))
+    places = [(17, [0, 4, 5, 16]), (3, []), (1, [0]), (9, [8]), (40, [2, 3, 30])]
+    n, at = np.array([p[0] for p in places]), np.array([x for p in places for x in p[1]])
+    cut = np.cumsum([0, *(len(p[1]) for p in places)])
+    score = r.normal(size=len(at))
+    want = np.concatenate([full_marginals(tagger, p[0], np.array(p[1], int), score[a:b])[0][np.array(p[1], int)] for p, a, b in zip(places, cut, cut[1:])])
+    assert np.allclose(tagger.marginals(n, cut, at, score), want)
+
+
+def test_gradient_equals_differences_of_the_likelihood_read_literally():
+    r = np.random.default_rng(4)
+    size = np.array([5, 1, 8])
+    word = r.integers(-1, 4, (14, 3))
+    word[r.random(14) < 0.4] = -1
+    toxic = r.integers(0, 2, 14)
+    theta = r.normal(size=4 + 1 + 4)
+
+    def likelihood(theta):
+        total, first = 0.0, 0
+        tagger = toxicity.Tagger(plain=theta[4], step=theta[5:].reshape(2, 2))
+        for n in size:
+            own, y = word[first : first + n], toxic[first : first + n]
+            at = np.flatnonzero((own >= 0).any(1))
+            score = np.array([sum(theta[f] for f in own[i] if f >= 0) for i in at])
+            emit = np.full(n, theta[4])
+            emit[at] = score
+            path = emit[y == 1].sum() + sum(theta[5 + 2 * a + b] for a, b in zip(y[:-1], y[1:]))
+            total += path - full_marginals(tagger, n, at, score)[1]
+            first += n
+        return total
+
+    got = toxicity.gradient(theta, size, word, toxic, 4)
+    assert np.isclose(got[-1], likelihood(theta))
+    for i in range(len(theta)):
+        near = np.zeros(len(theta))
+        near[i] = 1e-6
+        assert np.isclose(got[i], (likelihood(theta + near) - likelihood(theta - near)) / 2e-6, atol=1e-4)
+
+
+def test_toxic_words_that_were_never_labelled_are_found_by_their_affixes(spark):
+    r = random.Random(9)
+    plain = [f"{a}{b}{c}en" for a in "bdfgk" for b in "aeiou" for c in "lmnr"]
+    rows, labels = [], []
+    for i in range(500):
+        words = r.choices(plain, k=30)
+        if i % 4 == 0:
+            words[r.randrange(30)] = "zxq" + r.choice(["abel", "omir", "utan", "erip"]) + "ughx"
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 4 == 0)))
+    unseen = [(600, " ".join(plain[:20]) + " zxqinolughx " + plain[3]), (601, " ".join(plain[:22])), (602, " ".join(plain) * 300 + " zxqinolughx")]
+    docs = spark.createDataFrame([(*x, "clash", 1) for x in [*rows, *unseen, unseen[0]]], "doc_id long, text string, score string, toxic int")
+    tagger = toxicity.fit(docs, spark.createDataFrame([*labels, (4, 0), (1, None)], "doc_id long, toxic int"))
+    got = [x for x in toxicity.tag(docs, tagger).collect() if x["doc_id"] >= 600]
+    assert sorted((x["doc_id"], x["score"] >= 0.5) for x in got) == [(600, True), (600, True), (601, False), (602, True)]
+    for x in got:
+        text = dict(unseen)[x["doc_id"]]
+        assert [text.encode()[s["start"] : s["end"]] for s in x["spans"]] == ([b"zxqinolughx"] if x["doc_id"] != 601 else [])
+    # a document's score, read literally: the marginals of a full chain over all of its words
+    for x in [x for x in toxicity.tag(docs, tagger).collect() if x["doc_id"] in (0, 1, 600, 602)]:
+        import pyarrow as pa
+
+        text = dict([*rows, *unseen])[x["doc_id"]]
+        (_, n, _, at, word, _, _), = toxicity._found(pa.array([text]), tagger.keys)
+        score = [sum(tagger.weight[f] for f in w if f >= 0) for w in word]
+        p = full_marginals(tagger, int(n[0]), at, score)[0][at] if n[0] < 200 else None
+        if p is not None:
+            odds = 1 / np.prod(1 - np.minimum(p, 1 - 1e-9)) - 1 if len(p) else 1e-6
+            assert np.isclose(x["score"], 1 / (1 + np.exp(-(tagger.scale * np.log(max(odds, 1e-6)) + tagger.shift))), atol=1e-4)
