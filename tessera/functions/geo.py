@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,14 +33,27 @@ def cell(value: Column, size: Column | float) -> Column:
     return F.floor(value / size).cast("long")
 
 
+def cells_round(size: float) -> int:
+    """Grid cells around the globe, as wide as size in degrees at least."""
+    return max(1, int(360 / size))
+
+
+def cell_of(lat: Column, lon: Column, size: float) -> Column:
+    """Struct (y, x) of the grid cell of a point; 180 and -180 degrees are one meridian."""
+    round_ = cells_round(size)
+    return F.struct(cell(lat, size).alias("y"), F.pmod(F.floor((lon + 180.0) * round_ / 360.0), F.lit(round_)).cast("long").alias("x"))
+
+
 def cells_around(lat: Column, lon: Column, miles: float, size: float) -> Column:
-    """Structs (y, x) of all grid cells that a circle may touch."""
-    north = miles / MILES_PER_DEGREE
-    shrink = F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.abs(lat) + north))), F.lit(0.01))
-    east = F.lit(miles / MILES_PER_DEGREE) / shrink
+    """Structs (y, x) of all grid cells that a circle may touch: over the meridian of 180 degrees, and all around where it holds a pole."""
+    round_, north = cells_round(size), min(180.0, miles / MILES_PER_DEGREE)
+    wide = F.sin(F.lit(math.radians(min(north, 90.0)))) / F.greatest(F.cos(F.radians(lat)), F.lit(1e-12))
+    whole = (F.abs(lat) + north >= 89.999) | (wide >= 1.0)
+    east = F.when(whole, 180.0).otherwise(F.degrees(F.asin(F.least(wide, F.lit(1.0)))) + 1e-9)
+    at = lambda x: F.floor((x + 180.0) * round_ / 360.0)
+    columns = F.when(whole | (at(lon + east) - at(lon - east) >= round_), F.sequence(F.lit(0).cast("long"), F.lit(round_ - 1).cast("long"))).otherwise(F.sequence(at(lon - east), at(lon + east)))
     rows = F.sequence(cell(lat - north, size), cell(lat + north, size))
-    columns = F.sequence(cell(lon - east, size), cell(lon + east, size))
-    return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("y"), x.alias("x")))))
+    return F.flatten(F.transform(rows, lambda y: F.transform(columns, lambda x: F.struct(y.alias("y"), F.pmod(x, F.lit(round_)).cast("long").alias("x")))))
 
 
 def midpoint(first: Column, second: Column) -> Column:

@@ -41,9 +41,11 @@ def iso_date(value: Column) -> Column:
 
 
 def us_date(value: Column) -> Column:
-    """Month/day/year with four or two digits of year; else null."""
+    """Month/day/year with four or two digits of year (69 to 99: of 1900, else of 2000); else null."""
     text = blank(value)
-    return F.coalesce(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "M/d/yyyy")), F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(text, "M/d/yy")))
+    year = F.regexp_extract(text, r"/(\d{2})$", 1).try_cast("int")
+    full = F.concat(F.regexp_extract(text, r"^(.*/)\d{2}$", 1), (year + F.when(year >= 69, 1900).otherwise(2000)).cast("string"))
+    return F.coalesce(F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(text, "M/d/yyyy")), F.when(text.rlike(r"^\d{1,2}/\d{1,2}/\d{2}$"), F.try_to_date(full, "M/d/yyyy")))
 
 
 def any_date(value: Column) -> Column:
@@ -80,19 +82,36 @@ def same_text(a: Column, b: Column) -> Column:
     return (canon(a) == canon(b)) | (squash(a) == squash(b))
 
 
-def holds_words(text: Column, quote: Column) -> Column:
-    """Does a text hold a quote as whole words ("Lee" is not in "Leesville")? Case, dashes and white space don't count."""
-    wanted = squash(quote)
+def _whole_words(wanted: Column, spaces: str) -> Column:
+    """A pattern of a text as whole words; spaces may stand between its characters."""
     letter = r"[\p{L}\p{N}]"
     before = F.when(wanted.rlike(rf"^{letter}"), rf"(?<!{letter})").otherwise("")
     after = F.when(wanted.rlike(rf"{letter}$"), rf"(?!{letter})").otherwise("")
-    pattern = F.concat(before, F.regexp_replace(wanted, "(?s)(.)", r"\\Q$1\\E ?"), after)
-    return F.when(wanted == "", False).when(F.contains(squash(text), wanted), F.regexp_like(canon(text), pattern)).otherwise(False)
+    each = F.filter(F.split(wanted, ""), lambda c: c != "")
+    return F.concat(before, F.array_join(F.transform(each, lambda c: F.concat(F.lit(r"\Q"), c, F.lit(r"\E"))), spaces), after)
+
+
+def holds_words(text: Column, quote: Column) -> Column:
+    """Does a text hold a quote as whole words ("Lee" is not in "Leesville")? Case, dashes and white space don't count."""
+    wanted = squash(quote)
+    return F.when(wanted == "", False).when(F.contains(squash(text), wanted), F.regexp_like(canon(text), _whole_words(wanted, " ?"))).otherwise(False)
+
+
+def own_spelling(text: Column, quote: Column) -> Column:
+    """The text's own spelling of a quote that it holds as whole words, with the quote's spacing if it has that; else null."""
+    found = lambda pattern: F.nullif(F.regexp_substr(tidy(text), F.concat(F.lit("(?iu)"), pattern)), F.lit(""))
+    return F.when(holds_words(text, quote), F.coalesce(found(_whole_words(canon(quote), "")), found(_whole_words(squash(quote), " ?"))))
+
+
+def named(rows, *names: str) -> Column:
+    """The first of the columns of these names, case and outer spaces ignored, that is filled; empty without one."""
+    have = {c.strip().lower(): c for c in rows.columns}
+    return first_filled(*[F.col(f"`{have[n.lower()]}`") for n in names if n.lower() in have], F.lit(""))
 
 
 def tidy_id(value: Column) -> Column:
-    """Spaces around hyphens go; spaces after commas stay."""
-    return F.regexp_replace(blank(value), r"\s*-\s*", "-")
+    """Dashes of any kind become hyphens and spaces around them go; spaces after commas stay."""
+    return F.regexp_replace(tidy(value), r"\s*-\s*", "-")
 
 
 def voltages_in(value: Column) -> Column:

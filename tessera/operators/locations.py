@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.geo import cell, cells_around, haversine_miles
+from ..functions.geo import cell_of, cells_around, haversine_miles
 from ..functions.scores import lookup
 
 RADIUS_MILES = 25_000 / 1609.344
@@ -72,10 +72,10 @@ def candidates_near(seeds: DataFrame, features: DataFrame, miles: float = RADIUS
     """
     features = features.dropDuplicates(["type", "id"])
     tiles = F.explode(cells_around(F.col("seed_latitude"), F.col("seed_longitude"), miles, TILE_DEGREES))
-    left = seeds.withColumn("_t", tiles).withColumn("_y", F.col("_t.y")).withColumn("_x", F.col("_t.x")).drop("_t")
-    right = features.withColumn("_y", cell(F.col("latitude"), TILE_DEGREES)).withColumn("_x", cell(F.col("longitude"), TILE_DEGREES))
+    left = seeds.withColumn("_tile", tiles)
+    right = features.withColumn("_tile", cell_of(F.col("latitude"), F.col("longitude"), TILE_DEGREES))
     distance = haversine_miles(F.col("seed_latitude"), F.col("seed_longitude"), F.col("latitude"), F.col("longitude"))
-    return left.join(right, ["_y", "_x"]).where(distance <= miles).withColumn("distance_from_seed_miles", distance).drop("_y", "_x")
+    return left.join(right, "_tile").where(distance <= miles).withColumn("distance_from_seed_miles", distance).drop("_tile")
 
 
 def voltage_matches(expected: Column, written: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..functions import text as T
-from ..functions.geo import cell, cells_around, haversine_miles, valid_point
+from ..functions.geo import cell_of, cells_around, haversine_miles, valid_point
 
 PAIR_FIELDS = [
     "utility", "project_id", "project_name", "project_type", "region", "line_miles", "start_date", "in_service_date", "voltage",
@@ -46,9 +46,8 @@ def pairs_by_grid(a: DataFrame, b: DataFrame, miles: float) -> DataFrame:
     """
     size = max(miles / 69.0, 1e-4)
     a = a.withColumn("_cell", F.explode(cells_around(F.col("latitude_a"), F.col("longitude_a"), miles, size)))
-    a = a.withColumn("_y", F.col("_cell.y")).withColumn("_x", F.col("_cell.x")).drop("_cell")
-    b = b.withColumn("_y", cell(F.col("latitude_b"), size)).withColumn("_x", cell(F.col("longitude_b"), size))
-    return a.join(b, ["_y", "_x"]).where(_distance() <= miles).drop("_y", "_x").withColumn("distance_miles", _distance())
+    b = b.withColumn("_cell", cell_of(F.col("latitude_b"), F.col("longitude_b"), size))
+    return a.join(b, "_cell").where(_distance() <= miles).drop("_cell").withColumn("distance_miles", _distance())
 
 
 def find_pairs(projects: DataFrame, owner_a: str, owner_b: str, threshold: float = 25.0, include_low: bool = True) -> DataFrame:
@@ -58,8 +57,13 @@ def find_pairs(projects: DataFrame, owner_a: str, owner_b: str, threshold: float
     if not math.isfinite(threshold) or threshold <= 0:
         raise ValueError("the distance threshold must be positive and finite")
     pairs = pairs_by_grid(*_sides(eligible_projects(projects, include_low), owner_a, owner_b), threshold)
+    return pairs.withColumn("days_apart", days_apart())
+
+
+def days_apart(given: str | None = None) -> Column:
+    """Days between the in-service dates; a number in the column given counts before them."""
     gap = F.abs(F.datediff(T.any_date(F.col("in_service_date_a")), T.any_date(F.col("in_service_date_b")))).cast("long")
-    return pairs.withColumn("days_apart", gap)
+    return gap if given is None else F.coalesce(T.number(F.col(given)).cast("long"), gap)
 
 
 def enrich_pairs(pairs: DataFrame, projects: DataFrame, order: str) -> DataFrame:

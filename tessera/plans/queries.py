@@ -45,13 +45,19 @@ def overlap_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("overlap_id", _miles(), "days_apart")
 
 
-@query(SQL["overlap_pairs"])
+def _globe(spark, sf_dir, side: str, table: str, key: str, factors: tuple[int, int]) -> DataFrame:
+    k = F.col(key)
+    return read_table(spark, sf_dir, table).select(k.alias(f"id_{side}"), ((k * factors[0] % 1801) / 10.0 - 90.0).alias(f"latitude_{side}"), ((k * factors[1] % 3601) / 10.0 - 180.0).alias(f"longitude_{side}"))
+
+
+@query(f"""WITH a AS (SELECT s_suppkey AS id_a, s_suppkey * 37 % 1801 / 10.0::DOUBLE - 90.0 AS latitude, s_suppkey * 1091 % 3601 / 10.0::DOUBLE - 180.0 AS longitude FROM supplier),
+b AS (SELECT c_custkey AS id_b, c_custkey * 53 % 1801 / 10.0::DOUBLE - 90.0 AS latitude, c_custkey * 71 % 3601 / 10.0::DOUBLE - 180.0 AS longitude FROM customer),
+pairs AS (SELECT id_a, id_b, {DISTANCE_SQL} AS miles FROM a, b)
+SELECT id_a, id_b, round(miles, 4) AS distance_miles FROM pairs WHERE miles <= 300.0""")
 def overlap_grid_join(spark, sf_dir):
-    a, b = O._sides(O.eligible_projects(projects(spark, sf_dir)), OWNER_A, OWNER_B)
-    pairs = O.pairs_by_grid(a, b, 25.0)
-    gap = F.abs(F.datediff(T.iso_date(F.col("in_service_date_a")), T.iso_date(F.col("in_service_date_b")))).cast("long")
-    name = F.concat_ws("", F.col("utility_a"), F.lit(":"), F.col("project_id_a"), F.lit(" | "), F.col("utility_b"), F.lit(":"), F.col("project_id_b"))
-    return pairs.select(name.alias("overlap_id"), _miles(), gap.alias("days_apart"))
+    """Pairs of points all over the globe, poles and the meridian of 180 degrees included; the twin compares every pair."""
+    a, b = _globe(spark, sf_dir, "a", "supplier", "s_suppkey", (37, 1091)), _globe(spark, sf_dir, "b", "customer", "c_custkey", (53, 71))
+    return O.pairs_by_grid(a, b, 300.0).select("id_a", "id_b", _miles())
 
 
 _SCORES = "distance_score, timeline_overlap_score, days_apart_score, power_voltage_score, project_type_score, total_score"
@@ -187,12 +193,11 @@ _score_query("type_score", "project_type_score")
 
 @query(f"""WITH {pairs_sql()}, reasons AS (SELECT *, CASE WHEN ka = '' OR kb = '' THEN 'project type unavailable' WHEN ka = kb THEN 'matching ' || lower(ka) || ' type'
     WHEN ka = 'BOTH' OR kb = 'BOTH' THEN 'one project supports both line and substation work' ELSE 'different project types' END AS kind_reason FROM pairs)
-SELECT overlap_id, CASE state WHEN 'overlap' THEN 'build windows overlap' WHEN 'apart' THEN 'build windows do not overlap' WHEN 'unavailable' THEN 'timeline overlap unavailable' ELSE 'timeline dates inconsistent' END
+SELECT overlap_id, 'distance ' || printf('%.2f', distance_miles) || ' miles; ' || CASE state WHEN 'overlap' THEN 'build windows overlap' WHEN 'apart' THEN 'build windows do not overlap' WHEN 'unavailable' THEN 'timeline overlap unavailable' ELSE 'timeline dates inconsistent' END
   || '; ' || CASE WHEN days_apart IS NULL THEN 'days apart unavailable' ELSE days_apart || ' days apart' END
   || '; ' || ['voltage unavailable', 'different known voltages', 'similar voltage', 'same voltage'][power_voltage_score + 1] || '; ' || kind_reason AS reason FROM reasons""")
 def ranking_reasons(spark, sf_dir):
-    """The reason without its first part, whose rounded miles SQL engines may print differently."""
-    return _pairs(spark, sf_dir).select("overlap_id", F.regexp_replace("ranking_reason", "^[^;]*; ", "").alias("reason"))
+    return _pairs(spark, sf_dir).select("overlap_id", F.col("ranking_reason").alias("reason"))
 
 
 @query(f"""WITH {pairs_sql()}, ranked AS (SELECT *, {RANK_SQL['score']} AS rank FROM pairs),
@@ -433,3 +438,4 @@ def reply_fields(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
+from . import extraction_queries  # noqa: E402, F401  registers its queries here

@@ -1,5 +1,6 @@
 """Goldens of the overlap analysis, and properties of its joins and ranks."""
 
+import random
 import math
 
 import pytest
@@ -37,6 +38,17 @@ def test_grid_join_equals_nested_loop(spark):
         assert got == want and len(got) == len(set(got)) > 0
 
 
+@pytest.mark.parametrize("miles", [25.0, 300.0, 4000.0, 9000.0])
+def test_grid_join_equals_nested_loop_on_the_whole_globe(spark, miles):
+    r = random.Random(int(miles))
+    poles = [(90.0, 0.0), (89.9, 10.0), (89.9, -170.0), (-90.0, 77.0), (-89.95, 180.0), (0.0, 180.0), (0.1, -180.0), (0.0, 179.95), (0.0, -179.95), (89.5, -179.9), (89.5, 179.9), (0.0, 0.0)]
+    points = poles + [(math.degrees(math.asin(r.uniform(-1, 1))), r.uniform(-180, 180)) for _ in range(150)] + [(r.uniform(88, 90), r.uniform(-180, 180)) for _ in range(40)]
+    a, b = (spark.createDataFrame([(i, *p) for i, p in enumerate(points)], f"id_{s} int, latitude_{s} double, longitude_{s} double") for s in "ab")
+    got = sorted(tuple(x) for x in O.pairs_by_grid(a, b, miles).select("id_a", "id_b").collect())
+    want = sorted(tuple(x) for x in a.crossJoin(b).where(O._distance() <= miles).select("id_a", "id_b").collect())
+    assert got == want
+
+
 def test_threshold_is_tested_unrounded(spark):
     degrees = 25.004 / (3958.8 * math.pi / 180)
     rows = spark.createDataFrame([project("1", "A", 33.0, -81.0), project("2", "B", 33.0 + degrees, -81.0)], COLUMNS)
