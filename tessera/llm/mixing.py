@@ -158,10 +158,10 @@ def fit_rates(known: DataFrame, mix: Mix, weights: dict[str, float] | Callable,
     return mix
 
 
-def labelled_domains(labels: DataFrame) -> DataFrame:
-    """(doc_id, domain) of the table labels: toxic, else good or poor by quality."""
-    domain = F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
-    return labels.select("doc_id", domain.alias("domain"))
+def labelled_domains(labels: DataFrame, toxic: bool = True) -> DataFrame:
+    """(doc_id, domain) of the table labels: toxic (unless that is no domain of its own), else good or poor by quality."""
+    domain = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor")
+    return labels.select("doc_id", (F.when(F.col("toxic") == 1, "toxic").otherwise(domain) if toxic else domain).alias("domain"))
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, weights: dict[str, float] | Callable, sample: int = 10_000) -> tuple[DataFrame, Mix]:
