@@ -11,11 +11,12 @@ or empty text has no language and goes in stage 1.
    doc_id stays (a repeated row stays once).
 3. repeated_passages: bytes in 100-byte strings that also start earlier go from
    the texts; n_chars follows; a document of which nothing is left goes.
-4. mixing: rates bring the expected tokens of poor and toxic text down to
-   TARGETS, or leave them where the corpus holds less; good text has the rest. A
-   stage can drop documents but not repeat them, so a document of rate 1 or more
-   stays, of the others the share of their rate, by hash. Good text has rates of 1
-   and above.
+4. mixing: rates bring the expected tokens of poor text down to TARGETS, or leave
+   them where the corpus holds less; good text has the rest. A stage can drop
+   documents but not repeat them, so a document of rate 1 or more stays, of the
+   others the share of their rate, by hash. Good text has rates of 1 and above.
+   Toxic text is no domain here: toxic documents read like others but for a few
+   words, so every document is a little of it, and bringing it down drops most.
 5. packing: token windows of lexical neighbours.
 """
 
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from tessera.llm import jaccard_join, language_id, mixing, packing, suffix_dedup
 from tessera.llm.storage import fresh_path
 
-#: Shares of all tokens that poor and toxic text may have.
-TARGETS = {"poor": 0.035, "toxic": 0.015}
+#: Shares of all tokens that domains may have.
+TARGETS = {"poor": 0.035}
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -56,13 +57,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def weights(shares: dict[str, float]) -> dict[str, float]:
-    """The weights of the domains that a corpus of these shares can reach by dropping poor and toxic documents."""
+    """The weights of the domains that a corpus of these shares can reach by dropping documents of those in TARGETS."""
     less = {d: min(TARGETS[d], shares[d]) for d in shares if d in TARGETS}
     return less | {d: s / (sum(shares.values()) - sum(shares[x] for x in less)) * (1 - sum(less.values())) for d, s in shares.items() if d not in less}
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = mixing.labelled_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    labels = mixing.labelled_domains(spark.read.parquet(f"{sf_dir}/labels.parquet"), toxic=False)
     mixed, _ = mixing.mix_documents(docs.select(COLUMNS), labels, weights)
     return mixing.keep_by_rate(mixed).select(COLUMNS)
 
