@@ -196,3 +196,17 @@ def apply_location_review(before: DataFrame, edited: DataFrame, source: str = "M
 
 def is_filled(column: str) -> Column:
     return T.filled(F.col(column))
+
+
+def of_sponsors(rows: DataFrame, sponsors: list[str] | None) -> DataFrame:
+    """Rows of the named sponsors; without any, all of them."""
+    return rows.where(F.col("sponsor").isin(sponsors)) if sponsors else rows
+
+
+def of_owner(rows: DataFrame, owner: str) -> DataFrame:
+    return rows.where(F.col("utility") == owner)
+
+
+def with_warnings(projects: DataFrame) -> DataFrame:
+    """Projects that a person should look at."""
+    return projects.where("data_warnings <> ''")

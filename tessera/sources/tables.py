@@ -87,9 +87,57 @@ def load_projects(spark: SparkSession, files_a: list[str], files_b: list[str], o
     return prepare_projects(union_projects(tables)) if tables else None
 
 
-def known_source(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Binary files (content) joined to a table of known digests (sha256, ...); unknown ones have null there."""
-    return files.withColumn("sha256", F.sha2("content", 256)).join(known, "sha256", "left")
+def known_source(files: DataFrame, known: DataFrame, strict: bool = False) -> DataFrame:
+    """Binary files (content) joined to a table of known digests (sha256, ...); unknown ones have null there, or are an error if strict."""
+    rows = files.withColumn("sha256", F.sha2("content", 256)).join(known.withColumn("_known", F.lit(True)), "sha256", "left")
+    if strict:
+        stop = F.raise_error(F.concat(F.lit("unknown file of digest "), F.col("sha256"))).cast("string")
+        rows = rows.withColumn("sha256", F.when(F.col("_known"), F.col("sha256")).otherwise(stop))
+    return rows.drop("_known")
+
+
+def numbered(rows: DataFrame, name: str = "number") -> DataFrame:
+    """Adds the place of each row, from 1, in the order of a file scan; only the partitions' row counts are gathered."""
+    part, within = F.shiftright(F.col("_id"), 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    rows = rows.withColumn("_id", F.monotonically_increasing_id())
+    counts = sorted((r["p"], r["count"]) for r in rows.groupBy(part.alias("p")).count().collect())
+    before, upto = F.lit(0).cast("long"), 0
+    starts = {}
+    for p, n in counts:
+        starts[p], upto = upto, upto + n
+    if starts:
+        before = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), part.cast("int"))
+    return rows.withColumn(name, (before + within + 1).cast("long")).drop("_id")
+
+
+def read_locations_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Projects of a parser's table with their place from 1, and voltages and locations as lists of what is filled."""
+    rows = numbered(read_text_csv(spark, path))
+    listed = lambda *names: F.filter(F.array(*map(F.col, names)), lambda x: x != "")
+    return rows.select(
+        "number", "project_id", "utility", "state", "project_name", "project_type",
+        listed("voltage_1", "voltage_2").alias("voltages"), listed("location_1", "location_2", "location_3").alias("locations"))
+
+
+#: The columns of an override file, in their order.
+OVERRIDE_COLUMNS = ["utility", "project_id", "target_location", "latitude", "longitude", "matched_name", "osm_type", "osm_id", "source", "note"]
+
+
+def read_overrides(spark: SparkSession, path: str) -> DataFrame:
+    """An override file, checked: columns in order, both coordinates numbers or both blank, owner, place and source filled, no key twice."""
+    rows = read_text_csv(spark, path)
+    if rows.columns != OVERRIDE_COLUMNS:
+        raise ProjectTableError(f"{path} must have the columns {', '.join(OVERRIDE_COLUMNS)}, in that order")
+    rows = numbered(rows.select(*[F.trim(c).alias(c) for c in OVERRIDE_COLUMNS]), "line").withColumn("line", F.col("line") + 1)
+    number = lambda c: F.col(c).try_cast("double").isNotNull()
+    blank = (F.col("latitude") == "") & (F.col("longitude") == "")
+    key = ["utility", "project_id", F.lower("target_location").alias("place")]
+    twice = rows.groupBy(*key).agg(F.max("line").alias("line"), F.count("*").alias("n")).where("n > 1").select("line", F.lit("a second override for its key").alias("problem"))
+    wrong = rows.where(~blank & ~(number("latitude") & number("longitude"))).select("line", F.lit("latitude and longitude must both be numbers, or both blank").alias("problem"))
+    bare = rows.where("utility = '' or target_location = '' or source = ''").select("line", F.lit("utility, target_location and source are required").alias("problem"))
+    if first := wrong.unionByName(bare).unionByName(twice).orderBy("line").first():
+        raise ProjectTableError(f"{path} line {first['line']}: {first['problem']}")
+    return rows.drop("line").withColumns({c: F.col(c).try_cast("double") for c in ("latitude", "longitude")})
 
 
 def page_numbers(ranges: DataFrame, column: str = "pages") -> DataFrame:
@@ -113,7 +161,7 @@ def restore_snapshot(spark: SparkSession, content: bytes) -> tuple[DataFrame, di
         if any(i.file_size > SNAPSHOT_BYTES for i in archive.infolist()):
             raise ValueError("a member of the snapshot is too large")
         settings = json.loads(archive.read("settings.json"))
-        rows = list(csv.DictReader(io.StringIO(archive.read("projects.csv").decode("utf-8-sig"))))
+        names, *rows = list(csv.reader(io.StringIO(archive.read("projects.csv").decode("utf-8-sig")))) or [[]]
     checks = {
         "format_version": settings.get("format_version") == SNAPSHOT_VERSION,
         "ranking_mode": settings.get("ranking_mode") in ("score", "distance_first"),
@@ -122,7 +170,10 @@ def restore_snapshot(spark: SparkSession, content: bytes) -> tuple[DataFrame, di
     }
     if wrong := [k for k, ok in checks.items() if not ok]:
         raise ValueError(f"the snapshot's settings are not valid: {', '.join(wrong)}")
-    projects = spark.createDataFrame([tuple(r.values()) for r in rows], T.StructType([T.StructField(c, T.StringType()) for c in rows[0]]))
+    if not {"utility", "project_id"} <= set(names):
+        raise ValueError("the snapshot's projects have no identity columns")
+    cells = [tuple((r + [None] * len(names))[: len(names)]) for r in rows if r]
+    projects = spark.createDataFrame(cells, T.StructType([T.StructField(c, T.StringType()) for c in names]))
     owners = {r[0] for r in projects.select("utility").distinct().collect()}
     if not {settings.get("utility_a"), settings.get("utility_b")} <= owners:
         raise ValueError("the snapshot's owners are not in its projects")

@@ -105,3 +105,35 @@ def test_names_of_columns_and_dashed_ids(spark):
 def test_two_digit_years(spark):
     frame = spark.createDataFrame([("1/2/68",), ("1/2/69",), ("12/31/99",), ("2/29/00",), ("2/30/01",), ("1/2/025",)], "t string")
     assert [str(r[0]) for r in frame.select(T.us_date(F.col("t"))).collect()] == ["2068-01-02", "1969-01-02", "1999-12-31", "2000-02-29", "None", "None"]
+
+
+def test_overrides_are_checked(spark, tmp_path):
+    from tessera.operators.projects import ProjectTableError
+    from tessera.sources import tables
+
+    head = ",".join(tables.OVERRIDE_COLUMNS)
+    good = f"﻿{head}\nA,1, Oak ,1.5,-2,,,,me,\nA,,Oak,,,,,,me,x\n"
+    bad = {
+        "in that order": head.replace("utility,project_id", "project_id,utility") + "\n", "line 3: latitude": f"{head}\nA,1,Oak,1,2,,,,me,\nA,2,Oak,1,,,,,me,\n",
+        "line 2: utility": f"{head}\nA,1,Oak,1,2,,,,,\n", "line 3: a second": f"{head}\nA,1,Oak,1,2,,,,me,\nA,1,OAK,3,4,,,,me,\n",
+    }
+    (tmp_path / "good.csv").write_text(good, encoding="utf-8")
+    assert [(r["target_location"], r["latitude"]) for r in tables.read_overrides(spark, f"{tmp_path}/good.csv").collect()] == [("Oak", 1.5), ("Oak", None)]
+    for i, (why, text) in enumerate(bad.items()):
+        (tmp_path / f"{i}.csv").write_text(text, encoding="utf-8")
+        with pytest.raises(ProjectTableError, match=why):
+            tables.read_overrides(spark, f"{tmp_path}/{i}.csv")
+
+
+def test_numbers_lists_and_digests(spark, tmp_path):
+    from tessera.sources import tables
+
+    assert sorted(tuple(r) for r in tables.numbered(spark.range(100, 150, numPartitions=7)).collect()) == [(i, i - 99) for i in range(100, 150)]
+    (tmp_path / "p.csv").write_text("project_id,utility,state,project_name,project_type,voltage_1,voltage_2,location_1,location_2,location_3\n09,A,SC,n,LINE,115000,,Oak,,Elm\n", encoding="utf-8-sig")
+    got = tables.read_locations_csv(spark, f"{tmp_path}/p.csv").first()
+    assert (got["number"], got["project_id"], got["voltages"], got["locations"]) == (1, "09", ["115000"], ["Oak", "Elm"])
+    files = spark.createDataFrame([(bytearray(b"x"),)], "content binary")
+    none = spark.createDataFrame([], "sha256 string, name string")
+    assert tables.known_source(files, none).first()["name"] is None
+    with pytest.raises(Exception, match="unknown file"):
+        tables.known_source(files, none, strict=True).collect()
