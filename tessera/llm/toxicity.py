@@ -11,7 +11,7 @@ id; a documented bound):
 2. A chain of two states (plain, toxic) with a weight per feature, one for all
    words without any, and four transitions is fitted to stretches around words
    with features. Each step of gradient ascent on the conditional likelihood is
-   one Spark aggregate of the partitions' gradients (forward-backward per batch).
+   one Spark job that sums the partitions' gradients (forward-backward per batch).
 3. The score of a document is one minus the product of its words' marginals of
    being plain, brought to the labels' scale by a logistic curve.
 
@@ -278,7 +278,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int
             word, yes = np.concatenate([np.zeros((0, 3), int), *words]), np.concatenate([np.zeros(0, int), *toxic])
             yield pa.RecordBatch.from_pydict({"n": [len(size)], "size": [np.array(size, np.int32).tobytes()], "word": [word.astype(np.int32).tobytes()], "toxic": [yes.astype(np.int8).tobytes()]})
 
-    stretches = durable(rows.select("text", "toxic").mapInArrow(locate, "n long, size binary, word binary, toxic binary"))
+    located = rows.select("text", "toxic").mapInArrow(locate, "n long, size binary, word binary, toxic binary")
+    # bounded by the sample, so a few partitions hold it and a step of the fit is one stage without a shuffle
+    stretches = durable(located.repartition(min(64, docs.sparkSession.sparkContext.defaultParallelism)))
     many = max(1, stretches.agg(F.sum("n")).first()[0] or 0)
 
     def slope(theta: np.ndarray) -> np.ndarray:
@@ -288,13 +290,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 10_000, features: int
                 for size, word, toxic in zip(*(batch[c].to_pylist() for c in ("size", "word", "toxic")), strict=True):
                     if size:
                         total += gradient(theta, np.frombuffer(size, np.int32).astype(int), np.frombuffer(word, np.int32).astype(int).reshape(-1, 3), np.frombuffer(toxic, np.int8).astype(int), k)
-            yield pa.RecordBatch.from_pydict({"at": np.arange(len(total)), "x": total})
+            yield pa.RecordBatch.from_pydict({"g": [total.tobytes()]})
 
-        parts = stretches.select("size", "word", "toxic").mapInArrow(partial, "at long, x double")
-        sums = parts.groupBy("at").agg(F.sum("x").alias("x")).collect()  # as many rows as weights
-        g = np.zeros(len(theta) + 1)
-        for r in sums:
-            g[r["at"]] = r["x"]
+        parts = stretches.select("size", "word", "toxic").mapInArrow(partial, "g binary").collect()  # one row of so many weights a partition
+        g = np.sum([np.frombuffer(r["g"]) for r in parts], axis=0)
         return g[:-1] / many - 1e-3 * theta / many**0.5
 
     theta = fit_chain(slope, k + 5, rounds)
