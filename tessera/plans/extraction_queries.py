@@ -52,7 +52,7 @@ def merge_problems(spark, sf_dir):
     return X.merge_checked(_fragments(spark, sf_dir))[1].select("project_id", "page", "value", "reason")
 
 
-@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS first_date, CAST(o_orderdate AS DATE) + 40 AS last_date, 3 AS n_dates,
+@query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS first_date, CAST(CAST(o_orderdate AS DATE) + 40 AS VARCHAR) AS last_date, 3 AS n_dates,
   CASE o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN strftime(CAST(o_orderdate AS DATE) + 1, '%Y-%m-%d') || ' isn''t a date in ''by ' || strftime(o_orderdate, '%-m/%-d/%Y') || '''' ELSE '''soon'' isn''t a YYYY-MM-DD date' END AS reason FROM orders""")
 def quoted_dates(spark, sf_dir):
     """Dates that a text writes in three ways, and ISO dates checked against their quotes."""
@@ -61,17 +61,17 @@ def quoted_dates(spark, sf_dir):
     told = F.when(key % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(key % 3 == 1, F.date_format(F.date_add(day, 1), "yyyy-MM-dd")).otherwise("soon")
     text = F.concat(us, F.lit(" or 2/30/2025, "), F.date_format(F.date_add(day, 20), "yyyy-MM-dd"), F.lit(" and "), F.date_format(F.date_add(day, 40), "MMMM d, yyyy"))
     rows = read_table(spark, sf_dir, "orders").select("o_orderkey", E.dates_in(text).alias("d"), E.check_date(told, us).alias("c"))
-    return rows.select("o_orderkey", F.get("d", F.lit(0)).alias("first_date"), F.element_at("d", -1).alias("last_date"), F.size("d").alias("n_dates"), F.col("c.reason").alias("reason"))
+    return rows.select("o_orderkey", F.get("d", F.lit(0)).cast("string").alias("first_date"), F.element_at("d", -1).cast("string").alias("last_date"), F.size("d").alias("n_dates"), F.col("c.reason").alias("reason"))
 
 
-@query("""SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, 'A-' || o_orderkey || ', B' AS id, o_orderpriority AS said FROM orders""")
+@query("""SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, 'A-' || o_orderkey || ', B' AS id, o_orderpriority AS said FROM orders""")
 def label_texts(spark, sf_dir):
     """US dates, IDs with dashes of any kind, and what stands between two labels."""
     day, key = F.to_date("o_orderdate"), F.col("o_orderkey")
     us = F.when(key % 2 == 0, F.date_format(day, "M/d/yy")).otherwise(F.date_format(day, "MM/dd/yyyy"))
     text = F.concat(F.lit("Line X\nproject status  "), F.col("o_orderpriority"), F.lit("\n NEXT label"))
     identity = F.concat(F.lit(" A – "), key.cast("string"), F.lit(",  B"))
-    return read_table(spark, sf_dir, "orders").select("o_orderkey", T.us_date(us).alias("day"), T.tidy_id(identity).alias("id"), T.text_between(text, "Project Status", "Next Label").alias("said"))
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", T.us_date(us).cast("string").alias("day"), T.tidy_id(identity).alias("id"), T.text_between(text, "Project Status", "Next Label").alias("said"))
 
 
 _SPONSORS = ["GPC", "sav", "MEAG Power", "", "Acme"]
