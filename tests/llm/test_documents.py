@@ -485,3 +485,61 @@ def test_toxic_words_that_were_never_labelled_are_found_by_their_affixes(spark):
         if p is not None:
             odds = 1 / np.prod(1 - np.minimum(p, 1 - 1e-9)) - 1 if len(p) else 1e-6
             assert np.isclose(x["score"], 1 / (1 + np.exp(-(tagger.scale * np.log(max(odds, 1e-6)) + tagger.shift))), atol=1e-4)
+
+
+def plain_languages(train, ask, bins, slack, sharpness=40.0):
+    """Nearest of one centroid a language, read literally: pred, score, similarity, rejected of each text."""
+    import math
+    from collections import Counter
+
+    def grams(text):
+        raw = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text).encode()
+        out = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(raw) - n + 1):
+                g = int.from_bytes(raw[i : i + n], "big") + (n << 26)
+                out[(g * 2654435761 % 2**32 >> 16) % bins] += 1
+        return out
+
+    df = Counter(g for text, _ in train for g in grams(text))
+    idf = [math.log((1 + len(train)) / (1 + df[b])) + 0.1 for b in range(bins)]
+
+    def vector(text):
+        v = {g: math.log1p(c) * idf[g] for g, c in grams(text).items()}
+        size = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {g: x / size for g, x in v.items()}
+
+    def cos(a, b):
+        return sum(x * b.get(g, 0.0) for g, x in a.items())
+
+    centre, limit = {}, {}
+    for lang in sorted({x for _, x in train}):
+        own = [vector(t) for t, x in train if x == lang]
+        total = Counter()
+        for v in own:
+            total.update(v)
+        size = math.sqrt(sum(x * x for x in total.values()))
+        centre[lang] = {g: x / size for g, x in total.items()}
+        limit[lang] = slack * min(cos(v, centre[lang]) for v in own)
+    out = []
+    for text in ask:
+        near = {lang: cos(vector(text), c) for lang, c in centre.items()}
+        best = max(sorted(near), key=near.get)
+        out.append((best, 1 / sum(math.exp(sharpness * (x - near[best])) for x in near.values()), near[best], near[best] < limit[best]))
+    return out
+
+
+def test_languages_equal_nearest_centroids_read_literally(spark):
+    r = random.Random(7)
+    words = {"aa": "the and of with there which", "bb": "der und die nicht eine schon", "cc": "le et les pas une déjà", "dd": "le et les pas une déjà"}
+    train = [(" ".join(r.choices(words[x].split(), k=r.randrange(3, 40))), x) for x in ("aa", "bb", "cc") for _ in range(25)]
+    train += [(t, "dd") for t, x in train if x == "cc"] + train[:5]  # two languages that tie, and repeated rows
+    ask = [*(w for w in words.values()), "der and the", "THE OF " * 20_000, "zzqx kkvv", "schon déjà", "x"]
+    model = language_id.fit(spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(train)], "doc_id long, text string, lang string").repartition(3), clusters=1, bins=512, slack=0.3)
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(ask)], "doc_id long, text string")
+    got = [tuple(x)[2:] for x in sorted(language_id.identify(frame, model).collect())]
+    want = plain_languages(train, ask, 512, 0.3)
+    for text, a, b in zip(ask, got, want, strict=True):
+        assert a[0] == b[0] or {a[0], b[0]} == {"cc", "dd"}, text[:20]
+        assert np.allclose(a[1:3], b[1:3], atol=2e-4) and a[3] == b[3], text[:20]
+    assert got[2][0] == "cc" and abs(got[2][1] - 0.5) < 1e-3
