@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import short_batches
+from .storage import short_batches, tidily
 
 #: Bytes of text of a chunk, about: its arrays fit beside a small executor's heap. Larger executors take larger ones.
 CHUNK_BYTES = 5 << 20
@@ -154,11 +154,11 @@ class Exchange:
             return _rows([*told, *([(-1, bucket, [], [], figures)] if figures else [])], ANSWER_ARROW)
 
         if self.width > 1:
-            questions = questions.groupBy("bucket", "party").applyInArrow(lambda key, table: self._deal(key, table), ASKED)
-        told = questions.groupBy("bucket").applyInArrow(settle, ANSWER)
+            questions = questions.groupBy("bucket", "party").applyInArrow(tidily(self._deal), ASKED)
+        told = questions.groupBy("bucket").applyInArrow(tidily(settle), ANSWER)
         said = told.where("party >= 0")
         if self.width > 1:
-            said = said.groupBy("party", F.floor(F.col("bucket") / F.lit(self.width)).cast("int").alias("grp")).applyInArrow(lambda key, table: self._collect(key, table), ANSWER)
+            said = said.groupBy("party", F.floor(F.col("bucket") / F.lit(self.width)).cast("int").alias("grp")).applyInArrow(tidily(self._collect), ANSWER)
         return said.select(F.col("party").alias("chunk"), "bucket", F.col("vals")[0].alias("vals")), told.where("party < 0").select("figures")
 
 

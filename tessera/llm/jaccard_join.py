@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import textbytes as B
 from .components import components
-from .storage import durable
+from .storage import durable, tidily
 
 SETS = "doc_id long, n_shingles long, class binary, grp binary, posts array<struct<token:long,pos:int>>"
 BROADCAST_IDS = 2_000_000
@@ -113,8 +113,8 @@ def prefix_sets(docs: DataFrame, words: int = 5, percent: int = 80, chunks: int
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.struct([("token", pa.int64()), ("pos", pa.int32())]))]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_shingles", "class", "grp", "posts"])
 
-    told, _ = exchange.ask(placed.groupBy("chunk").applyInArrow(ask, X.ASKED), _count, np.uint32)
-    return placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(post, SETS)
+    told, _ = exchange.ask(placed.groupBy("chunk").applyInArrow(tidily(ask), X.ASKED), _count, np.uint32)
+    return placed.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(tidily(post, 2), SETS)
 
 
 def _may_link(percent: int, first: bool):

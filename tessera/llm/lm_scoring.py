@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import textbytes as B
 from .jaccard_join import _count as summed
+from .storage import tidily
 
 END = np.uint64(0xE9D1C7A5B3F18D27)
 _SEED = np.uint64(0x9FB21C651E98DF25)
@@ -212,12 +213,12 @@ def score_texts(docs: DataFrame, train: Column, order: int = 2, chunks: int | No
             }
         )
 
-    counts, figures = exchange.ask(placed.groupBy("chunk").applyInArrow(ask_counts, X.ASKED), _tally, np.uint32)
+    counts, figures = exchange.ask(placed.groupBy("chunk").applyInArrow(tidily(ask_counts), X.ASKED), _tally, np.uint32)
     totals = figures.agg(F.sum(F.col("figures")[0]).alias("all_tokens"), F.sum(F.col("figures")[1]).alias("all_types"))  # one row
-    asked = placed.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(ask_histories, X.ASKED)
+    asked = placed.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(tidily(ask_histories, 2), X.ASKED)
     after, _ = exchange.ask(asked, summed, np.uint32)
     both = counts.withColumn("round", F.lit(1)).unionByName(after.withColumn("round", F.lit(2))).join(F.broadcast(totals))
-    return placed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(score, SCORES)
+    return placed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(tidily(score, 2), SCORES)
 
 
 def held_out_scores(docs: DataFrame) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as B
-from .storage import fresh_path, short_batches
+from .storage import fresh_path, release, short_batches, tidily
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Ids of tails that a shard holds, about; what one task's index takes.
@@ -167,7 +167,10 @@ class Encoder:
         start, end, text = start[use], end[use], text[use]
         if not len(start):
             return [np.zeros(0, self.dtype)] * len(other)
-        _, first, back = np.unique(B.long_hash(B.prefix_sums(d), start, end), return_index=True, return_inverse=True)
+        keys = np.empty(len(start), np.uint64)
+        for i, j in B.slices(np.append(start, end[-1])):  # sums over a part at a time, as they take many times the bytes
+            keys[i:j] = B.long_hash(B.prefix_sums(d[start[i] : end[j - 1]]), start[i:j] - start[i], end[i:j] - start[i])
+        _, first, back = np.unique(keys, return_index=True, return_inverse=True)
         a, b = start[first], end[first]
         blank = _KIND[d[b - 1]] == 0
         # a line for each word that is not all spaces: the line's end is an id of its own and in no word
@@ -440,6 +443,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, q
         for batch in batches:
             ids = [np.append(x, encode.dtype(end_id)).tobytes() for x in encode.batch(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
+        release()
 
     path = fresh_path(spark, "token-ids")
     docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode_texts, "doc_id long, ids binary").write.parquet(path)
@@ -475,7 +479,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, q
             }
         )
 
-    return placed.groupBy("shard").applyInArrow(pack_shard, PIECES)
+    return placed.groupBy("shard").applyInArrow(tidily(pack_shard), PIECES)
 
 
 def digest(pieces: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -35,3 +37,24 @@ def short_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(key, None) is None:
         spark.conf.set(key, "1000")
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker that waits for its next task shall not hold the peak of its last one."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def _run(f, *args):
+    try:
+        return f(*args)
+    finally:
+        release()
+
+
+def tidily(f, sides: int = 1):
+    """f as a function of a group (or of a cogroup of two sides) that releases memory after each."""
+    return (lambda key, table: _run(f, key, table)) if sides == 1 else (lambda key, left, right: _run(f, key, left, right))

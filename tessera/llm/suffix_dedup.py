@@ -40,6 +40,7 @@ from pyspark.sql import types as T
 
 from . import exchange as X
 from . import textbytes as B
+from .storage import tidily
 
 KEPT, EARLIER, MIXED = 0, 1, 2
 
@@ -207,10 +208,10 @@ def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int
 
     columns = own.columns
     schema = T.StructType([*own.schema.fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.BinaryType())])
-    first, _ = exchange.ask(placed.groupBy("chunk").applyInArrow(ask_suffixes, X.ASKED), _bucket, np.uint64)
-    again = placed.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(ask_strings, X.ASKED)
+    first, _ = exchange.ask(placed.groupBy("chunk").applyInArrow(tidily(ask_suffixes), X.ASKED), _bucket, np.uint64)
+    again = placed.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(tidily(ask_strings, 2), X.ASKED)
     both = first.withColumn("round", F.lit(1)).unionByName(exchange.ask(again, _bucket)[0].withColumn("round", F.lit(2)))
-    return placed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(settle, schema)
+    return placed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(tidily(settle, 2), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
