@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, code_search, jaccard_join, language_id, lm_scoring, media, mixing, packing, suffix_dedup, toxicity
+from . import chat_format, code_search, jaccard_join, language_id, lm_scoring, media, mixing, packing, source_divergence, suffix_dedup, token_counts, toxicity, vector_codes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,8 +72,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "n_tokens", *(F.col("posterior")[k].alias(f"p_{d}") for k, d in enumerate(mix.domains)), "rate")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, code, error, label_error, codebooks_sha256: 4 parts of 256 entries after 4 rounds."""
+    return vector_codes.digest(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lang, source, part, item, value, rank: sources against each other and against their language."""
+    return source_divergence.divergence(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit by a public vocabulary."""
+    import public_tokenizers
+
+    return token_counts.digest(token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_suffix_dedup, op2_packing, op3_jaccard_join, op4_code_search, op5_language_id, op6_media, op7_toxicity, op8_chat_format, op9_lm_scoring, op10_mixing)
+    for f in (op1_suffix_dedup, op2_packing, op3_jaccard_join, op4_code_search, op5_language_id, op6_media, op7_toxicity, op8_chat_format, op9_lm_scoring, op10_mixing, op11_vector_codes, op12_source_divergence, op13_token_counts)
 }
-SQL: dict[str, str] = {"op4_code_search": code_search.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL}
+SQL: dict[str, str] = {"op4_code_search": code_search.ORACLE_SQL, "op8_chat_format": chat_format.ORACLE_SQL, "op11_vector_codes": vector_codes.ORACLE_SQL, "op12_source_divergence": source_divergence.ORACLE_SQL}
