@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .plan_text import SPONSOR_OWNERS, chunk_pages
+from .quotes import pages_holding
 
 PROBLEM = ["document", "project_id", "field", "value", "quote", "page", "reason"]
 # What a project must have, years that dates may have, and the longest credible mileage.
@@ -25,21 +26,22 @@ def readable_pages(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def locate_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds value, the cited page's own spelling of the quote or null, and reason, why there is none (else empty).
+    """Adds value, the cited page's own spelling of the quote or null, reason, why there is none (else empty), and elsewhere.
 
     The cited page is an equi-join; only quotes that are not on it are looked for
-    on the other pages of their document, each distinct one once.
+    on the other pages of their document, each distinct one once, by their grams.
     """
     page = pages.select("document", "page", F.col("text").alias("_text"))
     rows = quotes.join(page, ["document", "page"], "left").withColumn("_own", T.own_spelling(F.col("_text"), F.col("quote")))
     lost = rows.where(F.col("_own").isNull() & T.filled(F.col("quote")) & F.col("_text").isNotNull()).select("document", "quote").distinct()
-    other = lost.join(page.withColumnRenamed("page", "_page"), "document").where(T.holds_words(F.col("_text"), F.col("quote")))
+    other = pages_holding(lost, pages.select("document", F.col("page").alias("_page"), "text"), ["_page"], ["document"])
     other = other.groupBy("document", "quote").agg(F.slice(F.sort_array(F.collect_set("_page")), 1, 3).alias("elsewhere"))
     rows = rows.join(other, ["document", "quote"], "left")
     cited = F.col("page").cast("string")
     reason = (
         F.when(F.col("_own").isNotNull(), "")
         .when(~T.filled(F.col("quote")), "empty text")
+        .when(F.col("page").isNull(), "cites no page")
         .when(F.col("_text").isNull(), F.concat(F.lit("cites page "), cited, F.lit(", which wasn't in this run")))
         .when(F.col("elsewhere").isNotNull(), F.concat(F.lit("not on page "), cited, F.lit(", but on page "), F.array_join(F.col("elsewhere").cast("array<string>"), ", ")))
         .otherwise(F.concat(F.lit("not on page "), cited, F.lit(" or any other page")))

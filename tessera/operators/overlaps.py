@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions.geo import cell_of, cells_around, haversine_miles, valid_point
+from ..sources.shared import durable
 
 PAIR_FIELDS = [
     "utility", "project_id", "project_name", "project_type", "region", "line_miles", "start_date", "in_service_date", "voltage",
@@ -113,17 +114,20 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"total_score": total, "ranking_reason": reason}).drop("_state")
 
 
-def rank_rows(rows: DataFrame, coarse: list[Column], fine: list[Column], name: str = "rank") -> DataFrame:
-    """Numbers rows from 1 in the order coarse + fine without sorting all of them in one task.
+def rank_rows(rows: DataFrame, order: list[Column], name: str = "rank", ranges: int | None = None) -> DataFrame:
+    """Numbers rows from 1 in the given order, however many share a value of its first columns.
 
-    coarse has few distinct values: rows are numbered inside each of them, and
-    only the counts per coarse value are summed up in order.
+    Rows are dealt to ranges of the whole order and sorted there; a row's place in
+    its range plus the rows of the ranges before it is its number. The ranges are
+    written once, as each evaluation would draw others. Only their sizes meet in
+    one place, a row a range. Without a number of ranges, Spark joins small ones.
     """
-    rows = rows.withColumn("_bin", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(coarse)]))
-    before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    start = rows.groupBy("_bin").count().select("_bin", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    own = F.row_number().over(Window.partitionBy("_bin").orderBy(*fine))
-    return rows.join(start, "_bin").withColumn(name, (F.col("_start") + own).cast("long")).drop("_bin", "_start")
+    ranged = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    placed = durable(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    placed = placed.withColumns({"_range": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_place") + 1).cast("long")).drop("_id", "_range", "_place", "_start")
 
 
 def rank_pairs(scored: DataFrame, mode: str = "score") -> DataFrame:
@@ -133,13 +137,11 @@ def rank_pairs(scored: DataFrame, mode: str = "score") -> DataFrame:
     miles = F.coalesce("distance_miles", F.lit(float("inf")))
     keys = [F.asc(c) for c in ("utility_a", "project_id_a", "utility_b", "project_id_b")]
     if mode == "score":
-        coarse = [-F.col("total_score"), F.floor(F.coalesce("distance_miles", F.lit(1e9)) * 4)]
-        fine = [miles.asc(), *keys]
+        order = [F.desc("total_score"), miles.asc(), *keys]
     else:
         days = F.coalesce(F.col("days_apart").cast("double"), F.lit(float("inf")))
-        coarse = [-F.col("distance_score"), -F.col("timeline_overlap_score"), F.least(days, F.lit(1e6))]
-        fine = [days.asc(), F.desc("power_voltage_score"), F.desc("project_type_score"), miles.asc(), *keys]
-    return rank_rows(scored, coarse, fine).withColumn("ranking_mode", F.lit(mode))
+        order = [F.desc("distance_score"), F.desc("timeline_overlap_score"), days.asc(), F.desc("power_voltage_score"), F.desc("project_type_score"), miles.asc(), *keys]
+    return rank_rows(scored, order).withColumn("ranking_mode", F.lit(mode))
 
 
 def estimate_land(pairs: DataFrame) -> DataFrame:

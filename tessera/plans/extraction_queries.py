@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import dates as D
 from ..functions import text as T
-from ..operators import evaluation as E
 from ..operators import extraction as X
 from ..operators import overlaps as O
 from ..operators import plan_text
@@ -60,7 +60,7 @@ def quoted_dates(spark, sf_dir):
     us = F.concat(F.lit("by "), F.date_format(day, "M/d/yyyy"))
     told = F.when(key % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(key % 3 == 1, F.date_format(F.date_add(day, 1), "yyyy-MM-dd")).otherwise("soon")
     text = F.concat(us, F.lit(" or 2/30/2025, "), F.date_format(F.date_add(day, 20), "yyyy-MM-dd"), F.lit(" and "), F.date_format(F.date_add(day, 40), "MMMM d, yyyy"))
-    rows = read_table(spark, sf_dir, "orders").select("o_orderkey", E.dates_in(text).alias("d"), E.check_date(told, us).alias("c"))
+    rows = read_table(spark, sf_dir, "orders").select("o_orderkey", D.dates_in(text).alias("d"), D.check_date(told, us).alias("c"))
     return rows.select("o_orderkey", F.get("d", F.lit(0)).cast("string").alias("first_date"), F.element_at("d", -1).cast("string").alias("last_date"), F.size("d").alias("n_dates"), F.col("c.reason").alias("reason"))
 
 

@@ -13,6 +13,7 @@ from ..operators import evaluation as E
 from ..operators import locations as L
 from ..operators import overlaps as O
 from ..operators import projects as P
+from ..operators.quotes import pages_holding
 from ..sources.tables import page_numbers, read_table
 from .proxies import DISTANCE_SQL, ELIGIBLE_SQL, OWNER_A, OWNER_B, PROJECTS_SQL, RANK_SQL, pairs_sql, projects
 
@@ -36,6 +37,11 @@ def _pairs(spark: SparkSession, sf_dir: str, include_low: bool = True, threshold
     return O.score_pairs(O.find_pairs(projects(spark, sf_dir), OWNER_A, OWNER_B, threshold, include_low))
 
 
+def _ranked_by(spark, sf_dir) -> DataFrame:
+    """The columns of pairs that ranks and their reports need."""
+    return _pairs(spark, sf_dir).select("utility_a", "project_id_a", "utility_b", "project_id_b", "overlap_id", "distance_miles", "days_apart", *O.SCORES, "total_score")
+
+
 def _miles():
     return F.round("distance_miles", 4).alias("distance_miles")
 
@@ -65,12 +71,12 @@ _SCORES = "distance_score, timeline_overlap_score, days_apart_score, power_volta
 
 @query(f"WITH {pairs_sql()} SELECT {RANK_SQL['score']} AS rank, overlap_id, {_SCORES} FROM pairs")
 def overlap_ranked_score(spark, sf_dir):
-    return O.rank_pairs(_pairs(spark, sf_dir)).select("rank", "overlap_id", *O.SCORES, "total_score")
+    return O.rank_pairs(_ranked_by(spark, sf_dir)).select("rank", "overlap_id", *O.SCORES, "total_score")
 
 
 @query(f"WITH {pairs_sql()} SELECT {RANK_SQL['distance_first']} AS rank, overlap_id, {_SCORES} FROM pairs")
 def overlap_ranked_distance_first(spark, sf_dir):
-    return O.rank_pairs(_pairs(spark, sf_dir), "distance_first").select("rank", "overlap_id", *O.SCORES, "total_score")
+    return O.rank_pairs(_ranked_by(spark, sf_dir), "distance_first").select("rank", "overlap_id", *O.SCORES, "total_score")
 
 
 @query(f"""WITH {pairs_sql()} SELECT (SELECT count(*) FROM projects) AS source_projects, (SELECT count(*) FROM eligible) AS eligible_centers,
@@ -204,7 +210,7 @@ def ranking_reasons(spark, sf_dir):
 sides AS (SELECT utility_a AS utility, project_id_a AS project_id, rank, overlap_id FROM ranked UNION ALL SELECT utility_b, project_id_b, rank, overlap_id FROM ranked)
 SELECT utility, project_id, min(rank) AS rank, arg_min(overlap_id, rank) AS overlap_id FROM sides GROUP BY 1, 2""")
 def best_pair_per_project(spark, sf_dir):
-    return O.best_pairs(O.rank_pairs(_pairs(spark, sf_dir)))
+    return O.best_pairs(O.rank_pairs(_ranked_by(spark, sf_dir)))
 
 
 @query(f"""WITH {pairs_sql()} SELECT utility, project_id FROM projects WHERE (utility, project_id) NOT IN
@@ -385,15 +391,19 @@ def eval_missing_extra(spark, sf_dir):
     return E.match_rows(*_versions(spark, sf_dir))
 
 
+def _quoted(spark, sf_dir, whole_words: bool) -> DataFrame:
+    quotes = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    pages = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = pages_holding(quotes, pages, ["doc_id"], whole_words=whole_words)
+    per = hits.groupBy("quote").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
+    return quotes.join(per, "quote", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), "first_document")
+
+
 @query("""WITH clean AS (SELECT doc_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS t FROM documents), quotes AS (SELECT item_id, lower(regexp_replace(text, '\\s+', '', 'g')) AS q FROM benchmark)
 SELECT item_id, count(doc_id) AS n_documents, min(doc_id) AS first_document FROM quotes LEFT JOIN clean ON contains(t, q) AND q <> '' GROUP BY 1""")
 def quote_on_page(spark, sf_dir):
-    """Benchmark texts as quotes, documents as pages: how many hold each. The quotes are a small table."""
-    quotes = read_table(spark, sf_dir, "benchmark").select("item_id", T.squash(F.col("text")).alias("q"))
-    pages = read_table(spark, sf_dir, "documents").select("doc_id", T.squash(F.col("text")).alias("t"))
-    hits = pages.join(F.broadcast(quotes), F.contains("t", "q") & (F.col("q") != "")) if quotes.count() <= 10_000 else pages.join(quotes, F.contains("t", "q") & (F.col("q") != ""))
-    per = hits.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
-    return quotes.select("item_id").join(per, "item_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)))
+    """Benchmark texts as quotes, documents as pages: how many hold each, words or parts of words."""
+    return _quoted(spark, sf_dir, whole_words=False)
 
 
 _PLAIN_SQL = "trim(lower(regexp_replace(translate(text, '\u2012\u2013\u2014\u2212', '----'), '\\s+', ' ', 'g')))"
@@ -404,13 +414,8 @@ patterns AS (SELECT item_id, q, CASE WHEN regexp_matches(q, '^[\\pL\\pN]') THEN
     || CASE WHEN regexp_matches(q, '[\\pL\\pN]$') THEN '($|[^\\pL\\pN])' ELSE '' END AS p FROM quotes)
 SELECT item_id, count(doc_id) AS n_documents, min(doc_id) AS first_document FROM patterns LEFT JOIN clean ON q <> '' AND contains(replace(t, ' ', ''), q) AND regexp_matches(t, p) GROUP BY 1""")
 def quote_whole_words(spark, sf_dir):
-    """As quote_on_page, but a quote counts only as whole words, as the reference has it."""
-    quotes = read_table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("q"), T.squash(F.col("text")).alias("squashed"))
-    pages = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"), T.squash(F.col("text")).alias("page"))
-    few = quotes.count() <= 10_000
-    hits = pages.join(F.broadcast(quotes) if few else quotes, F.contains("page", "squashed") & (F.col("squashed") != "")).where(T.holds_words(F.col("t"), F.col("q")))
-    per = hits.groupBy("item_id").agg(F.count("*").alias("n_documents"), F.min("doc_id").alias("first_document"))
-    return quotes.select("item_id").join(per, "item_id", "left").withColumn("n_documents", F.coalesce("n_documents", F.lit(0)))
+    """As quote_on_page, but a quote counts only as whole words."""
+    return _quoted(spark, sf_dir, whole_words=True)
 
 
 @query("SELECT DISTINCT unnest(range(o_custkey, o_custkey + 3)) AS page FROM orders")
@@ -422,7 +427,7 @@ def page_ranges(spark, sf_dir):
 @query(f"WITH {PROJECTS_SQL} SELECT project_type, CAST(count(*) AS BIGINT) AS n, row_number() OVER (ORDER BY count(*) DESC, project_type) AS place FROM projects GROUP BY 1")
 def type_frequencies(spark, sf_dir):
     counts = projects(spark, sf_dir).groupBy("project_type").agg(F.count("*").alias("n"))
-    return O.rank_rows(counts, [-F.col("n")], [F.asc("project_type")], "place")
+    return O.rank_rows(counts, [F.desc("n"), F.asc("project_type")], "place")
 
 
 @query("""SELECT a.s_suppkey AS a, b.n_nationkey AS b, round(2.0 * 3958.8 * asin(sqrt(least(1.0, greatest(0.0, pow(sin((radians(b.n_nationkey * 3.0::DOUBLE) - radians(a.s_suppkey % 80 * 1.0::DOUBLE)) / 2.0), 2.0)

@@ -5,6 +5,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import dates
 from tessera.functions import text as T
 from tessera.operators import cleaning, evaluation, locations, plan_text, projects
 from tessera.sources import sinks, tables
@@ -182,7 +183,7 @@ def test_quotes_are_whole_words(spark):
 
 def test_dates_of_quotes(spark):
     rows = [("2025-12-31", "by December 31, 2025 or 6/1/27, not 2/30/2025"), ("2025-01-01", "on 2025-01-02"), (None, "summer"), ("soon", "1/2/2025"), ("2025-01-01", "none")]
-    frame = spark.createDataFrame(rows, "iso string, quote string").select(evaluation.dates_in(F.col("quote")).alias("d"), evaluation.check_date(F.col("iso"), F.col("quote")).alias("c"))
+    frame = spark.createDataFrame(rows, "iso string, quote string").select(dates.dates_in(F.col("quote")).alias("d"), dates.check_date(F.col("iso"), F.col("quote")).alias("c"))
     got = frame.collect()
     assert got[0]["d"] == [dt.date(2025, 12, 31), dt.date(2027, 6, 1)]
     assert [r["c"]["date"] for r in got] == [dt.date(2025, 12, 31), None, None, None, None]
