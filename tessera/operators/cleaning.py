@@ -17,14 +17,14 @@ BASE_COLUMNS = [
     "detail_need_date", "table_page", "detail_page",
 ]
 COORDINATE_COLUMNS = ["location_1_lat", "location_1_lon", "location_2_lat", "location_2_lon", "center_lat", "center_lon", "confidence_score"]
-STRAY_BLANK_AFTER = ["other_locations", "owner_tags", "location_2_lon"]
+BLANK_MAY_FOLLOW = ["other_locations", "owner_tags", "location_2_lon"]
 DATE_COLUMNS = ["in_service_date", "start_date", "detail_need_date"]
 VOLTAGE_COLUMNS = ["voltage_1", "voltage_2"]
 INTEGER_COLUMNS = ["plan_year", "table_page", "detail_page"]
 PROJECT_TYPES = ["LINE", "SUBSTATION", "BOTH", "MULTI_LINE", "MULTI_SITE", "UNKNOWN"]
 CONFIDENCES = ["HIGH", "MEDIUM", "LOW"]
 LATITUDES, LONGITUDES = (24.0, 50.0), (-125.0, -66.0)
-STATION_WORDS = ["SUBSTATION", "SWITCHING STATION", "SWITCHYARD", "TRANSFORMER"]
+WORDS_OF_STATIONS = ["SUBSTATION", "SWITCHING STATION", "SWITCHYARD", "TRANSFORMER"]
 
 
 def _without(places: list[int]) -> Column:
@@ -34,9 +34,9 @@ def _without(places: list[int]) -> Column:
 def realign(rows: DataFrame, header: list[str]) -> DataFrame:
     """(line, one column per header, layout_problem) from (line, cells): a row with n cells too many loses n stray blanks.
 
-    The first n of the columns in STRAY_BLANK_AFTER are each followed by one.
+    The first n of the columns in BLANK_MAY_FOLLOW are each followed by one.
     """
-    slots = [header.index(c) + 1 for c in STRAY_BLANK_AFTER if c in header]
+    slots = [header.index(c) + 1 for c in BLANK_MAY_FOLLOW if c in header]
     extra = F.size("cells") - len(header)
     cells, problem = F.col("cells"), F.when((extra < 0) | (extra > len(slots)), "wrong number of values")
     for n in range(1, len(slots) + 1):
@@ -81,7 +81,7 @@ def data_problems(rows: DataFrame) -> DataFrame:
     """(project_id, problem): what clean rows say that can't all be true."""
     col = F.col
     number = lambda c: col(c).try_cast("double")
-    station = F.greatest(*[F.contains(F.upper("project_name"), F.lit(w)) for w in STATION_WORDS])
+    station = F.greatest(*[F.contains(F.upper("project_name"), F.lit(w)) for w in WORDS_OF_STATIONS])
     checks = [
         F.when((col("start_date") != "") & (col("in_service_date") != "") & (col("start_date") > col("in_service_date")), "starts after it is in service"),
         F.when((col("project_type") == "LINE") & station, "a line named like a station"),
@@ -91,4 +91,6 @@ def data_problems(rows: DataFrame) -> DataFrame:
         apart = haversine_miles(*[number(c) for c in COORDINATE_COLUMNS[:4]])
         off = haversine_miles(number("center_lat"), number("center_lon"), (number("location_1_lat") + number("location_2_lat")) / 2, (number("location_1_lon") + number("location_2_lon")) / 2)
         checks += [F.when(apart > 2 * number("line_miles"), "endpoints farther apart than twice the line's length"), F.when(off > 0.5, "center is not the midpoint")]
-    return rows.select("project_id", F.explode(F.array_compact(F.array(*checks))).alias("problem"))
+    twice = rows.groupBy("utility", "project_id").count().where("count > 1")
+    told = F.concat(F.lit("appears "), F.col("count").cast("string"), F.lit(" times for "), F.col("utility"))
+    return rows.select("project_id", F.explode(F.array_compact(F.array(*checks))).alias("problem")).unionByName(twice.select("project_id", told.alias("problem")))

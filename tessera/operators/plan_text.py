@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -28,12 +30,12 @@ FORM_TEXT = [
     r"(?m)^[ \t]*(?:Description|Supporting Statement|Change From Previous Ten Year Plan|Change From Previous IRP)[ \t]*$",
 ]
 SUPPORTING_STATEMENT = "REDACTED"
-OWNER_TAGS = ["APC", "FPL", "GPC", "GTC", "MEAG", "SAV", "USA"]
+TAGS_IN_TITLES = ["APC", "FPL", "GPC", "GTC", "MEAG", "SAV", "USA"]
 TITLE_PREFIXES = r"^(?:(?:(?:SAV|GTC|MEAG|DU|GPC)\s*:|(?:CC|GRID)\s+-)\s*)+"
 TITLE_FIXES = [(r"(?<=\d\d)O(?=\s*KV)", "0"), (r"\bV\.\s*RICA\b", "VILLA RICA"), (r"\bPRI\b\.?", "PRIMARY"), (r"\bRD\b\.?", "ROAD"), (r"\bTALLBOT\b", "TALBOT")]
-DIRECTIONS = {"N": "NORTH", "S": "SOUTH", "E": "EAST", "W": "WEST"}
-BARE_VOLTAGE = r"^(?:46|69|115|230|500)(?:/\d{2,3})?$"
-WORK_WORDS = """
+COMPASS_NAMES = {"N": "NORTH", "S": "SOUTH", "E": "EAST", "W": "WEST"}
+ONLY_VOLTS = r"^(?:46|69|115|230|500)(?:/\d{2,3})?$"
+WORDS_OF_WORK = """
     AKA AREA AUTO AUTOBANK BANK BREAKER BUS BUSES CAP CAPACITOR CC CONVERSION CUSTOMER DATA
     DUAL EQUIPMENT EXPANSION HALF IMPROVEMENT IMPROVEMENTS IMPROVMNT INSTALLATION JUMPER
     LIMITING LOOP LOW MODERNIZATION MODIFICATION NEEDS NETWORK PANEL PARTIAL PROJECT
@@ -41,7 +43,7 @@ WORK_WORDS = """
     SECOND SERIES SMART SOLUTION STATCOM STATION STRATEGIC SUB SUBSTATION SWITCHING TIE
     TRANSFORMER TRANSFORMERS TRANSMISSION TRAP UPGRADE UPGRADES XFMR 2ND
     """.split()
-WORK_WORDS_UNLESS_FIRST = ["LINE", "LINES", "NEW", "SWITCH"]
+WORDS_OF_WORK_LATER = ["LINE", "LINES", "NEW", "SWITCH"]
 SPONSOR_OWNERS = {"GPC": "Georgia Power", "GTC": "Georgia Transmission Corporation", "MEAG": "MEAG Power", "DU": "Dalton Utilities", "SAV": "Georgia Power"}
 COST_COLUMNS = ["cost_previous", "cost_2024", "cost_2025", "cost_2026", "cost_2027", "cost_2028", "cost_total"]
 
@@ -73,27 +75,49 @@ def bookmarked_range(bookmarks: DataFrame, title: str) -> DataFrame:
     return hit.join(later, "document", "left")
 
 
-def cut_at(documents: DataFrame, pattern: str) -> DataFrame:
-    """(document, part, text, page): what stands from each match of pattern at a line's begin to the next, and its page."""
-    pieces = documents.select("document", "starts", F.posexplode(F.split("text", rf"(?m)(?=^{pattern})")).alias("part", "text"))
-    before = Window.partitionBy("document").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    at = pieces.withColumn("at", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)))
-    page = F.element_at(F.filter("starts", lambda s: s["start"] <= F.col("at")), -1)["page"]
-    return at.where(F.col("text").rlike(rf"^{pattern}")).select("document", "part", "text", page.alias("page"))
+def cut_pages(pages: DataFrame, pattern: str) -> DataFrame:
+    """(document, part, text, page): what stands from each match of pattern at a line's begin to the next, and the page it begins on.
+
+    pages: document, page, text. Each page is cut on its own, with the first two
+    lines of the next one in sight for a header of up to three lines that begins at
+    its end; a piece without a header goes on with the header before it. So a row
+    holds one section and never a whole document.
+    """
+    order = Window.partitionBy("document").orderBy("page")
+    ahead = F.coalesce(F.substring_index(F.lead("text").over(order), "\n", 2), F.lit(""))
+    rows = pages.select("document", "page", F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("_own"), ahead.alias("_ahead"))
+    pieces = F.split(F.concat("_own", "_ahead"), rf"(?m)(?=^{pattern})")
+    rows = rows.withColumn("_pieces", pieces)
+    before = lambda i: F.aggregate(F.slice("_pieces", F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
+    placed = F.transform("_pieces", lambda x, i: F.struct(i.alias("place"), before(i).alias("at"), x.rlike(rf"\A(?m){pattern}").cast("int").alias("head"), x.alias("text")))
+    own = rows.select("document", "page", F.length("_own").alias("_n"), F.explode(placed).alias("p")).where("p.at < _n")
+    own = own.select("document", "page", "p.place", "p.head", F.substring("p.text", F.lit(1), F.col("_n") - F.col("p.at")).alias("text"))
+    section = F.sum("head").over(Window.partitionBy("document").orderBy("page", "place").rowsBetween(Window.unboundedPreceding, 0))
+    whole = own.withColumn("part", section).where("part > 0").groupBy("document", "part").agg(F.sort_array(F.collect_list(F.struct("page", "place", "text"))).alias("s"))
+    return whole.select("document", "part", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("text"), F.get("s", F.lit(0))["page"].alias("page"))
+
+
+def table_pages(pages: DataFrame) -> DataFrame:
+    """The pages of the project table, from its caption to the line of its total (to the end without one), and columns _begun, _ended."""
+    pages = pages.select("document", "page", F.coalesce("text", F.lit("")).alias("text"))
+    begin = F.locate(TABLE_CAPTION, F.col("text"))
+    first = pages.where(begin > 0).groupBy("document").agg(F.min(F.struct("page", begin.alias("at"))).alias("_b"))
+    rows = pages.join(first, "document", "left").where(F.col("_b").isNull() | (F.col("page") >= F.col("_b.page")))
+    rows = rows.withColumn("text", F.when(F.col("page") == F.col("_b.page"), F.substring("text", F.col("_b.at"), F.length("text"))).otherwise(F.col("text")))
+    stop = F.regexp_instr("text", F.lit(TABLE_END))
+    last = rows.where(F.col("_b").isNotNull() & (stop > 0)).groupBy("document").agg(F.min(F.struct("page", stop.alias("at"))).alias("_e"))
+    rows = rows.join(last, "document", "left").where(F.col("_e").isNull() | (F.col("page") <= F.col("_e.page")))
+    text = F.when(F.col("page") == F.col("_e.page"), F.substring("text", F.lit(1), F.col("_e.at") - 1)).otherwise(F.col("text"))
+    return rows.select("document", "page", text.alias("text"), F.col("_b").isNotNull().alias("_begun"), F.col("_e").isNotNull().alias("_ended"))
 
 
-def table_rows(documents: DataFrame) -> DataFrame:
+def table_rows(pages: DataFrame) -> DataFrame:
     """The rows of the project table: zone, plan_year, project_id, project_name, need_date, sponsor, page, problem.
 
-    Rows wrap over lines, so each runs from its start to the next; problem tells
-    of a row that is not complete or swallowed its neighbour.
+    Rows wrap over lines and pages, so each runs from its start to the next; problem
+    tells of a row that is not complete or swallowed its neighbour.
     """
-    begin = F.locate(TABLE_CAPTION, F.col("text"))
-    body = F.substring("text", begin, F.length("text"))
-    stop = F.regexp_instr(body, F.lit(TABLE_END))
-    inside = F.when(stop > 0, F.substring(body, F.lit(1), stop - 1)).otherwise(body)
-    shifted = F.transform("starts", lambda s: F.struct((s["start"] - begin + 1).alias("start"), s["page"].alias("page")))
-    rows = cut_at(documents.where(begin > 0).select("document", shifted.alias("starts"), inside.alias("text")), ROW_START)
+    rows = cut_pages(table_pages(pages).where("_begun").select("document", "page", "text"), ROW_START)
     part = lambda k: F.regexp_extract("text", TABLE_ROW, k)
     return rows.select(
         "document", part(1).alias("zone"), part(2).try_cast("int").alias("plan_year"), part(3).alias("project_id"), T.tidy(part(4)).alias("project_name"),
@@ -102,9 +126,52 @@ def table_rows(documents: DataFrame) -> DataFrame:
     )
 
 
-def detail_pages(documents: DataFrame) -> DataFrame:
+class PlanTableError(ValueError):
+    """A plan's table is not what its rows say it should be."""
+
+
+def reconciled_rows(pages: DataFrame) -> tuple[DataFrame, Callable[[], dict]]:
+    """`table_rows`, and a function that raises if not every row start became a complete row.
+
+    The starts and the complete rows are counted by the pass that parses them, when
+    the rows are written or collected; the function is to be called after that.
+    """
+    told = Observation()
+    ok = F.col("problem").isNull()
+    rows = table_rows(pages).observe(told, F.count("*").alias("starts"), F.count_if(ok).alias("complete"), F.count_if(F.col("problem") == "row swallowed neighbouring text").alias("swallowed"))
+
+    def check() -> dict:
+        counts = told.get
+        if not counts["starts"]:
+            raise PlanTableError("the table has no rows")
+        if counts["swallowed"]:
+            raise PlanTableError(f"{counts['swallowed']} rows swallowed neighbouring text")
+        if counts["starts"] != counts["complete"]:
+            raise PlanTableError(f"the table has {counts['starts']} row starts but {counts['complete']} complete rows; a row's layout changed")
+        return counts
+
+    return rows, check
+
+
+def table_counts(pages: DataFrame) -> DataFrame:
+    """(document, starts, complete, duplicates, problem) of every document's table; problem is null if all is well."""
+    per_id = table_rows(pages).groupBy("document", "project_id").agg(F.count("*").alias("starts"), F.count_if(F.col("problem").isNull()).alias("complete"), F.count_if(F.col("problem").startswith("row swallowed")).alias("swallowed"))
+    twice = F.count_if((F.col("complete") > 1) & (F.col("project_id") != ""))
+    per = per_id.groupBy("document").agg(F.sum("starts").alias("starts"), F.sum("complete").alias("complete"), twice.alias("duplicates"), F.sum("swallowed").alias("swallowed"))
+    seen = table_pages(pages).groupBy("document").agg(F.max("_begun").alias("begun"), F.max("_ended").alias("ended"))
+    rows = seen.join(per, "document", "left").na.fill(0, ["starts", "complete", "duplicates", "swallowed"])
+    problem = (
+        F.when(~F.col("begun"), "table caption not found").when(~F.col("ended"), "end of the table not found").when(F.col("starts") == 0, "the table has no rows")
+        .when(F.col("swallowed") > 0, "rows swallowed neighbouring text")
+        .when(F.col("starts") != F.col("complete"), F.format_string("the table has %d row starts but %d complete rows; a row's layout changed", "starts", "complete"))
+        .when(F.col("duplicates") > 0, "project IDs are there twice")
+    )
+    return rows.select("document", "starts", "complete", "duplicates", problem.alias("problem"))
+
+
+def detail_pages(pages: DataFrame) -> DataFrame:
     """Project details: project_id, need_date, start_date, description, two changes, page, problem."""
-    rows = cut_at(documents, DETAIL_HEADER)
+    rows = cut_pages(pages, DETAIL_HEADER)
     rest = F.regexp_replace("text", rf"^{DETAIL_HEADER}", "")
     for pattern in FORM_TEXT:
         rest = F.regexp_replace(rest, pattern, "")
@@ -127,15 +194,15 @@ def _site(part: Column) -> Column:
 
     def step(state: Column, word: Column) -> Column:
         plain = F.regexp_replace(word, r"\.+$", "")
-        over = state["over"] | plain.isin(WORK_WORDS) | ((F.size(state["kept"]) > 0) & plain.isin(WORK_WORDS_UNLESS_FIRST))
-        skip = over | word.rlike(BARE_VOLTAGE)
+        over = state["over"] | plain.isin(WORDS_OF_WORK) | ((F.size(state["kept"]) > 0) & plain.isin(WORDS_OF_WORK_LATER))
+        skip = over | word.rlike(ONLY_VOLTS)
         return F.struct(F.when(skip, state["kept"]).otherwise(F.concat(state["kept"], F.array(word))).alias("kept"), over.alias("over"))
 
     def finish(state: Column) -> Column:
         kept = state["kept"]
         first = F.get(kept, F.lit(0))
         long = first
-        for short, name in DIRECTIONS.items():
+        for short, name in COMPASS_NAMES.items():
             long = F.when(first == short, name).otherwise(long)
         whole = F.when(F.size(kept) > 1, F.concat(F.array(long), F.slice(kept, F.lit(2), F.size(kept)))).otherwise(kept)
         return F.regexp_replace(F.array_join(whole, " "), r"^[ .,\-&]+|[ .,\-&]+$", "")
@@ -150,7 +217,7 @@ def parse_titles(rows: DataFrame, title: str = "project_name") -> DataFrame:
         text = F.regexp_replace(text, pattern, fixed)
     rows = rows.withColumns({"_t": text}).withColumns({"voltages": T.voltages_in(F.col("_t")), "_loop": F.col("_t").rlike(r"\bLOOP[- ]?IN\b|\bFOLD[- ]?IN\b"), "_t": F.regexp_replace("_t", TITLE_PREFIXES, "")})
     tags = F.transform(F.regexp_extract_all("_t", F.lit(r"\(([^)]*)\)"), F.lit(1)), F.trim)
-    rows = rows.withColumn("owner_tags", F.array_distinct(F.filter(tags, lambda x: x.isin(OWNER_TAGS))))
+    rows = rows.withColumn("owner_tags", F.array_distinct(F.filter(tags, lambda x: x.isin(TAGS_IN_TITLES))))
     rest = F.regexp_replace("_t", r"\([^)]*\)", " ")
     rest = F.regexp_replace(rest, r"(?s)\b\d{2,3}(?:\s*[/-]\s*\d{2,3})*\s*KV\b.*$", "")
     rest = F.regexp_replace(rest, r"^.*?\bAT\s+", "")
@@ -165,10 +232,10 @@ def parse_titles(rows: DataFrame, title: str = "project_name") -> DataFrame:
     return rows.withColumns({"locations": F.array_distinct(F.flatten("_s")), "project_type": kind}).drop("_t", "_s", "_loop")
 
 
-def plan_projects(documents: DataFrame) -> DataFrame:
+def plan_projects(pages: DataFrame) -> DataFrame:
     """One row per table row with its detail page, title parts and mileage."""
-    table = parse_titles(table_rows(documents).where("problem is null"))
-    detail = detail_pages(documents).select("document", "project_id", "start_date", "description", "change_from_previous_plan", "change_from_previous_irp", F.col("need_date").alias("detail_need_date"), F.col("page").alias("detail_page"))
+    table = parse_titles(table_rows(pages).where("problem is null"))
+    detail = detail_pages(pages).select("document", "project_id", "start_date", "description", "change_from_previous_plan", "change_from_previous_irp", F.col("need_date").alias("detail_need_date"), F.col("page").alias("detail_page"))
     rows = table.join(detail, ["document", "project_id"], "left")
     miles = T.miles_in(F.coalesce("description", F.lit("")))
     at = lambda c, k: F.coalesce(F.get(c, F.lit(k)), F.lit(""))
@@ -184,9 +251,9 @@ def plan_projects(documents: DataFrame) -> DataFrame:
     )
 
 
-def plan_inconsistencies(documents: DataFrame) -> DataFrame:
+def plan_inconsistencies(pages: DataFrame) -> DataFrame:
     """(document, project_id, reason): rows without a detail page or with another date, empty descriptions, unknown sponsors, orphan details."""
-    table, detail = table_rows(documents).alias("t"), detail_pages(documents).alias("d")
+    table, detail = table_rows(pages).alias("t"), detail_pages(pages).alias("d")
     both = table.join(detail, (F.col("t.document") == F.col("d.document")) & (F.col("t.project_id") == F.col("d.project_id")), "full_outer")
     there, told = F.col("t.project_id").isNotNull(), F.col("d.project_id").isNotNull()
     reasons = F.array(

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ragged
 from ..operators.projects import ProjectTableError, normalize_projects, prepare_projects, union_projects
 
 
@@ -37,22 +38,12 @@ def read_keyed_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_ragged_csv(spark: SparkSession, path: str, headers: list[str]) -> DataFrame:
-    """(line, cells): the cells of each row, however many, of a CSV whose header is one of headers; blank rows are left out.
-
-    Files are read whole, one per row, as a quoted cell may span lines.
-    """
-    kind = T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("cells", T.ArrayType(T.StringType()))]))
-
-    @F.pandas_udf(kind)
-    def parsed(files):
-        return files.map(lambda text: [{"line": i, "cells": row} for i, row in enumerate(csv.reader(io.StringIO(text.removeprefix("\ufeff")))) if any(c.strip() for c in row)])
-
-    files = spark.read.text(path, wholetext=True)
-    rows = files.select(F.explode(parsed("value")).alias("r")).select("r.line", "r.cells")
-    first = rows.where("line = 0").select(F.array_join("cells", ",")).first()
-    if not first or first[0] not in headers:
+    """(line, cells): the cells of each row, however many, of CSV files whose header is one of headers; blank rows are left out."""
+    rows = ragged.records(spark, path)
+    wrong = rows.where("line = 0").where(~F.array_join("cells", ",").isin(headers))
+    if rows.isEmpty() or not wrong.isEmpty():
         raise ProjectTableError(f"{path}: the header is none of those known")
-    return rows.where("line > 0")
+    return rows.where((F.col("line") > 0) & F.exists("cells", lambda c: F.trim(c) != "")).select("line", "cells")
 
 
 def read_sheets(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -118,7 +118,7 @@ def test_plan_rows_and_details(spark):
         ("d", 11, "102 2026 12346 PINE SUB 5/1/28 GTC REDACTED 2\nTotal REDACTED\n103 2026 99999 LATER 5/1/28 GTC REDACTED"),
         ("d", 12, "OAK - ELM\nTeams # 12345\nNeed Date 6/1/2027 Start Date 1/5/2025\nDescription\nRebuild 5.5 miles\nof line\nREDACTED\nNone\nNew\n"),
     ]
-    joined = plan_text.join_pages(plan_text.clean_pages(spark.createDataFrame(pages, "document string, page int, text string")))
+    joined = plan_text.clean_pages(spark.createDataFrame(pages, "document string, page int, text string"))
     rows = {r["project_id"]: r for r in plan_text.plan_projects(joined).collect()}
     assert set(rows) == {"12345", "12346"}
     one = rows["12345"]
@@ -219,7 +219,7 @@ def test_ragged_rows(spark, tmp_path):
     rows = cleaning.clean_rows(cleaning.realign(tables.read_ragged_csv(spark, str(tmp_path / "raw.csv"), [",".join(header)]), header))
     got = [(r["owner_tags"], r["voltage_1"], r["problems"]) for r in rows.orderBy("line").collect()]
     assert got[:2] == [("GTC", "115000", [])] * 2 and got[2][2] == ["wrong number of values"]
-    assert {r["problem"] for r in cleaning.data_problems(rows.where("size(problems) = 0")).collect()} == {"starts after it is in service"}
+    assert {r["problem"] for r in cleaning.data_problems(rows.where("size(problems) = 0")).collect()} == {"starts after it is in service", "appears 2 times for "}
     with pytest.raises(tables.ProjectTableError):
         tables.read_ragged_csv(spark, str(tmp_path / "raw.csv"), ["other"])
 
