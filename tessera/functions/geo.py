@@ -18,6 +18,14 @@ def haversine_miles(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> C
     return F.lit(2.0 * EARTH_RADIUS_MILES) * F.asin(F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), a))))
 
 
+def haversine_miles_by_atan2(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """The same distance by atan2, unclamped: coordinates may be texts; one that is no number gives null."""
+    lat1, lon1, lat2, lon2 = (F.radians(c.try_cast("double")) for c in (lat1, lon1, lat2, lon2))
+    half = lambda x: F.pow(F.sin(x / F.lit(2.0)), F.lit(2.0))
+    a = half(lat2 - lat1) + F.cos(lat1) * F.cos(lat2) * half(lon2 - lon1)
+    return F.lit(EARTH_RADIUS_MILES) * F.lit(2.0) * F.atan2(F.sqrt(a), F.sqrt(F.lit(1.0) - a))
+
+
 def finite(value: Column) -> Column:
     """A text or number as a finite double, else null."""
     number = value.try_cast("double")

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.geo import cell_of, cells_around, haversine_miles
 from ..functions.scores import lookup
+from .grid import join_cells
 
 RADIUS_MILES = 25_000 / 1609.344
-TILE_DEGREES = 1.0
+TILE_DEGREES = 0.25
 CONFIDENCE_RANK = {"HIGH": 3, "MEDIUM": 2, "LOW": 1, "High": 3, "Medium": 2, "Low": 1}
 
 # Operator names that count for an owner.
@@ -68,14 +69,15 @@ def candidates_near(seeds: DataFrame, features: DataFrame, miles: float = RADIUS
     """Seeds (with seed_latitude, seed_longitude) joined to features (type, id, latitude, longitude) within miles.
 
     Seeds are copied to the tiles that their circle touches, features stay in
-    theirs; of features that are there twice, one counts.
+    theirs; a crowded tile is joined in slices. Of features that are there twice,
+    one counts.
     """
     features = features.dropDuplicates(["type", "id"])
     tiles = F.explode(cells_around(F.col("seed_latitude"), F.col("seed_longitude"), miles, TILE_DEGREES))
-    left = seeds.withColumn("_tile", tiles)
-    right = features.withColumn("_tile", cell_of(F.col("latitude"), F.col("longitude"), TILE_DEGREES))
+    left = seeds.withColumn("_cell", tiles)
+    right = features.withColumn("_cell", cell_of(F.col("latitude"), F.col("longitude"), TILE_DEGREES))
     distance = haversine_miles(F.col("seed_latitude"), F.col("seed_longitude"), F.col("latitude"), F.col("longitude"))
-    return left.join(right, "_tile").where(distance <= miles).withColumn("distance_from_seed_miles", distance).drop("_tile")
+    return join_cells(left, right).where(distance <= miles).withColumn("distance_from_seed_miles", distance).drop("_cell")
 
 
 def voltage_matches(expected: Column, written: Column) -> Column:

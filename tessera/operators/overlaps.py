@@ -11,6 +11,7 @@ from ..functions import scores as S
 from ..functions import text as T
 from ..functions.geo import cell_of, cells_around, haversine_miles, valid_point
 from ..sources.shared import durable
+from .grid import join_cells
 
 PAIR_FIELDS = [
     "utility", "project_id", "project_name", "project_type", "region", "line_miles", "start_date", "in_service_date", "voltage",
@@ -19,6 +20,14 @@ PAIR_FIELDS = [
 SCORES = ["distance_score", "timeline_overlap_score", "days_apart_score", "power_voltage_score", "project_type_score"]
 IMPACT = ["state_a", "state_b", "shared_miles", "row_width_feet", "land_saved_acres", "land_value_per_acre", "land_saved_value_usd", "impact_explanation"]
 MODES = ("score", "distance_first")
+# Other names under which pair tables have these columns, in the order they count.
+PAIR_ALIASES = {
+    "distance_miles": ["distance miles"], "days_apart": ["date_gap_days", "date gap days", "time_gap"],
+    "start_date_a": ["utility a start date"], "start_date_b": ["utility b start date"],
+    "in_service_date_a": ["utility a date", "in-service date a"], "in_service_date_b": ["utility b date", "in-service date b"],
+    "voltage_a": ["voltage_1_a", "max_voltage_a", "utility a voltage"], "voltage_b": ["voltage_1_b", "max_voltage_b", "utility b voltage"],
+    "project_type_a": ["type_a", "utility a project type"], "project_type_b": ["type_b", "utility b project type"],
+}
 
 
 def eligible_projects(projects: DataFrame, include_low: bool = True) -> DataFrame:
@@ -35,6 +44,14 @@ def _sides(projects: DataFrame, owner_a: str, owner_b: str) -> tuple[DataFrame,
     return tuple(projects.where(F.col("utility") == owner).select([field(f).alias(f"{f}_{side}") for f in PAIR_FIELDS]) for owner, side in ((owner_a, "a"), (owner_b, "b")))
 
 
+def _as_written(pairs: DataFrame) -> DataFrame:
+    """Pairs with blanks for missing texts, and dates as ISO texts where they are dates of any known form."""
+    texts = {f.name for f in pairs.schema if f.dataType.simpleString() == "string"}
+    iso = lambda c: F.coalesce(F.date_format(T.any_date(F.col(c)), "yyyy-MM-dd"), T.blank(F.col(c)))
+    dates = [f"{f}_{s}" for f in ("start_date", "in_service_date") for s in "ab"]
+    return pairs.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in texts - set(dates)} | {c: iso(c) for c in dates})
+
+
 def _distance() -> Column:
     return haversine_miles(*(F.col(c) for c in ("latitude_a", "longitude_a", "latitude_b", "longitude_b")))
 
@@ -43,12 +60,12 @@ def pairs_by_grid(a: DataFrame, b: DataFrame, miles: float) -> DataFrame:
     """Pairs within miles through an equi-join on grid cells as wide as the threshold.
 
     Side a is copied to every cell its circle touches, side b stays in its own,
-    so each pair meets once. AQE splits a crowded cell on either side.
+    so each pair meets once. A crowded cell is joined in slices.
     """
     size = max(miles / 69.0, 1e-4)
     a = a.withColumn("_cell", F.explode(cells_around(F.col("latitude_a"), F.col("longitude_a"), miles, size)))
     b = b.withColumn("_cell", cell_of(F.col("latitude_b"), F.col("longitude_b"), size))
-    return a.join(b, "_cell").where(_distance() <= miles).drop("_cell").withColumn("distance_miles", _distance())
+    return join_cells(a, b).where(_distance() <= miles).drop("_cell").withColumn("distance_miles", _distance())
 
 
 def find_pairs(projects: DataFrame, owner_a: str, owner_b: str, threshold: float = 25.0, include_low: bool = True) -> DataFrame:
@@ -58,7 +75,7 @@ def find_pairs(projects: DataFrame, owner_a: str, owner_b: str, threshold: float
     if not math.isfinite(threshold) or threshold <= 0:
         raise ValueError("the distance threshold must be positive and finite")
     pairs = pairs_by_grid(*_sides(eligible_projects(projects, include_low), owner_a, owner_b), threshold)
-    return pairs.withColumn("days_apart", days_apart())
+    return _as_written(pairs).withColumn("days_apart", days_apart())
 
 
 def days_apart(given: str | None = None) -> Column:
@@ -114,6 +131,27 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.withColumns({"total_score": total, "ranking_reason": reason}).drop("_state")
 
 
+def pairs_of_table(rows: DataFrame, projects: DataFrame | None = None, order: str = "order") -> DataFrame:
+    """A pair table of any known column names, with what it lacks from projects (see `enrich_pairs`), ready to be scored.
+
+    Of the names of a column the first that is filled counts. A days_apart that is a
+    number counts before the dates; a distance that is none is null.
+    """
+    for side in "ab":
+        rows = rows.withColumns({f"{f}_{side}": T.named(rows, f"{f}_{side}", f"{side} {f.replace('_', ' ')}") for f in ("utility", "project_id")})
+    if projects is not None:
+        rows = enrich_pairs(rows, projects, order)
+    told = {name: T.named(rows, name, *others) for name, others in PAIR_ALIASES.items()}
+    pairs = rows.withColumns({name: value for name, value in told.items() if name not in ("distance_miles", "days_apart")})
+    pairs = pairs.withColumns({"distance_miles": T.number(told["distance_miles"]), "_given": told["days_apart"]})
+    return pairs.withColumn("days_apart", days_apart("_given")).drop("_given")
+
+
+def rank_table(rows: DataFrame, projects: DataFrame | None = None, mode: str = "score") -> DataFrame:
+    """Scores and ranks of a pair table of any known column names."""
+    return rank_pairs(score_pairs(pairs_of_table(rows, projects)), mode)
+
+
 def rank_rows(rows: DataFrame, order: list[Column], name: str = "rank", ranges: int | None = None) -> DataFrame:
     """Numbers rows from 1 in the given order, however many share a value of its first columns.
 
