@@ -298,7 +298,9 @@ def _candidates(spark, sf_dir) -> DataFrame:
     return L.score_candidates(L.candidates_near(seeds, features))
 
 
-_CANDIDATE_SQL = f"""a AS (SELECT s_suppkey AS seed, 'oak ' || (s_suppkey % 7) || ' creek' AS target, 30.0::DOUBLE + (s_suppkey * 37 % 1000) / 100.0::DOUBLE AS latitude, -85.0::DOUBLE + (s_suppkey * 91 % 1000) / 100.0::DOUBLE AS longitude FROM supplier),
+def candidate_sql(seeds: str) -> str:
+    """The CTEs up to `scored`: seeds (seed, target, latitude, longitude) against customers as features."""
+    return f"""a AS ({seeds}),
 b AS (SELECT c_custkey AS id, 30.0::DOUBLE + (c_custkey * 53 % 1000) / 100.0::DOUBLE AS latitude, -85.0::DOUBLE + (c_custkey * 71 % 1000) / 100.0::DOUBLE AS longitude,
   CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'oak ' || (c_custkey % 7) || ' creek' ELSE 'oak ' || (c_custkey % 7) END AS name,
   CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END AS operator_points, CASE c_custkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS volt_points FROM customer),
@@ -309,6 +311,9 @@ scored AS (SELECT *, CASE WHEN name = '' THEN 0 WHEN name = target THEN 6 WHEN c
   + operator_points + volt_points + CASE WHEN miles <= 2 THEN 2.0 WHEN miles <= 8 THEN 1.0 WHEN miles <= 15 THEN 0.5 ELSE 0.0 END::DOUBLE AS match_score FROM near)"""
 
 
+_CANDIDATE_SQL = candidate_sql("SELECT s_suppkey AS seed, 'oak ' || (s_suppkey % 7) || ' creek' AS target, 30.0::DOUBLE + (s_suppkey * 37 % 1000) / 100.0::DOUBLE AS latitude, -85.0::DOUBLE + (s_suppkey * 91 % 1000) / 100.0::DOUBLE AS longitude FROM supplier")
+
+
 @query(f"WITH {_CANDIDATE_SQL} SELECT seed, id, round(miles, 4) AS miles, match_score FROM scored")
 def name_match_score(spark, sf_dir):
     return _candidates(spark, sf_dir).select("seed", "id", F.round("distance_from_seed_miles", 4).alias("miles"), "match_score")
@@ -443,4 +448,4 @@ def reply_fields(spark, sf_dir):
     return read_table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
 
 
-from . import extraction_queries  # noqa: E402, F401  registers its queries here
+from . import extraction_queries, plan_queries  # noqa: E402, F401  register their queries here
