@@ -207,6 +207,25 @@ def cached_replies(requests: DataFrame, cache: DataFrame, replay: bool = False)
     return rows
 
 
+def document_requests(pages: DataFrame, max_chars: int, shaping: dict[str, Column] | None = None) -> DataFrame:
+    """(document, chunk, pages, text, key): a request for each run of a document's pages, with the key of its reply.
+
+    shaping: what else shapes a reply (model, instructions), a column or literal by name.
+    """
+    runs = chunk_pages(pages, max_chars)
+    each = runs.select("document", "chunk", F.explode("pages").alias("page")).join(pages.select("document", F.col("page").cast("int").alias("page"), "text"), ["document", "page"])
+    shown = F.concat(F.lit("=== PAGE "), F.col("page").cast("string"), F.lit(" ===\n"), F.coalesce("text", F.lit("")))
+    texts = each.groupBy("document", "chunk").agg(F.sort_array(F.collect_list(F.struct("page", shown.alias("shown")))).alias("p"))  # as many pages as a run may have
+    text = F.array_join(F.transform("p", lambda x: x["shown"]), "\n\n")
+    rows = texts.select("document", "chunk", F.transform("p", lambda x: x["page"]).alias("pages"), text.alias("text"))
+    return rows.withColumn("key", reply_key({**(shaping or {}), "text": F.col("text")}))
+
+
+def replay_documents(pages: DataFrame, cache: DataFrame, max_chars: int, shaping: dict[str, Column] | None = None) -> DataFrame:
+    """(document, chunk, pages, reply) of whole documents from cached replies (key, reply) alone; one that is missing is an error."""
+    return cached_replies(document_requests(pages, max_chars, shaping), cache, replay=True).select("document", "chunk", "pages", "reply")
+
+
 def token_estimate(chars: Column, per_request: int, chars_per_token: float) -> Column:
     """Input tokens of a request, about: what each one costs and its characters by a ratio."""
     return (F.lit(per_request) + F.ceil(chars / F.lit(chars_per_token))).cast("long")

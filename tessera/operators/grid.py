@@ -24,16 +24,19 @@ def join_cells(a: DataFrame, b: DataFrame, most: int | None = None) -> DataFrame
 
     Both sides are written once: they are counted before they are joined, and rows
     are dealt to slices in turn, so copies of one point are spread too. Each pair
-    meets in one slice.
+    meets in one slice. Both are dealt by key to the session's number of shuffle
+    partitions, as Spark would join small partitions by bytes to few tasks.
     """
     most = most or PAIRS_A_KEY
+    n = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     a, b = (durable(x.withColumn("_n", F.monotonically_increasing_id())) for x in (a, b))
     crowded = durable(slices(a, b, most))
     if crowded.isEmpty():
-        return a.drop("_n").join(b.drop("_n"), "_cell")
+        return a.drop("_n").repartition(n, "_cell").join(b.drop("_n").repartition(n, "_cell"), "_cell")
     own = lambda n: F.pmod(F.col("_n"), F.coalesce(n, F.lit(1))).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
     a = a.join(crowded, "_cell", "left").withColumns({"_i": own(F.col("_sa"))}).withColumn("_j", every(F.col("_sb")))
     b = b.join(crowded, "_cell", "left").withColumns({"_j": own(F.col("_sb"))}).withColumn("_i", every(F.col("_sa")))
     extra = ("_n", "_sa", "_sb")
-    return a.drop(*extra).join(b.drop(*extra), ["_cell", "_i", "_j"]).drop("_i", "_j")
+    key = ["_cell", "_i", "_j"]
+    return a.drop(*extra).repartition(n, *key).join(b.drop(*extra).repartition(n, *key), key).drop("_i", "_j")

@@ -39,17 +39,17 @@ def eligible_projects(projects: DataFrame, include_low: bool = True) -> DataFram
     return projects.where(keep)
 
 
-def _sides(projects: DataFrame, owner_a: str, owner_b: str) -> tuple[DataFrame, DataFrame]:
-    field = lambda f: F.col(f) if f in projects.columns else F.lit(None).cast("string")
-    return tuple(projects.where(F.col("utility") == owner).select([field(f).alias(f"{f}_{side}") for f in PAIR_FIELDS]) for owner, side in ((owner_a, "a"), (owner_b, "b")))
+def _as_written(projects: DataFrame, field: str) -> Column:
+    """A project's field as a pair has it: blanks for missing texts, and dates as ISO texts where they are dates of any known form."""
+    if field not in projects.columns:
+        return F.lit(None).cast("string")
+    if field in ("start_date", "in_service_date"):
+        return F.coalesce(F.date_format(T.any_date(F.col(field)), "yyyy-MM-dd"), T.blank(F.col(field)))
+    return F.coalesce(F.col(field), F.lit("")) if projects.schema[field].dataType.simpleString() == "string" else F.col(field)
 
 
-def _as_written(pairs: DataFrame) -> DataFrame:
-    """Pairs with blanks for missing texts, and dates as ISO texts where they are dates of any known form."""
-    texts = {f.name for f in pairs.schema if f.dataType.simpleString() == "string"}
-    iso = lambda c: F.coalesce(F.date_format(T.any_date(F.col(c)), "yyyy-MM-dd"), T.blank(F.col(c)))
-    dates = [f"{f}_{s}" for f in ("start_date", "in_service_date") for s in "ab"]
-    return pairs.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in texts - set(dates)} | {c: iso(c) for c in dates})
+def _sides(projects: DataFrame, owner_a: str, owner_b: str) -> tuple[DataFrame, DataFrame]:
+    return tuple(projects.where(F.col("utility") == owner).select([_as_written(projects, f).alias(f"{f}_{side}") for f in PAIR_FIELDS]) for owner, side in ((owner_a, "a"), (owner_b, "b")))
 
 
 def _distance() -> Column:
@@ -75,7 +75,7 @@ def find_pairs(projects: DataFrame, owner_a: str, owner_b: str, threshold: float
     if not math.isfinite(threshold) or threshold <= 0:
         raise ValueError("the distance threshold must be positive and finite")
     pairs = pairs_by_grid(*_sides(eligible_projects(projects, include_low), owner_a, owner_b), threshold)
-    return _as_written(pairs).withColumn("days_apart", days_apart())
+    return pairs.withColumn("days_apart", days_apart())
 
 
 def days_apart(given: str | None = None) -> Column:
@@ -102,12 +102,15 @@ def enrich_pairs(pairs: DataFrame, projects: DataFrame, order: str) -> DataFrame
 
 def score_pairs(pairs: DataFrame) -> DataFrame:
     """Adds the five scores, their total, timeline_overlap, the reason and overlap_id."""
-    date = {f"{f}_{s}": T.iso_date(F.date_format(T.any_date(F.col(f"{f}_{s}")), "yyyy-MM-dd")) for f in ("start_date", "in_service_date") for s in "ab"}
-    bad = {s: T.filled(F.col(f"start_date_{s}")) & date[f"start_date_{s}"].isNull() for s in "ab"}
-    state = S.timeline_state(F.col("utility_a"), date["start_date_a"], date["in_service_date_a"], F.col("utility_b"), date["start_date_b"], date["in_service_date_b"], bad["a"], bad["b"])
+    # read once in a step of their own: each is used many times below
+    read = {f"_{f}_{s}": T.any_date(F.col(f"{f}_{s}")) for f in ("start_date", "in_service_date") for s in "ab"}
+    read |= {f"_volts_{s}": T.volts(F.col(f"voltage_{s}")) for s in "ab"} | {f"_kind_{s}": T.project_kind(F.col(f"project_type_{s}")) for s in "ab"}
+    pairs = pairs.withColumns(read)
+    date = lambda f, s: F.col(f"_{f}_{s}")
+    bad = {s: T.filled(F.col(f"start_date_{s}")) & date("start_date", s).isNull() for s in "ab"}
+    state = S.timeline_state(F.col("utility_a"), date("start_date", "a"), date("in_service_date", "a"), F.col("utility_b"), date("start_date", "b"), date("in_service_date", "b"), bad["a"], bad["b"])
     pairs = pairs.withColumn("_state", state)
-    volts = {s: T.volts(F.col(f"voltage_{s}")) for s in "ab"}
-    kinds = {s: T.project_kind(F.col(f"project_type_{s}")) for s in "ab"}
+    volts, kinds = ({s: F.col(f"_{c}_{s}") for s in "ab"} for c in ("volts", "kind"))
     pairs = pairs.withColumns(
         {
             "distance_score": S.distance_score(F.col("distance_miles")),
@@ -128,7 +131,7 @@ def score_pairs(pairs: DataFrame) -> DataFrame:
         S.kind_reason(kinds["a"], kinds["b"]),
     )
     total = sum((F.col(s) for s in SCORES[1:]), F.col(SCORES[0]))
-    return pairs.withColumns({"total_score": total, "ranking_reason": reason}).drop("_state")
+    return pairs.withColumns({"total_score": total, "ranking_reason": reason}).drop("_state", *read)
 
 
 def pairs_of_table(rows: DataFrame, projects: DataFrame | None = None, order: str = "order") -> DataFrame:
@@ -152,6 +155,13 @@ def rank_table(rows: DataFrame, projects: DataFrame | None = None, mode: str = "
     return rank_pairs(score_pairs(pairs_of_table(rows, projects)), mode)
 
 
+def _placed(rows: DataFrame, order: list[Column], ranges: int | None) -> DataFrame:
+    """rows with the number of their range (_range) and their place in it (_place, from 0), written once."""
+    ranged = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
+    placed = durable(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    return placed.select(*rows.columns, F.shiftright("_id", 33).alias("_range"), F.col("_id").bitwiseAND((1 << 33) - 1).alias("_place"))
+
+
 def rank_rows(rows: DataFrame, order: list[Column], name: str = "rank", ranges: int | None = None) -> DataFrame:
     """Numbers rows from 1 in the given order, however many share a value of its first columns.
 
@@ -160,12 +170,10 @@ def rank_rows(rows: DataFrame, order: list[Column], name: str = "rank", ranges:
     written once, as each evaluation would draw others. Only their sizes meet in
     one place, a row a range. Without a number of ranges, Spark joins small ones.
     """
-    ranged = rows.repartitionByRange(*([ranges] if ranges else []), *order).sortWithinPartitions(*order)
-    placed = durable(ranged.withColumn("_id", F.monotonically_increasing_id()))
-    placed = placed.withColumns({"_range": F.shiftright("_id", 33), "_place": F.col("_id").bitwiseAND((1 << 33) - 1)})
+    placed = _placed(rows, order, ranges)
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
-    return placed.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_place") + 1).cast("long")).drop("_id", "_range", "_place", "_start")
+    return placed.join(F.broadcast(starts), "_range").withColumn(name, (F.col("_start") + F.col("_place") + 1).cast("long")).drop("_range", "_place", "_start")
 
 
 def rank_pairs(scored: DataFrame, mode: str = "score") -> DataFrame:

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, nested
 from ..functions import text as T
-from ..operators import cleaning, evaluation, locations, overlaps, plan_text, projects
-from ..sources import ragged
+from ..operators import cleaning, evaluation, extraction, locations, overlaps, plan_text, projects
+from ..sources import evidence, ragged, sinks
 from ..sources.lookup_cache import LookupCache
 from ..sources.shared import fresh_path
 from ..sources.tables import read_table
 from ..streaming import progress
-from .proxies import DISTANCE_SQL
+from .proxies import DISTANCE_SQL, OWNER_A, OWNER_B, pairs_sql
+from .proxies import projects as plan_projects
 from .queries import candidate_sql, query
 
 
@@ -245,3 +246,59 @@ def haversine_by_atan2(spark, sf_dir):
     pairs = read_table(spark, sf_dir, "supplier").join(read_table(spark, sf_dir, "nation"), F.col("s_nationkey") == n)
     miles = geo.haversine_miles_by_atan2((k * 37 % 1801) / 10.0 - 90.0, (k * 1091 % 3601) / 10.0 - 180.0, n * 3.0, n * -5.0)
     return pairs.select("s_suppkey", F.round(miles, 4).alias("miles"))
+
+
+@query("""WITH p AS (SELECT doc_id // 10 AS document, md5(string_agg('=== PAGE ' || doc_id || E' ===\\n' || coalesce(text, ''), E'\\n\\n' ORDER BY doc_id)) AS reply, count(*) AS pages FROM documents GROUP BY 1)
+SELECT document, pages, reply FROM p""")
+def replayed_documents(spark, sf_dir):
+    """Documents of ten pages asked in one request each, answered from replies that were kept by key."""
+    pages = read_table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 10).alias("document"), F.col("doc_id").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    shaping = {"model": F.lit("m"), "instructions": F.lit("list projects")}
+    replies = extraction.document_requests(pages, 100_000_000, shaping).select("key", F.md5("text").alias("reply"))
+    told = extraction.replay_documents(pages, replies, 100_000_000, shaping)
+    return told.select("document", F.size("pages").cast("long").alias("pages"), "reply")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, s_suppkey % 3 AS r, s_suppkey % 5 <> 0 AS point FROM supplier)
+SELECT CAST(k AS VARCHAR) AS project_id, CASE r WHEN 0 THEN 'unavailable' WHEN 1 THEN CASE WHEN point THEN 'single_location' ELSE 'unavailable' END ELSE CASE WHEN point THEN 'endpoint_midpoint' ELSE 'one_of_two_endpoints' END END AS center_method,
+  CASE WHEN r = 0 THEN 'Low' WHEN NOT point THEN 'Low' WHEN r = 1 THEN 'High' ELSE 'Medium' END AS confidence, CASE r WHEN 0 THEN '' WHEN 1 THEN 'Map feature' ELSE 'Map feature; Manual override' END AS location_source,
+  CASE r WHEN 0 THEN '' WHEN 1 THEN 'Oak: near' ELSE 'Oak: near | Elm: far' END AS verification_notes, CASE WHEN r = 0 THEN '' ELSE '230000' END AS voltage,
+  CASE WHEN r = 0 OR (r = 1 AND NOT point) THEN NULL WHEN r = 1 THEN 33.0 WHEN point THEN 33.5 ELSE 34.0 END::DOUBLE AS latitude FROM s""")
+def projects_with_evidence(spark, sf_dir):
+    """Projects of a saved table with none, one or two places found; the second row of a role does not count."""
+    k = F.col("s_suppkey")
+    supplier = read_table(spark, sf_dir, "supplier")
+    table = supplier.select(F.lit("A").alias("utility"), k.cast("string").alias("project_id"), F.col("s_name").alias("project_name"), F.lit("").alias("voltage_1"), F.lit("").alias("voltage_2"))
+    lat = F.when(k % 5 != 0, "33").otherwise("")
+    place = lambda number, role, name, latitude, confidence, source, why: F.struct(F.lit(number).alias("number"), F.lit(role).alias("location_role"), F.lit(name).alias("target_location"), latitude.alias("latitude"), F.lit("-80").alias("longitude"), F.lit(confidence).alias("confidence"), F.lit(source).alias("source"), F.lit(why).alias("reasons"))
+    one, again = place(1, "location_1", "Oak", lat, "HIGH", "Map feature", "near"), place(3, "location_1", "Ash", F.lit("20"), "LOW", "x", "y")
+    two = place(2, "location_2", "Elm", F.lit("34"), "MEDIUM", "Manual override", "far")
+    found = F.when(k % 3 == 1, F.array(one, again)).when(k % 3 == 2, F.array(again, two, one))
+    rows = supplier.select(F.lit("A").alias("utility"), k.cast("string").alias("project_id"), F.explode(found).alias("e")).select("utility", "project_id", "e.*", F.lit("LINE").alias("project_type"), F.lit("230000;115000").alias("expected_voltages"), F.lit("way").alias("osm_type"), F.lit("1").alias("osm_id"))
+    ready = projects.prepare_projects(evidence.with_evidence(table, rows, "saved.csv"))
+    return ready.select("project_id", "center_method", "confidence", "location_source", "verification_notes", "voltage", "latitude")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS k, o_orderkey % 2 = 0 AS georgia FROM orders)
+SELECT CAST(k AS VARCHAR) AS project_id, CASE WHEN georgia THEN 'MEAG Power' ELSE 'Georgia Power' END AS utility, 'OAK ' || k || ' 230/115 kV' AS project_name, CASE WHEN k % 3 = 0 THEN 'Elm' ELSE 'Oak' END AS location_1,
+  CASE WHEN k % 3 = 0 THEN '' ELSE 'Elm' END AS location_2, '230000' AS voltage_1, CASE WHEN k % 5 = 0 THEN '12.5' ELSE '' END AS line_miles, CASE WHEN k % 3 = 0 THEN '1; 2; 4' ELSE '1; 2; 3; 4' END AS pages, CASE WHEN k % 7 = 0 THEN 'REVIEW' ELSE 'VERIFIED' END AS status FROM o""")
+def project_rows(spark, sf_dir):
+    """Checked fields and places of orders' projects, one row each."""
+    k = F.col("o_orderkey")
+    orders = read_table(spark, sf_dir, "orders").select(F.lit("d").alias("document"), k.cast("string").alias("project_id"), k.alias("k"))
+    field = lambda name, value, page: F.struct(F.lit(name).alias("field"), value.alias("value"), F.lit(page).alias("page"))
+    fields = F.array(field("project_name", _text("OAK ", F.col("k"), " 230/115 kV"), 1), field("sponsor", F.when(F.col("k") % 2 == 0, "MEAG").otherwise("GPC"), 2), field("description", F.when(F.col("k") % 5 == 0, "12.5 miles").otherwise("none"), 1))
+    place = lambda n, value, page: F.struct(F.lit(n).alias("place"), F.lit(value).alias("value"), F.lit(page).alias("page"))
+    oak, again, elm = place(0, "Oak", 3), place(2, "OAK", 9), place(1, "Elm", 4)
+    places = orders.select("document", "project_id", F.explode(F.when(F.col("k") % 3 == 0, F.array(elm)).otherwise(F.array(again, elm, oak))).alias("p")).select("document", "project_id", "p.*")
+    rows = extraction.project_rows(orders.select("document", "project_id", F.explode(fields).alias("f")).select("document", "project_id", "f.*"), places, orders.where("k % 7 = 0"), "Georgia Power", "Georgia")
+    return rows.select("project_id", "utility", "project_name", "location_1", "location_2", "voltage_1", "line_miles", "pages", "status")
+
+
+@query(f"""WITH {pairs_sql()}, sides AS (SELECT utility_a AS utility, project_id_a AS project_id FROM pairs UNION SELECT utility_b, project_id_b FROM pairs)
+SELECT p.project_id, p.project_id || ' ' || project_name AS label, s.project_id IS NOT NULL AS has_pair, 12.5::DOUBLE * 1609.344::DOUBLE AS radius_meters FROM projects p LEFT JOIN sides s ON p.utility = s.utility AND p.project_id = s.project_id""")
+def map_points(spark, sf_dir):
+    """A point with its circle for every project, and whether it has a pair."""
+    rows = plan_projects(spark, sf_dir)
+    points = sinks.map_points(rows, overlaps.find_pairs(rows, OWNER_A, OWNER_B), 25.0)
+    return points.select("project_id", "label", "has_pair", "radius_meters")

@@ -25,6 +25,10 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def durable(rows: DataFrame) -> DataFrame:
-    """rows, computed once and read from the shared folder from then on, whichever executors are lost."""
-    shared_folder(rows.sparkSession)
-    return rows.checkpoint()
+    """rows, computed once (a checkpoint would compute them twice) and read as a table of the shared folder from then on, whichever executors are lost.
+
+    The table stays until the folder is cleared, as later plans may still read it.
+    """
+    path = fresh_path(rows.sparkSession, "table")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

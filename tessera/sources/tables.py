@@ -8,7 +8,8 @@ import json
 import os
 import zipfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,17 +89,20 @@ def known_source(files: DataFrame, known: DataFrame, strict: bool = False) -> Da
 
 
 def numbered(rows: DataFrame, name: str = "number") -> DataFrame:
-    """Adds the place of each row, from 1, in the order of a file scan; only the partitions' row counts are gathered."""
-    part, within = F.shiftright(F.col("_id"), 33), F.col("_id").bitwiseAND((1 << 33) - 1)
-    rows = rows.withColumn("_id", F.monotonically_increasing_id())
-    counts = sorted((r["p"], r["count"]) for r in rows.groupBy(part.alias("p")).count().collect())
-    before, upto = F.lit(0).cast("long"), 0
-    starts = {}
-    for p, n in counts:
-        starts[p], upto = upto, upto + n
-    if starts:
-        before = F.element_at(F.create_map(*[F.lit(x) for kv in starts.items() for x in kv]), part.cast("int"))
-    return rows.withColumn(name, (before + within + 1).cast("long")).drop("_id")
+    """Adds the place of each row, from 1: by file name and place in it for rows of a file scan, else by partition.
+
+    Rows are numbered inside each range of a file; only the ranges' counts meet in
+    one place, a row a range.
+    """
+    try:
+        place = rows.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_range"), F.monotonically_increasing_id().alias("_id"), "*")
+        place.schema  # noqa: B018  an analysis error here: no file scan
+    except AnalysisException:
+        place = rows.select(F.lit("").alias("_file"), F.spark_partition_id().cast("long").alias("_range"), F.monotonically_increasing_id().alias("_id"), "*")
+    own = F.row_number().over(Window.partitionBy("_file", "_range").orderBy("_id"))
+    before = Window.orderBy("_file", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = place.groupBy("_file", "_range").count().select("_file", "_range", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
+    return place.withColumn("_own", own).join(starts, ["_file", "_range"]).withColumn(name, (F.col("_start") + F.col("_own")).cast("long")).select(*rows.columns, name)
 
 
 def read_locations_csv(spark: SparkSession, path: str) -> DataFrame:

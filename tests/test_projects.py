@@ -201,12 +201,6 @@ def test_descriptions_and_page_problems(spark):
     assert sorted((r["page"], r["problem"]) for r in evaluation.page_problems(pages, labels, cited).collect()) == [(2, "labelled other and project_list, but no project was read from it"), (4, "the model didn't label this page")]
 
 
-def test_merging_fragments(spark):
-    rows = [("d", "1", 3, 0, "name", "Late", True), ("d", "1", 2, 1, "name", "Oak Hill", True), ("d", "1", 2, 0, "name", "bad", False), ("d", "1", 4, 0, "name", "OAKHILL", True)]
-    got = evaluation.merge_fragments(spark.createDataFrame(rows, "document string, project_id string, page int, place int, field string, value string, accepted boolean")).first()
-    assert (got["value"], got["page"], got["conflicts"]) == ("Oak Hill", 2, ["Late"])
-
-
 def test_ragged_rows(spark, tmp_path):
     header = cleaning.BASE_COLUMNS
     plain = {"project_id": "1", "project_type": "LINE", "voltage_1": "115000.0", "other_locations": "x", "owner_tags": "GTC", "in_service_date": "2025-01-01", "start_date": "2026-01-01"}

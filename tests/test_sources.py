@@ -131,3 +131,44 @@ def test_features_are_trimmed(spark):
     frame = spark.createDataFrame([(t,) for t in [*cases, None]], "t string")
     got = {r["t"]: r["o"] for r in frame.select("t", nested.trim_feature(F.col("t")).alias("o")).collect()}
     assert {k: v and json.loads(v) for k, v in got.items()} == cases | {None: None}
+
+
+def test_rows_are_numbered_in_the_order_of_their_files(spark, tmp_path):
+    from tessera.sources import tables
+
+    for name, n in (("a", 3), ("b", 400), ("c", 2)):  # Spark packs files by size
+        (tmp_path / f"{name}.csv").write_text("v\n" + "".join(f"{name}{i}\n" for i in range(n)))
+    rows = tables.numbered(tables.read_text_csv(spark, str(tmp_path))).collect()
+    want = [f"{name}{i}" for name, n in (("a", 3), ("b", 400), ("c", 2)) for i in range(n)]
+    assert [r["v"] for r in sorted(rows, key=lambda r: r["number"])] == want and sorted(r["number"] for r in rows) == list(range(1, 406))
+
+
+def test_saved_tables_with_evidence(spark, tmp_path):
+    from tessera.sources import evidence
+
+    (tmp_path / "p.csv").write_text("utility,project_id,project_name,project_type,voltage_1,voltage_2,location_1,table_page,detail_page\nA,1,One,LINE,,,old,10,12\nA,2,Two,LINE,46000,,Elm,11,\nB,1,Other,LINE,,,,,\n")
+    (tmp_path / "e.csv").write_text(
+        "utility,project_id,location_role,target_location,latitude,longitude,expected_voltages,project_type,confidence,source,osm_type,osm_id,reasons\n"
+        "A,1,location_1,Oak,33.0,-84.0,230000;115000,LINE,HIGH,Map feature,way,7,near\nA,1,location_2,Elm,34.0,-84.0,230000;115000,LINE,MEDIUM,Map feature,,,far\n"
+        "A,1,location_1,Ash,1.0,1.0,,,LOW,x,,,\nA,1,location_3,Fir,1.0,1.0,,,LOW,x,,,\nA,2,location_1,Elm,,,46000,LINE,HIGH,No match,,,none\n"
+    )
+    got = {r["project_id"]: r for r in evidence.load_with_evidence(spark, [(f"{tmp_path}/p.csv", f"{tmp_path}/e.csv", "A", "plan.pdf")]).collect()}
+    assert set(got) == {"1", "2"}
+    one, two = got["1"], got["2"]
+    assert (one["point_1_name"], one["point_2_name"], one["latitude"], one["center_method"], one["confidence"]) == ("Oak", "Elm", 33.5, "endpoint_midpoint", "Medium")
+    assert (one["voltage"], one["voltage_2"], one["location_source"], one["verification_notes"], one["source_pages"], one["source_file"]) == ("230000", "115000", "Map feature", "Oak: near | Elm: far", "10; 12", "plan.pdf")
+    assert (two["voltage"], two["latitude"], two["confidence"], two["location_status"], two["source_pages"]) == ("46000", None, "Low", "Missing", "11")
+
+
+def test_documents_are_replayed_from_kept_replies(spark):
+    from tessera.operators import extraction as X
+
+    pages = spark.createDataFrame([("d", i, f"page {i} " + "x" * 20) for i in range(1, 8)] + [("e", 1, None)], "document string, page int, text string")
+    asked = X.document_requests(pages, 60, {"model": F.lit("m")})
+    rows = {(r["document"], r["chunk"]): r for r in asked.collect()}
+    assert rows["d", 0]["pages"] == [1, 2] and rows["d", 1]["pages"] == [2, 3] and rows["e", 0]["text"] == "=== PAGE 1 ===\n"
+    assert rows["d", 0]["text"] == "=== PAGE 1 ===\npage 1 " + "x" * 20 + "\n\n=== PAGE 2 ===\npage 2 " + "x" * 20
+    cache = asked.select("key", F.concat(F.lit("r"), F.col("chunk").cast("string")).alias("reply"))
+    assert {(r["document"], r["chunk"], r["reply"]) for r in X.replay_documents(pages, cache, 60, {"model": F.lit("m")}).collect()} == {(d, c, f"r{c}") for d, c in rows}
+    with pytest.raises(Exception, match="no cached reply"):
+        X.replay_documents(pages, cache, 60, {"model": F.lit("other")}).collect()
