@@ -131,10 +131,11 @@ def single(values: Column) -> Column:
     return F.when(F.size(values) == 1, F.get(values, F.lit(0)))
 
 
-def text_between(text: Column, first: str, last: str) -> Column:
-    """What stands between two labels, over lines, trimmed; null if the labels are missing."""
+def text_between(text: Column, first: str, last: str, required: bool = False) -> Column:
+    """What stands between two labels, over lines, trimmed; without the labels null, or an error if they are required."""
     found = F.regexp_extract(text, rf"(?is){first}\s+(.*?)\s+{last}", 1)
-    return F.when(text.rlike(rf"(?is){first}\s+(.*?)\s+{last}"), F.trim(found))
+    lost = F.raise_error(F.lit(f"no text between {first!r} and {last!r}")).cast("string") if required else F.lit(None).cast("string")
+    return F.when(text.rlike(rf"(?is){first}\s+(.*?)\s+{last}"), F.trim(found)).otherwise(lost)
 
 
 def place_name(value: Column) -> Column:

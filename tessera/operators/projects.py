@@ -100,6 +100,17 @@ def check_keys(projects: DataFrame) -> None:
         raise ProjectTableError("a (utility, project_id) is there twice")
 
 
+def check_owners(projects: DataFrame, expected: set[str] | None = None) -> list[str]:
+    """The owners in order of name; an error if they are fewer than two, or not the expected ones. At most a few names are gathered."""
+    most = 1_000
+    found = sorted(r[0] for r in projects.where(T.filled(F.col("utility"))).select("utility").distinct().limit(most).collect())
+    if expected is not None and set(found) != expected:
+        raise ProjectTableError(f"projects of {' and '.join(sorted(expected))} are needed, found: {', '.join(found) or 'none'}")
+    if len(found) < 2:
+        raise ProjectTableError("load projects from at least two distinct owners")
+    return found
+
+
 def duplicate_keys(projects: DataFrame, *keys: str) -> DataFrame:
     """Keys that more than one row has, and how many."""
     keys = keys or ("utility", "project_id")

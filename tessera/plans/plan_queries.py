@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo, nested
 from ..functions import text as T
-from ..operators import cleaning, evaluation, extraction, locations, overlaps, plan_text, projects
+from ..operators import cleaning, evaluation, extraction, locations, map_layers, overlaps, plan_text, projects
 from ..sources import evidence, ragged, sinks
 from ..sources.lookup_cache import LookupCache
 from ..sources.shared import fresh_path
@@ -15,7 +15,7 @@ from ..sources.tables import read_table
 from ..streaming import progress
 from .proxies import DISTANCE_SQL, OWNER_A, OWNER_B, pairs_sql
 from .proxies import projects as plan_projects
-from .queries import candidate_sql, query
+from .queries import _CELLS_SQL, _ENDPOINTS_SQL, _endpoints, _versions, candidate_sql, query
 
 
 def _text(*parts) -> Column:
@@ -302,3 +302,31 @@ def map_points(spark, sf_dir):
     rows = plan_projects(spark, sf_dir)
     points = sinks.map_points(rows, overlaps.find_pairs(rows, OWNER_A, OWNER_B), 25.0)
     return points.select("project_id", "label", "has_pair", "radius_meters")
+
+
+@query(f"""WITH {_ENDPOINTS_SQL}, n AS (SELECT *, CASE WHEN named1 THEN 'North' ELSE 'Point 1' END AS n1, CASE WHEN named2 THEN 'South' ELSE 'Point 2' END AS n2 FROM centers)
+SELECT project_id, CASE WHEN center_method = 'endpoint_midpoint' THEN 'Center: midpoint of ' || n1 || ' and ' || n2
+  WHEN center_method = 'one_of_two_endpoints' THEN 'Center: ' || CASE WHEN p1 THEN n1 ELSE n2 END || ' only; ' || CASE WHEN p1 AND named2 THEN 'South' WHEN p2 AND named1 THEN 'North' ELSE 'the other substation' END || ' has no coordinates'
+  WHEN center_method = 'single_location' THEN 'Center: ' || CASE WHEN p1 THEN n1 ELSE n2 END || ' (the project''s one substation)' ELSE 'Center: supplied coordinates' END AS note FROM n""")
+def center_notes(spark, sf_dir):
+    return projects.prepare_projects(_endpoints(spark, sf_dir)).select("project_id", map_layers.center_note().alias("note"))
+
+
+@query(f"""WITH {_ENDPOINTS_SQL}, s AS (SELECT s_suppkey AS k, s_name FROM supplier)
+SELECT project_id, 1 AS endpoint, y1 AS latitude, CASE WHEN named1 THEN 'North' ELSE 'Point 1' END || ' substation (Unknown)' AS first_line FROM centers WHERE p1
+UNION ALL SELECT project_id, 2, y2, CASE WHEN named2 THEN 'South' ELSE 'Point 2' END || ' substation (Unknown)' FROM centers WHERE p2""")
+def endpoint_points(spark, sf_dir):
+    rows = map_layers.endpoint_points(projects.prepare_projects(_endpoints(spark, sf_dir)))
+    return rows.select("project_id", "endpoint", "latitude", F.substring_index("label", "\n", 1).alias("first_line"))
+
+
+@query(f"""WITH {_ENDPOINTS_SQL}, v AS (SELECT min(latitude) AS a, max(latitude) AS b, min(longitude) AS c, max(longitude) AS d FROM centers WHERE latitude IS NOT NULL)
+SELECT round((a + b) / 2, 6) AS latitude, round((c + d) / 2, 6) AS longitude, round(least(greatest(log2(360.0::DOUBLE / greatest(d - c, (b - a) * 1.25, 0.01)) + 0.8, 6.0), 12.0), 6) AS zoom FROM v""")
+def map_view(spark, sf_dir):
+    view = map_layers.fit_view(projects.prepare_projects(_endpoints(spark, sf_dir)).where("latitude is not null"))
+    return view.select(*[F.round(c, 6).alias(c) for c in ("latitude", "longitude", "zoom")])
+
+
+@query(f"""WITH {_CELLS_SQL} SELECT CAST(k AS VARCHAR) AS project_id, "column", outcome FROM cells WHERE outcome <> 'same'""")
+def eval_differences(spark, sf_dir):
+    return evaluation.differences(evaluation.compare_cells(*_versions(spark, sf_dir))).select("project_id", "column", "outcome")
