@@ -110,13 +110,29 @@ class Chunk:
         self.data, self.offsets = B.buffer_of(self.table["text"])
         self.length, self.gram, self.width = length, gram, length - gram + 1
 
-    def slices(self):
-        """Of each slice: where it begins, its hash sums, the lowest gram of each string, and the sampled suffixes."""
+    def pieces(self):
+        """Parts that are hashed at once, as the range they answer for and the offsets of what they read.
+
+        A part is some whole documents, or a stretch of a long one with as much
+        around it as strings and suffixes that start in the stretch reach.
+        """
         for i, j in B.slices(self.offsets):
-            begin, offsets = self.offsets[i], self.offsets[i : j + 1] - self.offsets[i]
+            begin, end = self.offsets[i], self.offsets[j]
+            if j - i > 1 or end - begin <= B.SLICE:
+                yield begin, end, self.offsets[i : j + 1]
+                continue
+            for own in range(begin, end, B.SLICE):
+                upto = min(own + B.SLICE, end)
+                yield own, upto, np.array([max(begin, own - self.width + 1), min(end, upto + self.length)])
+
+    def slices(self):
+        """Of each piece: its range, where its bytes begin, their hash sums, the lowest gram of each string, and the sampled suffixes of its range."""
+        for own, upto, offsets in self.pieces():
+            begin = offsets[0]
+            sums = B.prefix_sums(self.data[begin : offsets[-1]])
+            offsets = offsets - begin
             if offsets[-1] < self.length:
                 continue
-            sums = B.prefix_sums(self.data[begin : self.offsets[j]])
             grams = B.gram_hash(sums, self.gram)
             lowest = B.sliding(grams, self.width, np.minimum)
             ends = offsets[1:-1]
@@ -125,16 +141,17 @@ class Chunk:
             rim = np.zeros(self.width - 1, np.uint64)
             reach = B.sliding(np.concatenate([rim, lowest, rim]), self.width, np.maximum)
             at = np.flatnonzero((reach == grams) & (reach > 0))
+            at = at[(begin + at >= own) & (begin + at < upto)]
             row = np.searchsorted(offsets, at, "right") - 1
             left = np.maximum(at - self.width + 1, offsets[row])
             right = np.minimum(at + self.length, offsets[row + 1])
             around = B.span_hash(sums, left, right) + ((at - left) * (2 * self.length) + right - at).astype(np.uint64)
             # mixed once more, as the lowest hashes would all fall into the first buckets
-            yield begin, sums, lowest, B.mix(grams[at]), B.mix(around) | np.uint64(1), begin + left, begin + right
+            yield (own, upto), begin, sums, lowest, B.mix(grams[at]), B.mix(around) | np.uint64(1), begin + left, begin + right
 
     def suffixes(self):
         """The sampled suffixes: fingerprints, neighbourhoods and their spans; sorted distinct fingerprints (0: mixed)."""
-        found = [x[3:] for x in self.slices()]
+        found = [x[4:] for x in self.slices()]
         if not found:
             return (np.zeros(0, np.uint64),) * 6
         key, around, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -145,9 +162,8 @@ class Chunk:
         return keys, np.where(mixed, np.uint64(0), own), back, first, left, right
 
     def strings(self, mixed: np.ndarray):
-        """Starts and hashes of the strings whose lowest gram is of mixed neighbourhoods."""
-        starts, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        for begin, sums, lowest, *_ in self.slices() if len(mixed) else ():
+        """Starts and hashes, piece by piece in order, of the strings whose lowest gram is of mixed neighbourhoods."""
+        for (own, upto), begin, sums, lowest, *_ in self.slices() if len(mixed) else ():
             turn = np.flatnonzero(np.diff(lowest, prepend=np.uint64(0), append=np.uint64(0)))
             value = lowest[turn[:-1]]
             key = B.mix(value)
@@ -155,9 +171,36 @@ class Chunk:
             hit = (mixed[at] == key) & (value > 0)
             n = np.diff(turn)[hit]
             start = np.repeat(turn[:-1][hit] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            starts.append(begin + start)
-            hashes.append(B.span_hash(sums, start, start + self.length))
-        return np.concatenate(starts), np.concatenate(hashes)
+            start = start[(begin + start >= own) & (begin + start < upto)]
+            if len(start):
+                yield begin + start, B.span_hash(sums, start, start + self.length)
+
+    def string_keys(self, mixed: np.ndarray) -> np.ndarray:
+        """The sorted distinct hashes of `strings`."""
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.unique(hashes) for _, hashes in self.strings(mixed))])
+        keys.sort()
+        fresh = np.ones(len(keys), bool)
+        np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+        return keys[fresh]
+
+    def repeated_strings(self, mixed: np.ndarray, keys: np.ndarray, earlier: np.ndarray):
+        """Starts, piece by piece, of the strings that start earlier: in an earlier batch, as told of each of string_keys, or in this one."""
+        seen = earlier.copy()
+        for start, hashes in self.strings(mixed):
+            own, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+            at = np.searchsorted(keys, own)
+            gone = seen[at][back] | (first[back] != np.arange(len(back)))
+            seen[at] = True
+            yield start[gone]
+
+    def runs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Maximal runs of bytes that these spans cover, none over a document's end."""
+        order = np.argsort(left, kind="stable")
+        left, right = left[order], np.maximum.accumulate(right[order])
+        row = np.searchsorted(self.offsets, left, "right")
+        fresh = (left[1:] > right[:-1]) | (row[1:] != row[:-1])
+        edge = np.ones(min(1, len(left)), bool)
+        return left[np.concatenate([edge, fresh])], right[np.concatenate([fresh, edge])]
 
 
 def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int | None = None, carry: list[str] | None = None, direct: int | None = None) -> DataFrame:
@@ -175,34 +218,31 @@ def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int
     def ask_strings(key, table, said):
         chunk = Chunk(table, length, gram)
         keys = chunk.suffixes()[0]
-        _, hashes = chunk.strings(keys[X.answered(said, np.uint8) == MIXED])
-        return exchange.asked(key[0].as_py(), np.unique(hashes))
+        return exchange.asked(key[0].as_py(), chunk.string_keys(keys[X.answered(said, np.uint8) == MIXED]))
 
     def settle(key, table, said):
         which = np.array(said["round"].to_pylist())
         chunk = Chunk(table, length, gram)
         keys, _, back, first, left, right = chunk.suffixes()
         verdict = X.answered(said.filter(pa.array(which == 1)), np.uint8)
-        change = np.zeros(len(chunk.data) + 1, np.int32)
+        gone = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
         if len(keys):
-            gone = verdict[back]
-            repeat = (gone == EARLIER) | ((gone == KEPT) & (first[back] != np.arange(len(back))))
+            told = verdict[back]
+            repeat = (told == EARLIER) | ((told == KEPT) & (first[back] != np.arange(len(back))))
             repeat &= right - left >= length
-            np.add.at(change, left[repeat], 1)
-            np.add.at(change, right[repeat], -1)
-            starts, hashes = chunk.strings(keys[verdict == MIXED])
-            distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-            gone = X.answered(said.filter(pa.array(which == 2)), np.uint8)[back] == EARLIER if len(distinct) else np.zeros(0, bool)
-            gone |= at[back] != np.arange(len(back))
-            np.add.at(change, starts[gone], 1)
-            np.add.at(change, starts[gone] + length, -1)
-        covered = np.cumsum(change[:-1], dtype=np.int32, out=change[:-1]) > 0
+            gone.append(chunk.runs(left[repeat], right[repeat]))
+            mixed = keys[verdict == MIXED]
+            del told, repeat, keys, back, first, left, right
+            distinct = chunk.string_keys(mixed)
+            earlier = X.answered(said.filter(pa.array(which == 2)), np.uint8) == EARLIER
+            gone.extend(chunk.runs(start, start + length) for start in chunk.repeated_strings(mixed, distinct, earlier))
+        left, right = chunk.runs(*(np.concatenate(x) for x in zip(*gone, strict=True)))
+        cuts = np.searchsorted(left, chunk.offsets)
         spans, kept = [], []
-        for i, j in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True):
-            here = covered[i:j]
-            edges = np.flatnonzero(np.diff(here.astype(np.int8), prepend=0, append=0))
-            spans.append(edges.reshape(-1, 2).tolist())
-            kept.append(chunk.data[i:j][~here].tobytes())
+        for i, j, a, b in zip(chunk.offsets[:-1], chunk.offsets[1:], cuts[:-1], cuts[1:], strict=True):
+            spans.append((np.stack([left[a:b], right[a:b]], axis=1) - i).tolist())
+            stays = zip([i, *right[a:b]], [*left[a:b], j], strict=True)
+            kept.append(b"".join(chunk.data[x:y].tobytes() for x, y in stays))
         out = chunk.table.select(columns)
         return out.append_column("spans", pa.array(spans, pa.list_(pa.list_(pa.int32())))).append_column("kept", pa.array(kept, pa.binary()))
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import exchange, jaccard_join, language_id, lm_scoring, packing, suffix_dedup, toxicity
+from tessera.llm import exchange, jaccard_join, language_id, lm_scoring, packing, suffix_dedup, textbytes, toxicity
 from tessera.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, chunk string, row string"
@@ -53,6 +53,54 @@ def test_suffix_dedup_equals_the_rule_read_literally(docs, rows, chunks, direct)
     assert sorted(map(tuple, got), key=key) == sorted(suffix_dedup.brute_force([r[:2] for r in rows], 100), key=key)
 
 
+def test_long_texts_are_hashed_in_stretches_and_equal_the_rule(spark):
+    long = prose(40, 90_000)
+    assert len(long) > 2 * textbytes.SLICE
+    rows = [(1, long), (2, long[300_000:300_150] + prose(41, 50_000) + long[-99:]), (3, prose(42, 20) + long[250_000:270_000]), (4, "ab" * 200_000), (5, long[:100])]
+    for chunks in (1, 3):
+        got = suffix_dedup.digest(suffix_dedup.find_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 100, chunks=chunks)).collect()
+        assert sorted(map(tuple, got)) == sorted(suffix_dedup.brute_force(rows, 100))
+
+
+def test_stretches_find_what_a_whole_text_gives(monkeypatch):
+    import pyarrow as pa
+
+    texts = [prose(43, 900), "x" * 3000, None, prose(44, 30), prose(43, 900)[500:2500], "short", ""]
+    table = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+
+    def found(size):
+        monkeypatch.setattr(textbytes, "SLICE", size)
+        chunk = suffix_dedup.Chunk(table, 100, 32)
+        keys, around, back, first, left, right = chunk.suffixes()
+        starts = np.concatenate([s for s, _ in chunk.strings(keys)])
+        return keys, around, keys[back], left, right, starts, chunk.string_keys(keys)
+
+    whole = found(1 << 18)
+    for size in (64, 130, 1000):
+        for a, b in zip(whole, found(size), strict=True):
+            np.testing.assert_array_equal(a, b)
+
+
+def test_memory_of_a_long_text_follows_its_distinct_strings():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    def peak(n):
+        text = prose(45, n)
+        chunk = suffix_dedup.Chunk(pa.table({"doc_id": [1], "text": [text]}), 100, 32)
+        tracemalloc.start()
+        keys = chunk.suffixes()[0]
+        distinct = chunk.string_keys(keys)
+        list(chunk.runs(s, s + 100) for s in chunk.repeated_strings(keys, distinct, np.zeros(len(distinct), bool)))
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, len(text)
+
+    (small, n), (large, m) = peak(40_000), peak(640_000)
+    assert large - small < 40 * (m - n)
+
+
 def test_suffix_dedup_carries_columns_and_takes_empty_tables(docs, none):
     assert {r["source"] for r in suffix_dedup.find_repeats(docs, carry=["source"]).collect()} == {"s"}
     assert suffix_dedup.find_repeats(none).count() == 0
