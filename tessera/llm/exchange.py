@@ -24,15 +24,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import short_batches, tidily
+from .storage import durable, short_batches, tidily
 
 #: Bytes of text of a chunk, about: its arrays fit beside a small executor's heap. Larger executors take larger ones.
 CHUNK_BYTES = 5 << 20
 #: Chunks up to which each sends a block straight to every bucket.
 DIRECT = 256
+#: Ranges of keys whose bounds the driver holds.
+RANGES = 1024
 #: A row is what one party of chunks (one chunk, where blocks go straight) has for one bucket: a run of sorted keys a chunk.
 ASKED = "bucket int, party int, chunks array<int>, keys array<binary>, vals array<binary>"
 ASKED_ARROW = pa.schema([("bucket", pa.int32()), ("party", pa.int32()), ("chunks", pa.list_(pa.int32())), ("keys", pa.list_(pa.binary())), ("vals", pa.list_(pa.binary()))])
@@ -173,30 +175,37 @@ def by_hash(docs: DataFrame, chunks: int, key: str = "doc_id") -> DataFrame:
     return docs.withColumn("chunk", F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int"))
 
 
-def by_range(docs: DataFrame, chunks: int, key: str = "doc_id") -> DataFrame:
+def by_range(docs: DataFrame, chunks: int, key: str = "doc_id", broadcast_bytes: int = 8 << 20) -> DataFrame:
     """Adds the column chunk so that a smaller key is in no later chunk; nulls come first. Chunks hold about as many bytes of text.
 
-    Sixteen ranges a chunk, of about as many rows each, are weighed by their texts and joined.
+    RANGES ranges of about as many rows each have their bounds and sizes on the
+    driver, however many chunks there are. Within a range, a running sum over its
+    keys cuts the chunks; the key that each begins with stays in a table of one row
+    a range, which is broadcast up to broadcast_bytes and joined by a shuffle
+    beyond. Rows of one key share a chunk.
     """
-    fine = 16 * chunks if chunks > 1 else 1
-    shares = [i / fine for i in range(1, fine)]
-    found = docs.select(F.percentile_approx(key, shares, max(10_000, 4 * fine)).alias("q")).first() if shares else None
-    edges = np.array(sorted(set(found["q"] or [])) if found else [], np.int64)
-
-    def place(edges: np.ndarray):
-        @F.arrow_udf("int")
-        def of(ids: pa.Array) -> pa.Array:
-            at = np.searchsorted(edges, ids.fill_null(0).to_numpy(zero_copy_only=False))
-            return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int32))
-
-        return of(F.col(key))
-
-    if len(edges):
-        sizes = docs.select(place(edges).alias("at"), F.octet_length("text").alias("n")).groupBy("at").agg(F.sum("n").alias("n")).collect()
-        held = np.zeros(len(edges) + 1)
-        for r in sizes:
-            held[r["at"]] = r["n"] or 0
-        upto = np.cumsum(held)
-        ends = np.unique(np.searchsorted(upto, upto[-1] * np.arange(1, chunks) / chunks))
-        edges = edges[ends[ends < len(edges)]]
-    return docs.withColumn("chunk", place(edges))
+    shares = [i / RANGES for i in range(1, RANGES)]
+    bounds = np.array(sorted(set(docs.select(F.percentile_approx(key, shares, 10_000)).first()[0] or [])), np.int64)
+
+    @F.arrow_udf("int")
+    def place(ids: pa.Array) -> pa.Array:
+        at = np.searchsorted(bounds, ids.fill_null(0).to_numpy(zero_copy_only=False))
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, at).astype(np.int32))
+
+    sized = docs.select(place(F.col(key)).alias("at"), F.col(key).alias("first"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n"))
+    sized = durable(sized.groupBy("at", "first").agg(F.sum("n").alias("n")))
+    held = np.zeros(len(bounds) + 1, np.int64)
+    for r in sized.groupBy("at").agg(F.sum("n").alias("n")).collect():
+        held[r["at"]] = r["n"]
+    begin = F.get(F.lit((np.cumsum(held) - held).tolist()), F.col("at"))
+    upto = F.sum("n").over(Window.partitionBy("at").orderBy("first").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    share = max(1, int(held.sum())) / chunks
+    cut = sized.withColumn("chunk", F.least(F.floor((begin + upto - F.col("n")) / F.lit(share)).cast("int"), F.lit(chunks - 1)))
+    firsts = cut.groupBy("at", "chunk").agg(F.min("first").alias("first")).groupBy("at")
+    range_, cuts = (c + "_" * max(map(len, docs.columns)) for c in ("at", "cuts"))  # no column of docs is named so
+    edges = durable(firsts.agg(F.collect_list(F.struct("first", "chunk")).alias(cuts))).withColumnRenamed("at", range_)
+    if 16 * (chunks + RANGES) <= broadcast_bytes:  # a long, an int and what a struct takes, for each
+        edges = F.broadcast(edges)
+    begun = F.filter(cuts, lambda e: e["first"] <= F.col(key))
+    chunk = F.coalesce(F.array_max(F.transform(begun, lambda e: e["chunk"])), F.lit(0))
+    return docs.withColumn(range_, place(F.col(key))).join(edges, range_, "left").withColumn("chunk", chunk).drop(range_, cuts)

@@ -140,6 +140,24 @@ def test_chunks_follow_bytes_in_the_order_of_ids(spark):
     assert len(held) == 5 and held.max() < 1.5 * held.mean()
 
 
+def test_chunks_of_ranges_are_cut_within_them_on_executors(spark, monkeypatch):
+    """Few ranges, many chunks, one key of a third of all rows, null keys; joined by broadcast and by shuffle."""
+    monkeypatch.setattr(exchange, "RANGES", 4)
+    ids = [None] * 5 + [7] * 300 + [3 * i for i in range(600)] + [2**62, -(2**62)]
+    frame = spark.createDataFrame([(i, "z" * 20, "clash") for i in ids], "doc_id long, text string, at string").repartition(4)
+    told = [exchange.by_range(frame, 40, broadcast_bytes=b) for b in (8 << 20, 0)]
+    assert "BroadcastHashJoin" not in told[1]._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    one, other = (sorted(df.select("doc_id", "chunk", "at").collect(), key=lambda r: (r[0] is not None, r[0] or 0)) for df in told)
+    assert one == other and len(one) == len(ids)
+    chunks = [r["chunk"] for r in one]
+    assert chunks == sorted(chunks) and chunks[0] == 0 and max(chunks) < 40
+    held = np.bincount(chunks, minlength=40)
+    hot = chunks[next(i for i, r in enumerate(one) if r["doc_id"] == 7)]
+    assert len({r["chunk"] for r in one if r["doc_id"] == 7}) == 1 and np.delete(held, hot).max() <= 2 * len(ids) / 40
+    empty = exchange.by_range(frame.where("doc_id = 1"), 3)
+    assert empty.columns == [*frame.columns, "chunk"] and empty.count() == 0
+
+
 def test_blocks_of_an_exchange_grow_less_than_the_square(spark):
     def blocks(chunks, direct):
         e = exchange.Exchange.of(chunks, direct)
