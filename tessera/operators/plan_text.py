@@ -19,8 +19,8 @@ BOILERPLATE = [
 DATE = r"\d{1,2}/\d{1,2}/\d{2,4}"
 TABLE_CAPTION = "Table 2 Georgia ITS 10 Year Plan Project List"
 TABLE_END = r"(?m)^Total\s+REDACTED"
-ROW_START = r"\d{3} 20\d\d \d{4,6} "
-TABLE_ROW = rf"(?s)^(\d{{3}}) (20\d\d) (\d{{4,6}}) (.+?)\s*({DATE}) ([A-Z]{{2,5}})\s+REDACTED"
+ROW_START = r"\d{3} 20\d\d \d{4,} "
+TABLE_ROW = rf"(?s)^(\d{{3}}) (20\d\d) (\d{{4,}}) (.+?)\s*({DATE}) ([A-Z]{{2,5}})\s+REDACTED"
 LEAKED_TEXT = "REDACTED|Estimated Cost|Zone Year|TEAMS"
 DETAIL_HEADER = rf"[^\n]*\n[ \t]*Teams # (\d+)[ \t]*\n[ \t]*Need Date ({DATE}) Start Date ({DATE})"
 FORM_TEXT = [

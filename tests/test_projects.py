@@ -128,6 +128,19 @@ def test_plan_rows_and_details(spark):
     assert [tuple(r)[1:] for r in plan_text.plan_inconsistencies(joined).collect()] == [("12346", "no detail page")]
 
 
+def test_plan_rows_of_long_ids(spark):
+    """An id of seven digits begins a row like any other, in the table, its counts and the comparison with the details."""
+    pages = [
+        ("d", 1, f"{plan_text.TABLE_CAPTION}\n101 2025 999999 OAK 6/1/2027 GPC REDACTED\n102 2025 1000000 ELM 6/1/2027 GTC REDACTED\n103 2025 123456789012 ASH\nTotal REDACTED"),
+        ("d", 2, "OAK\nTeams # 1000000\nNeed Date 7/1/2027 Start Date 1/5/2025\nDescription\nRebuild\nREDACTED\nNone\nNew\n"),
+    ]
+    pages = spark.createDataFrame(pages, "document string, page int, text string")
+    rows = [(r["project_id"], r["project_name"], r["problem"]) for r in plan_text.table_rows(pages).collect()]
+    assert sorted(rows) == [("", "", "incomplete row"), ("1000000", "ELM", None), ("999999", "OAK", None)]
+    assert [tuple(r)[1:4] for r in plan_text.table_counts(pages).collect()] == [(3, 2, 0)]
+    assert ("1000000", "need dates differ") in [tuple(r)[1:] for r in plan_text.plan_inconsistencies(pages).collect()]
+
+
 def test_page_projects(spark):
     page = "5 Year Budget Oak Line 2.5 miles Project ID 06367 A - C, H Project Description Rebuild Project Need x Planned In-Service Date 5/1/2027 and 6/1/2028 Estimated Project Cost $0 $0 $1,000 $0 $0 $0 $1,000"
     got = plan_text.page_projects(spark.createDataFrame([("d", 1, page), ("d", 2, "nothing")], "document string, page int, text string")).collect()
