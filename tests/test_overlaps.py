@@ -157,3 +157,42 @@ def test_reasons_for_no_estimate(spark, change, reason):
     owner = change.pop("utility", OPEN)
     rows = spark.createDataFrame([project("A1", owner, 33.0, -81.0, **change), project("B1", "Georgia Power", 33.0, -81.0)], COLUMNS)
     assert O.calculate_overlaps(rows, owner, "Georgia Power").first()["impact_explanation"] == f"No estimate: {reason}."
+
+
+def _many_at_few_points(spark):
+    """60 projects of either owner at five points each, with dates, voltages and types of several kinds, some unusable."""
+    rows = []
+    for owner, step in ((OPEN, 0.0), ("Georgia Power", 0.05)):
+        for k in range(60):
+            more = {"start_date": ["", "1/5/2025", "soon", "2026-06-01"][k % 4], "in_service_date": ["2026-01-01", "", "2026-02-01"][k % 3], "voltage": ["115 kV", "46000", ""][k % 3 - 1], "project_type": ["LINE", "MULTI_SITE", "SUBSTATION"][k % 3], "match_status": "Excluded" if k % 11 == 0 else ""}
+            rows.append(project(f"{owner[0]}{k}", owner, 33.0 + k % 5 / 4 + step, (-81.0, -0.0, 0.0)[k % 5 % 3], **more))
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+def test_rows_of_shared_points_give_the_same_pairs(spark, monkeypatch):
+    """Points are joined once and their rows after them; every column equals that of pairs found row by row and read pair by pair."""
+    rows = _many_at_few_points(spark)
+    got = O.estimate_land(O.score_pairs(O.find_pairs(rows, OPEN, "Georgia Power"))).drop("_n")
+    met = O.near_points(*O._sides(O.eligible_projects(rows), OPEN, "Georgia Power"), 25.0)
+    want = O.estimate_land(O.score_pairs(met.withColumn("days_apart", O.days_apart())))
+    assert set(want.columns) == set(got.columns)
+    listed = lambda x: sorted(map(str, x.select(*sorted(want.columns)).collect()))
+    assert listed(got) == listed(want) and got.count() > 300
+
+
+def test_distances_are_computed_for_points_not_rows(spark, monkeypatch):
+    joined = []
+    near = O.near_points
+    monkeypatch.setattr(O, "near_points", lambda a, b, miles: joined.append((a.count(), b.count())) or near(a, b, miles))
+    assert O.find_pairs(_many_at_few_points(spark), OPEN, "Georgia Power").count() > 300
+    assert joined == [(5, 5)]
+
+
+def test_figures_without_pairs_equal_those_of_pairs(spark):
+    rows = _many_at_few_points(spark)
+    pairs = O.score_pairs(O.find_pairs(rows, OPEN, "Georgia Power"))
+    with_pairs = O.both_sides(pairs).distinct()
+    assert sorted(map(tuple, O.projects_in_pairs(rows, OPEN, "Georgia Power").collect())) == sorted(map(tuple, with_pairs.collect()))
+    got = O.overlap_kpis(rows, OPEN, "Georgia Power").first()
+    assert tuple(got) == (120, O.eligible_projects(rows).count(), pairs.count(), pairs.where("timeline_overlap = 'Yes'").count(), with_pairs.count()) and 0 < got["overlapping_windows"] < got["pairs"]
+    assert tuple(O.overlap_kpis(rows, OPEN, "Nobody").first())[2:] == (0, 0, 0)
