@@ -287,7 +287,7 @@ def override_priority_join(spark, sf_dir):
     return rows.select("project_id", "location_role", "target_location", "suppkey", "override_matched_name", "overridden")
 
 
-def _candidates(spark, sf_dir) -> DataFrame:
+def _candidates(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Customers near suppliers as map features near seeds."""
     k, c = F.col("s_suppkey"), F.col("c_custkey")
     seeds = read_table(spark, sf_dir, "supplier").select(
@@ -297,7 +297,7 @@ def _candidates(spark, sf_dir) -> DataFrame:
         F.lit("node").alias("type"), c.alias("id"), (F.lit(30.0) + (c * 53 % 1000) / F.lit(100.0)).alias("latitude"), (F.lit(-85.0) + (c * 71 % 1000) / F.lit(100.0)).alias("longitude"),
         F.when(c % 3 == 0, "").when(c % 3 == 1, F.concat_ws(" ", F.lit("Oak"), (c % 7).cast("string"), F.lit("Creek"))).otherwise(F.concat_ws(" ", F.lit("Oak"), (c % 7).cast("string"))).alias("name"),
         F.when(c % 2 == 0, "Georgia Power Co").otherwise("").alias("operator"), F.when(c % 4 == 0, "115000;230000").when(c % 4 == 1, "230000").otherwise("46000").alias("voltage"))
-    return L.score_candidates(L.candidates_near(seeds, features))
+    return seeds, features
 
 
 def candidate_sql(seeds: str) -> str:
@@ -318,13 +318,13 @@ _CANDIDATE_SQL = candidate_sql("SELECT s_suppkey AS seed, 'oak ' || (s_suppkey %
 
 @query(f"WITH {_CANDIDATE_SQL} SELECT seed, id, round(miles, 4) AS miles, match_score FROM scored")
 def name_match_score(spark, sf_dir):
-    return _candidates(spark, sf_dir).select("seed", "id", F.round("distance_from_seed_miles", 4).alias("miles"), "match_score")
+    return L.scored_near(*_candidates(spark, sf_dir)).select("seed", "id", F.round("distance_from_seed_miles", 4).alias("miles"), "match_score")
 
 
 @query(f"""WITH {_CANDIDATE_SQL}, best AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY match_score DESC, id) AS r FROM scored)
 SELECT seed, id, match_score, CASE WHEN match_score >= 8 AND name <> '' THEN 'HIGH' WHEN match_score >= 5 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM best WHERE r = 1""")
 def candidate_best_match(spark, sf_dir):
-    return L.best_candidates(_candidates(spark, sf_dir), "seed").select("seed", "id", "match_score", "confidence")
+    return L.best_near(*_candidates(spark, sf_dir)).where("_b is not null").select("seed", "_b.id", "_b.match_score", "_b.confidence")
 
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")

@@ -256,3 +256,17 @@ def test_files_and_snapshots_round_trip(spark, tmp_path):
     points = sinks.map_points(loaded, ranked, 25.0)
     assert sorted((r["project_id"], r["has_pair"]) for r in points.collect()) == [("001", True), ("1", True)]
     assert sinks.map_view(points).first()["zoom"] <= 12 and sinks.map_lines(loaded, ranked).count() == ranked.count()
+
+
+def test_candidates_of_one_kind_are_scored_once(spark, monkeypatch):
+    """60 seeds of 3 kinds and 90 features of 6 kinds are scored as kinds; pairs and the best equal those scored row by row."""
+    seeds = spark.range(60).select(F.col("id").alias("seed"), F.lit("Georgia Power").alias("utility"), F.when(F.col("id") % 3 > 0, F.concat_ws(" ", F.lit("Oak"), F.col("id") % 3)).alias("target_location"), F.array(F.lit("115000")).alias("expected_voltages"), F.lit(33.0).alias("seed_latitude"), F.lit(-81.0).alias("seed_longitude"))
+    k = F.col("id")
+    features = spark.range(90).select(F.lit("node").alias("type"), k, (F.lit(33.0) + k % 2 / 10).alias("latitude"), F.lit(-81.0).alias("longitude"), F.when(k % 3 > 0, F.concat_ws(" ", F.lit("Oak"), k % 3)).alias("name"), F.lit(None).cast("string").alias("operator"), F.lit("115000").alias("voltage"))
+    scored = locations.score_candidates(locations.candidates_near(seeds, features))
+    columns = sorted(scored.columns)
+    listed = lambda rows, *c: sorted(map(str, rows.select(*c).collect()))
+    assert listed(locations.scored_near(seeds, features), *columns) == listed(scored, *columns) and scored.count() == 5400
+    best = locations.best_near(seeds, features)
+    assert listed(best, "seed", "_b.id", "_b.match_score", "_b.confidence", "_b.reasons") == listed(locations.best_candidates(scored, "seed"), "seed", "id", "match_score", "confidence", "reasons")
+    assert locations.scored_kinds(seeds, features).count() == 18
