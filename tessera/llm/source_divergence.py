@@ -133,10 +133,10 @@ def survivors(docs: DataFrame, bits: np.ndarray, width: int) -> DataFrame:
         for batch in batches:
             for lang, source, text in _documents(batch):
                 total, df = held.setdefault((lang, source), (Counter(), Counter()))
-                own = Counter(terms_of(text))
+                own = terms_of(text)
                 n -= len(total)
-                total.update(own)
-                df.update(own.keys())
+                total.update(own)  # of a list, as counts of a mapping are added by a slower loop
+                df.update(set(own))
                 n += len(total)
                 if n > HELD:
                     yield from told()
