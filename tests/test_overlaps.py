@@ -196,3 +196,30 @@ def test_figures_without_pairs_equal_those_of_pairs(spark):
     got = O.overlap_kpis(rows, OPEN, "Georgia Power").first()
     assert tuple(got) == (120, O.eligible_projects(rows).count(), pairs.count(), pairs.where("timeline_overlap = 'Yes'").count(), with_pairs.count()) and 0 < got["overlapping_windows"] < got["pairs"]
     assert tuple(O.overlap_kpis(rows, OPEN, "Nobody").first())[2:] == (0, 0, 0)
+
+
+def test_ranks_by_classes_equal_those_of_all_pairs_sorted(spark):
+    rows = _many_at_few_points(spark).where("project_id rlike '[0-4]$'")
+    rows = rows.union(rows.withColumn("project_id", F.concat("project_id", F.lit("x"))))
+    found = O.score_classes(rows, OPEN, "Georgia Power")
+    pairs = O.durable(O.score_pairs(O.find_pairs(rows, OPEN, "Georgia Power")))
+    names = ["rank", "utility_a", "project_id_a", "utility_b", "project_id_b", "total_score"]
+    listed = lambda x: sorted(map(tuple, x.select(*names).collect()))
+    assert found.pairs.count() < pairs.count() / 3 > 100
+    for mode in O.MODES:
+        assert listed(O.ranked_pairs(found, mode, "total_score")) == listed(O.rank_pairs(pairs, mode))
+    want = O.best_pairs(O.rank_pairs(pairs)).collect()
+    assert sorted(map(tuple, O.best_of_classes(found).collect())) == sorted(map(tuple, want)) and len(want) > 50
+
+
+def test_pairs_of_classes_are_scored_once(spark):
+    """All columns of scored_pairs are those of pairs scored one by one, and a condition on sides is that on their pairs."""
+    rows = _many_at_few_points(spark)
+    want = O.durable(O.score_pairs(O.find_pairs(rows, OPEN, "Georgia Power")).drop("_n"))
+    got = O.scored_pairs(rows, OPEN, "Georgia Power").drop("_class_a", "_class_b")
+    assert set(got.columns) == set(want.columns)
+    listed = lambda x: sorted(map(str, x.select(*sorted(want.columns)).collect()))
+    assert listed(got) == listed(want)
+    known = O.score_classes(rows, OPEN, "Georgia Power", keep=lambda s: F.col(f"_land_{s}.missing").isNull()).rows()
+    priced = O.estimate_land(want).where("shared_miles is not null")
+    assert sorted(r[0] for r in known.select("overlap_id").collect()) == sorted(r[0] for r in priced.select("overlap_id").collect()) and priced.count() > 0
