@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import durable
 from .plan_text import SPONSOR_OWNERS, chunk_pages
 from .quotes import pages_holding
 
@@ -30,10 +31,14 @@ def locate_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
 
     The cited page is an equi-join; only quotes that are not on it are looked for
     on the other pages of their document, each distinct one once, by their grams.
+    Spellings are looked for once and dealt by page to the session's number of
+    shuffle partitions: Spark would join these few bytes to one task.
     """
-    page = pages.select("document", "page", F.col("text").alias("_text"))
-    rows = quotes.join(page, ["document", "page"], "left").withColumn("_own", T.own_spelling(F.col("_text"), F.col("quote")))
-    lost = rows.where(F.col("_own").isNull() & T.filled(F.col("quote")) & F.col("_text").isNotNull()).select("document", "quote").distinct()
+    n = int(quotes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    page = pages.select("document", "page", F.col("text").alias("_text")).repartition(n, "document", "page")
+    rows = quotes.repartition(n, "document", "page").join(page, ["document", "page"], "left")
+    rows = durable(rows.select(*quotes.columns, F.col("_text").isNotNull().alias("_here"), T.own_spelling(F.col("_text"), F.col("quote")).alias("_own")))
+    lost = durable(rows.where(F.col("_own").isNull() & T.filled(F.col("quote")) & F.col("_here")).select("document", "quote").distinct())
     other = pages_holding(lost, pages.select("document", F.col("page").alias("_page"), "text"), ["_page"], ["document"])
     other = other.groupBy("document", "quote").agg(F.slice(F.sort_array(F.collect_set("_page")), 1, 3).alias("elsewhere"))
     rows = rows.join(other, ["document", "quote"], "left")
@@ -42,7 +47,7 @@ def locate_quotes(quotes: DataFrame, pages: DataFrame) -> DataFrame:
         F.when(F.col("_own").isNotNull(), "")
         .when(~T.filled(F.col("quote")), "empty text")
         .when(F.col("page").isNull(), "cites no page")
-        .when(F.col("_text").isNull(), F.concat(F.lit("cites page "), cited, F.lit(", which wasn't in this run")))
+        .when(~F.col("_here"), F.concat(F.lit("cites page "), cited, F.lit(", which wasn't in this run")))
         .when(F.col("elsewhere").isNotNull(), F.concat(F.lit("not on page "), cited, F.lit(", but on page "), F.array_join(F.col("elsewhere").cast("array<string>"), ", ")))
         .otherwise(F.concat(F.lit("not on page "), cited, F.lit(" or any other page")))
     )

@@ -137,3 +137,14 @@ def test_numbers_lists_and_digests(spark, tmp_path):
     assert tables.known_source(files, none).first()["name"] is None
     with pytest.raises(Exception, match="unknown file"):
         tables.known_source(files, none, strict=True).collect()
+
+
+def test_spellings_are_looked_for_once(spark, monkeypatch):
+    kept = []
+    durable = getattr(X, "durable", lambda rows: rows)
+    monkeypatch.setattr(X, "durable", lambda rows: kept.append(rows.columns) or durable(rows), raising=False)
+    pages = spark.createDataFrame([("d", 1, "a 15KV line"), ("d", 2, "a 115KV line")], "document string, page int, text string")
+    quotes = spark.createDataFrame([("d", 1, "15 kv"), ("d", 2, "15 kv"), ("d", 3, "15 kv"), ("d", None, "15 kv")], "document string, page int, quote string")
+    got = {r["page"]: (r["value"], r["reason"]) for r in X.locate_quotes(quotes, pages).collect()}
+    assert got == {1: ("15KV", ""), 2: (None, "not on page 2, but on page 1"), 3: (None, "cites page 3, which wasn't in this run"), None: (None, "cites no page")}
+    assert ["document", "page", "quote", "_here", "_own"] in kept
