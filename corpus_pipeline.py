@@ -23,6 +23,7 @@ or empty text has no language and goes in stage 1.
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,14 +47,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    @F.arrow_udf("string")
-    def text_of(kept: pa.Array) -> pa.Array:
-        return pa.array([raw.decode("utf-8", "ignore") for raw in kept.to_pylist()], pa.string())  # a cut inside a character drops what is left of it
-
-    found = suffix_dedup.find_repeats(docs.select(COLUMNS), carry=["lang", "source"])
-    left = found.withColumn("n_left", F.octet_length("kept")).where("n_left > 0 or size(spans) = 0")
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(text_of("kept"))
-    return left.select("doc_id", text.alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    columns = ["doc_id", "text", "lang", "source"]
+
+    def left(found: pa.Table) -> pa.Table:
+        whole = pc.equal(pc.list_value_length(found["spans"]), 0)
+        stays = pc.or_(whole, pc.greater(pc.binary_length(found["kept"]), 0))
+        found, whole = found.filter(stays), whole.filter(stays)
+        rows = zip(found["text"], whole.to_pylist(), found["kept"], strict=True)
+        texts = [text.as_py() if w else kept.as_py().decode("utf-8", "ignore") for text, w, kept in rows]  # a cut inside a character drops what is left of it
+        return found.select(columns).set_column(1, "text", pa.array(texts, pa.string()))
+
+    cut = suffix_dedup.find_repeats(docs.select(COLUMNS), carry=columns[2:], then=(left, docs.select(columns).schema))
+    return cut.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def weights(shares: dict[str, float]) -> dict[str, float]:

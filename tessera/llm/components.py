@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .storage import durable
 
+#: Edges that a task has, about: a round of few edges shall not be as many tasks as the session has partitions.
+EDGES = 250_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """Ties each node's larger (or not larger) neighbours to its smallest neighbour."""
@@ -25,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = durable(edges.where("u <> v").select("u", "v").distinct())
     mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     while mark[0]:
-        edges = durable(_star(_star(edges, True), False))
+        edges = durable(_star(_star(edges, True), False).coalesce(-(-mark[0] // EDGES)))
         last, mark = mark, edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == last:
             break

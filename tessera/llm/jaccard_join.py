@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from . import exchange as X
 from . import textbytes as B
 from .components import components
-from .storage import durable, tidily
+from .storage import durable, swept, tidily
 
 SETS = "doc_id long, n_shingles long, class binary, grp binary, posts array<struct<token:long,pos:int>>"
 BROADCAST_IDS = 2_000_000
@@ -172,7 +172,7 @@ def _sets_of(docs: DataFrame, least: DataFrame, words: int) -> DataFrame:
             sets = shingle_sets(batch, words)
             yield pa.RecordBatch.from_arrays([pa.array([_fingerprint(x, len(x)) for x in sets], pa.binary()), pa.array([X.pack_sorted(x) if len(x) else None for x in sets], pa.binary())], ["class", "tokens"])
 
-    made = texts.select("text").mapInArrow(tokens, "class binary, tokens binary")
+    made = texts.select("text").mapInArrow(swept(tokens), "class binary, tokens binary")
     return made.join(least.select("class"), "class", "left_semi").dropDuplicates(["class"])
 
 
@@ -224,7 +224,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, chunks:
     spanned = pairs.unionByName(within).join(side("g", "x", "tie"), "g").join(side("h", "y", "other"), "h").where("tie <> other")
     more = durable(_verified(spanned.select(F.least("x", "y").alias("u"), F.greatest("x", "y").alias("v")).distinct(), sets, percent))
     if not more.isEmpty():
-        tied = components(links.unionByName(more))
+        tied = components(tied.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
     whole = rows.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     whole = whole.join(tied.withColumnRenamed("node", "class"), "class", "left").withColumn("tie", F.coalesce("component", "class"))

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as B
-from .storage import short_batches
+from .storage import short_batches, swept
 
 _LETTER = re.compile(r"[^\W\d_]")
 _ROWS = 128
@@ -97,7 +97,7 @@ def fit(train: DataFrame, clusters: int = 3, sample: int = 600, bins: int = 4096
                 n += len(counts)
         yield pa.RecordBatch.from_arrays([pa.array([np.append(total, n)], pa.list_(pa.int64()))], ["df"])
 
-    held = train.select("text").mapInArrow(frequencies, "df array<long>").select(F.posexplode("df")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    held = train.select("text").mapInArrow(swept(frequencies), "df array<long>").select(F.posexplode("df")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
     df = np.zeros(bins + 1)
     for r in held:  # bins + 1 numbers
         df[r["pos"]] = r["n"]
@@ -161,7 +161,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     kept = docs.drop(*added)
     kinds = zip(added, (T.StringType(), T.DoubleType(), T.DoubleType(), T.BooleanType()), strict=True)
     schema = T.StructType([*kept.schema.fields, *(T.StructField(n, k) for n, k in kinds)])
-    return kept.mapInArrow(score, schema)
+    return kept.mapInArrow(swept(score), schema)
 
 
 def fold(key: Column, folds: int) -> Column:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as B
-from .storage import fresh_path, release, short_batches, tidily
+from .storage import fresh_path, short_batches, swept, tidily
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Ids of tails that a shard holds, about; what one task's index takes.
@@ -400,7 +400,7 @@ def count_corpus(encoded: DataFrame, dtype, window: int) -> Corpus:
         term = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append([-2, -1], term)), pa.array(np.append([n, total], df[term]).astype(np.int64))], ["term", "n"])
 
-    told = encoded.select("ids").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    told = encoded.select("ids").mapInArrow(swept(count), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     found = dict(zip(told["term"].to_pylist(), told["n"].to_pylist(), strict=True))
     n, total = found.pop(-2, 0), found.pop(-1, 0)
     df = np.zeros(max(found, default=-1) + 1, np.int64)
@@ -419,7 +419,7 @@ def deal(encoded: DataFrame, corpus: Corpus, dtype, window: int, shards: int) ->
             yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in vectors(tails, corpus)], pa.binary()), pa.array([max(1, len(t)) for t in tails], pa.int64())], ["v", "size"])
 
     if shards > 1:
-        told = encoded.where(F.pmod(salt, F.lit(1 << 30)) < int(share * (1 << 30))).select("ids").mapInArrow(project, "v binary, size long").toArrow()
+        told = encoded.where(F.pmod(salt, F.lit(1 << 30)) < int(share * (1 << 30))).select("ids").mapInArrow(swept(project), "v binary, size long").toArrow()
         sample = np.frombuffer(b"".join(told["v"].to_pylist()), np.float32).reshape(-1, DIMS)
         tree = Deal(sample, told["size"].to_numpy().astype(np.float64), shards)
     else:
@@ -443,10 +443,9 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, q
         for batch in batches:
             ids = [np.append(x, encode.dtype(end_id)).tobytes() for x in encode.batch(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(ids, pa.binary())], ["doc_id", "ids"])
-        release()
 
     path = fresh_path(spark, "token-ids")
-    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode_texts, "doc_id long, ids binary").write.parquet(path)
+    docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(swept(encode_texts), "doc_id long, ids binary").write.parquet(path)
     encoded = spark.read.parquet(path)
     corpus = count_corpus(encoded, dtype, window)
     placed = deal(encoded, corpus, dtype, window, shards or max(1, round(corpus.n * corpus.mean / SHARD_IDS)))

@@ -55,6 +55,18 @@ def _run(f, *args):
         release()
 
 
+def swept(f):
+    """f, a function of batches, that releases memory after the last one."""
+
+    def run(batches):
+        try:
+            yield from f(batches)
+        finally:
+            release()
+
+    return run
+
+
 def tidily(f, sides: int = 1):
     """f as a function of a group (or of a cogroup of two sides) that releases memory after each."""
     return (lambda key, table: _run(f, key, table)) if sides == 1 else (lambda key, left, right: _run(f, key, left, right))

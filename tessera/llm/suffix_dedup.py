@@ -31,6 +31,7 @@ are ignored but for those named in carry; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -203,8 +204,13 @@ class Chunk:
         return left[np.concatenate([edge, fresh])], right[np.concatenate([fresh, edge])]
 
 
-def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int | None = None, carry: list[str] | None = None, direct: int | None = None) -> DataFrame:
-    """doc_id, text, spans (array of start and end of each removed run of bytes), kept (the other bytes) and the columns carry of every row."""
+def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int | None = None, carry: list[str] | None = None, direct: int | None = None, then: tuple[Callable[[pa.Table], pa.Table], T.StructType] | None = None) -> DataFrame:
+    """doc_id, text, spans (array of start and end of each removed run of bytes), kept (the other bytes) and the columns carry of every row.
+
+    then: a function of a chunk's rows of this form and the schema of what it makes
+    of them. It runs in the task that has them; an Arrow UDF over the result would
+    hold a second Python worker beside each task's.
+    """
     if gram >= length:
         raise ValueError("gram must be below length")
     own = docs.select("doc_id", "text", *(carry or []))
@@ -244,14 +250,15 @@ def find_repeats(docs: DataFrame, length: int = 100, gram: int = 32, chunks: int
             stays = zip([i, *right[a:b]], [*left[a:b], j], strict=True)
             kept.append(b"".join(chunk.data[x:y].tobytes() for x, y in stays))
         out = chunk.table.select(columns)
-        return out.append_column("spans", pa.array(spans, pa.list_(pa.list_(pa.int32())))).append_column("kept", pa.array(kept, pa.binary()))
+        out = out.append_column("spans", pa.array(spans, pa.list_(pa.list_(pa.int32())))).append_column("kept", pa.array(kept, pa.binary()))
+        return then[0](out) if then else out
 
     columns = own.columns
     schema = T.StructType([*own.schema.fields, T.StructField("spans", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("kept", T.BinaryType())])
     first, _ = exchange.ask(placed.groupBy("chunk").applyInArrow(tidily(ask_suffixes), X.ASKED), _bucket, np.uint64)
     again = placed.groupBy("chunk").cogroup(first.groupBy("chunk")).applyInArrow(tidily(ask_strings, 2), X.ASKED)
     both = first.withColumn("round", F.lit(1)).unionByName(exchange.ask(again, _bucket)[0].withColumn("round", F.lit(2)))
-    return placed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(tidily(settle, 2), schema)
+    return placed.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(tidily(settle, 2), then[1] if then else schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -251,6 +251,31 @@ def test_components_of_a_path_and_a_star(spark):
     assert got == {**{i: 0 for i in range(21)}, **{i: 50 for i in range(50, 60)}}
 
 
+def test_rounds_of_few_edges_are_few_tasks(spark, monkeypatch):
+    from tessera.llm import components as c
+
+    made = []
+
+    def kept(df):
+        made.append(df.checkpoint())
+        return made[-1]
+
+    c.durable(spark.range(1))  # sets the folder
+    monkeypatch.setattr(c, "durable", kept)
+    path = spark.createDataFrame([(i, i + 1) for i in range(20)], "u long, v long")
+    merged = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merged, "false")
+    try:
+        assert {tuple(r) for r in c.components(path).collect()} == {(i, 0) for i in range(21)}
+        assert len(made) > 2 and all(df.rdd.getNumPartitions() == 1 for df in made[1:])
+        monkeypatch.setattr(c, "EDGES", 8)
+        made.clear()
+        assert {tuple(r) for r in c.components(path).collect()} == {(i, 0) for i in range(21)}
+        assert max(df.rdd.getNumPartitions() for df in made[1:]) == 3
+    finally:
+        spark.conf.unset(merged)
+
+
 def _ids(rows):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -241,6 +241,27 @@ def test_pipeline_of_no_rows_and_of_clashing_columns(spark, tmp_path):
         assert stage(spark, clash, SF).count() == stage(spark, source, SF).count()
 
 
+def test_pipeline_cuts_repeated_passages_with_one_python_worker_a_task(spark):
+    import corpus_pipeline as cp
+
+    passage = "ab" + "é" * 80
+    rows = [(1, "q" + passage), (2, passage[1:] + "z"), (3, "é" * 49 + "x" + passage), (4, passage), (5, ""), (6, None), (7, "y" * 120 + "é")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.repeated_passages(spark, docs, SF)
+    steps = [line for line in got._jdf.queryExecution().sparkPlan().toString().splitlines() if "Exchange" not in line]
+    above = list(itertools.takewhile(lambda line: "FlatMapCoGroupsInArrow" not in line, steps))
+    assert len(above) < len(steps) and not any("Python" in line or "InArrow" in line for line in above)
+
+    from tessera.llm import suffix_dedup
+
+    want = {}
+    for r in suffix_dedup.find_repeats(docs).collect():
+        if not r["spans"] or r["kept"]:
+            want[r["doc_id"]] = bytes(r["kept"]).decode("utf-8", "ignore") if r["spans"] else r["text"]
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in got.collect()} == {d: (t, None if t is None else len(t)) for d, t in want.items()}
+    assert 4 not in want and want[6] is None and want[2] != rows[1][1]
+
+
 def test_solve():
     assert np.allclose(mixing.solve([[0.0, 2.0], [1.0, 1.0]], [4.0, 5.0]), [3.0, 2.0])
 
