@@ -223,3 +223,39 @@ def test_pairs_of_classes_are_scored_once(spark):
     known = O.score_classes(rows, OPEN, "Georgia Power", keep=lambda s: F.col(f"_land_{s}.missing").isNull()).rows()
     priced = O.estimate_land(want).where("shared_miles is not null")
     assert sorted(r[0] for r in known.select("overlap_id").collect()) == sorted(r[0] for r in priced.select("overlap_id").collect()) and priced.count() > 0
+
+
+def _written(monkeypatch):
+    """The numbers of rows of all tables written from now on."""
+    from tessera.operators import grid
+
+    sizes, write = [], O.durable
+
+    def counted(rows):
+        table = write(rows)
+        sizes.append(table.count())
+        return table
+
+    for module in (O, grid):
+        monkeypatch.setattr(module, "durable", counted)
+    return sizes
+
+
+def _no_two_alike(spark, n=120):
+    """n projects of either owner at four points, no two of which agree in their dates."""
+    rows = [project(f"{owner[0]}{k * 37 % n}", owner, 33.0 + k % 4 / 10 + step, -81.0, in_service_date=f"20{26 + k // 28}-02-{k % 28 + 1:02}") for owner, step in ((OPEN, 0.0), ("Georgia Power", 0.05)) for k in range(n)]
+    return spark.createDataFrame(rows, COLUMNS)
+
+
+def test_no_table_of_pairs_is_written(spark, monkeypatch):
+    """Nothing of the size of pairs is written, though each project is a class of its own; gathered in small pieces and dealt to slices on both sides, pairs are the same."""
+    from tessera.operators import grid
+
+    rows = _no_two_alike(spark)
+    want = O.score_pairs(O.find_pairs(rows, OPEN, "Georgia Power")).select("overlap_id", "total_score", "ranking_reason").collect()
+    monkeypatch.setattr(grid, "PAIRS_A_KEY", 100)
+    monkeypatch.setattr(O, "GATHERED", 7, raising=False)
+    written = _written(monkeypatch)
+    got = O.score_classes(rows, OPEN, "Georgia Power").rows().select("overlap_id", "total_score", "ranking_reason").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 10_000
+    assert max(written) < 1_000
