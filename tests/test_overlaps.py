@@ -231,8 +231,8 @@ def _written(monkeypatch):
 
     sizes, write = [], O.durable
 
-    def counted(rows):
-        table = write(rows)
+    def counted(rows, *session):
+        table = write(rows, *session)
         sizes.append(table.count())
         return table
 
@@ -259,3 +259,18 @@ def test_no_table_of_pairs_is_written(spark, monkeypatch):
     got = O.score_classes(rows, OPEN, "Georgia Power").rows().select("overlap_id", "total_score", "ranking_reason").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 10_000
     assert max(written) < 1_000
+
+
+def test_ranks_write_no_table_of_pairs(spark, monkeypatch):
+    """Ranks are counted in the tasks that hold a distance, a crowded one in slots by the order before names; nothing of the size of pairs is written."""
+    from tessera.operators import grid
+
+    rows = _no_two_alike(spark, 48)
+    names = ["rank", "project_id_a", "project_id_b", "total_score"]
+    want = O.rank_pairs(O.score_pairs(O.find_pairs(rows, OPEN, "Georgia Power"))).select(*names).collect()
+    monkeypatch.setattr(grid, "PAIRS_A_KEY", 50)
+    written = _written(monkeypatch)
+    got = O.ranked_pairs(O.score_classes(rows, OPEN, "Georgia Power"), "score", "total_score").select(*names).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(want) > 2_000
+    assert max(written) < 700
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
